@@ -272,22 +272,27 @@ def _route(rows: DataFrame, plan: Plan, radius: float, dim: int, queries: DataFr
 def _answers(routed: DataFrame, plan: Plan, radius: float, k: int, dim: int, own: bool) -> DataFrame:
     """vec_id, near_id, cos: the k + 1 best of each query in each cell it visits."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        home = table.column("home").to_numpy()
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        ids, home, cells = (table.column(c).to_numpy() for c in ("vec_id", "home", "cell"))
         x = _unpack(table.column("vec"), dim)
-        _, first = np.unique(np.where(home, ids, -1 - np.arange(len(ids))), return_index=True)
-        data = first[home[first]]  # a repeated row counts once
-        ask = np.concatenate([data, np.flatnonzero(~home)]) if own else np.flatnonzero(~home)
-        if not len(data) or not len(ask):
-            q, near, cos = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        else:
-            q, near, cos = search(plan, radius, ids[data], x[data], x[ask], k + 1)
-        asked = ids[ask[q]] if len(q) else q
-        other = asked != near
-        return pa.table({"vec_id": pa.array(asked[other], pa.int64()), "near_id": pa.array(near[other], pa.int64()), "cos": pa.array(cos[other], pa.float64())})
+        for cell in np.unique(cells):
+            here = np.flatnonzero(cells == cell)
+            data = here[home[here]]
+            data = data[np.unique(ids[data], return_index=True)[1]]  # a repeated row counts once
+            away = here[~home[here]]
+            ask = np.concatenate([data, away]) if own else away
+            if len(data) and len(ask):
+                q, near, cos = search(plan, radius, ids[data], x[data], x[ask], k + 1)
+                asked = ids[ask[q]]
+                other = asked != near
+                yield pa.RecordBatch.from_arrays([pa.array(asked[other], pa.int64()), pa.array(near[other], pa.int64()), pa.array(cos[other], pa.float64())], ["vec_id", "near_id", "cos"])
 
-    return routed.groupBy("cell").applyInArrow(run, FOUND)
+    # one partition a cell: hashing would put several cells into one task and leave others idle
+    return routed.repartitionById(plan.cells, F.col("cell")).mapInArrow(run, FOUND)
 
 
 def _exact(rows: DataFrame, ids: np.ndarray, q: np.ndarray, plan: Plan, k: int, dim: int) -> DataFrame:

@@ -18,10 +18,28 @@ def p2_found(spark, sf_dir):
     return leading(ranked, 3).select("question_id", "chunk_id")
 
 
+def p3_found(spark, sf_dir):
+    from spanforge.llm.docpairs import pair_functions
+
+    return pair_functions(read_table(spark, sf_dir, "documents"), code=False).select("doc_id", "def_line", "qual_name")
+
+
 def p4_found(spark, sf_dir):
     from spanforge.llm.distinctive import residuals, top_term
 
     return top_term(residuals(read_table(spark, sf_dir, "postings")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+def p6_found(spark, sf_dir):
+    from spanforge.llm.syntax import verdicts
+
+    return verdicts(read_table(spark, sf_dir, "documents")).where("not parses").select("doc_id")
+
+
+def p6_rates(spark, sf_dir):
+    from spanforge.llm.syntax import rates, verdicts
+
+    return rates(verdicts(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_rates)}
