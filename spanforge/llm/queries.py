@@ -42,4 +42,22 @@ def p6_rates(spark, sf_dir):
     return rates(verdicts(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_rates)}
+def p7_found(spark, sf_dir):
+    from spanforge.llm.pieces import split_documents
+
+    return split_documents(read_table(spark, sf_dir, "documents")).where("piece_no = 2").select("doc_id")
+
+
+def p7_pieces(spark, sf_dir):
+    from spanforge.llm.pieces import split_documents
+
+    return split_documents(read_table(spark, sf_dir, "documents")).drop("piece")
+
+
+def p8_ids(spark, sf_dir):
+    from spanforge.llm.encoding import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_rates, p7_found, p7_pieces, p8_ids)}
