@@ -60,4 +60,16 @@ def p8_ids(spark, sf_dir):
     return encode_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_rates, p7_found, p7_pieces, p8_ids)}
+def p9_found(spark, sf_dir):
+    from spanforge.llm.leakage import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def p10_found(spark, sf_dir):
+    from spanforge.llm.spam import find_spam
+
+    return find_spam(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_rates, p7_found, p7_pieces, p8_ids, p9_found, p10_found)}
