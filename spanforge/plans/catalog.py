@@ -1,26 +1,426 @@
-"""Named queries of the core with their SQL twins."""
+"""Named queries of the core, each over its whole tables, with their SQL twins."""
 
 from __future__ import annotations
 
-from spanforge.operators.merkle import pending_files
-from spanforge.runtime import read_table
+from pyspark.sql import functions as F
+
+from spanforge.functions import spans as S
+from spanforge.functions import text as T
+from spanforge.operators import answer as A
+from spanforge.operators import chunking as C
+from spanforge.operators import evaluate as E
+from spanforge.operators import incremental as I
+from spanforge.operators import index as X
+from spanforge.operators import retrieval as R
+from spanforge.operators.merkle import normal_hash, pending_files
+from spanforge.plans import duck as D
+from spanforge.runtime import cut, read_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[name] = sql
+            SQL[f.__name__] = sql
         return f
 
     return add
 
 
+def _documents(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents")
+
+
+def _normal(spark, sf_dir):
+    return _documents(spark, sf_dir).withColumn("text", T.normal_newlines("text"))
+
+
+def _chunks(spark, sf_dir, context: bool = False):
+    docs = _documents(spark, sf_dir)
+    rows = X.current_chunks(read_table(spark, sf_dir, "chunks"), docs)
+    if not context:
+        return rows
+    marked = F.col("file_path").endswith(".md") | F.col("file_path").endswith(".txt")
+    return X.header_context(rows, C.headers(docs.where(marked)))
+
+
+def _questions(spark, sf_dir):
+    return X.latest_questions(read_table(spark, sf_dir, "questions"))
+
+
+def _index(spark, sf_dir):
+    """The index of the given chunks. Term counts are the costly part: written once."""
+    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
+    return X.build_index(chunks, cut(X.term_counts(chunks), "postings"))
+
+
+# ---------------------------------------------------------------- chunking
+
+
+@query(
+    f"""
+    SELECT doc_id, i AS window_no, i * 1700 AS first, least(i * 1700 + 2000, n)::BIGINT AS last
+    FROM (SELECT doc_id, length(text) AS n, unnest(generate_series(0, greatest(0, ceil((length(text) - 2000) / 1700.0))::BIGINT)) AS i
+          FROM {D.DOCS} WHERE length(text) > 0)
+    """
+)
+def slice_window_docs(spark, sf_dir):
+    rows = _normal(spark, sf_dir).select("doc_id", F.lit(0).cast("long").alias("first"), F.length("text").cast("long").alias("last"))
+    return C.slice_windows(rows).select("doc_id", F.col("window_no").cast("long").alias("window_no"), "first", "last")
+
+
+@query(f"SELECT doc_id, line_no::BIGINT AS line_no, line_start, length(line) AS chars FROM {D.LINES}")
+def line_offsets(spark, sf_dir):
+    return C.lines(_documents(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line_start", F.length("line").cast("long").alias("chars"))
+
+
+@query(f'SELECT doc_id, "offset", level, title FROM {D.HEADERS}')
+def header_scan(spark, sf_dir):
+    return C.headers(_documents(spark, sf_dir)).select("doc_id", "offset", F.col("level").cast("long").alias("level"), "title")
+
+
+def _sizes(spark, sf_dir):
+    return _normal(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("size"))
+
+
+@query(
+    f"""
+    SELECT h.doc_id, h."offset" AS first, coalesce(lead(h."offset") OVER (PARTITION BY h.doc_id ORDER BY h."offset"), length(d.text))::BIGINT AS last
+    FROM {D.HEADERS} h JOIN {D.DOCS} d USING (doc_id)
+    """
+)
+def leaf_sections(spark, sf_dir):
+    return C.leaf_sections(C.headers(_documents(spark, sf_dir)), _sizes(spark, sf_dir))
+
+
+@query(
+    f"""
+    WITH h AS MATERIALIZED (SELECT * FROM {D.HEADERS})
+    SELECT doc_id, first, last FROM (
+      SELECT a.doc_id, a."offset" AS first, coalesce(min(b."offset"), any_value(length(d.text)))::BIGINT AS last
+      FROM h a JOIN {D.DOCS} d USING (doc_id) LEFT JOIN h b ON b.doc_id = a.doc_id AND b."offset" > a."offset" AND b.level <= a.level
+      GROUP BY a.doc_id, a."offset") WHERE last - first <= 2000
+    """
+)
+def parent_sections(spark, sf_dir):
+    return C.parent_sections(C.headers(_documents(spark, sf_dir)), _sizes(spark, sf_dir))
+
+
+@query(
+    f"""
+    SELECT chunk_id, (first + length(text) - length(ltrim(text, ' ' || chr(9) || chr(10) || chr(13))))::BIGINT AS first,
+           (first + length(text) - length(ltrim(text, ' ' || chr(9) || chr(10) || chr(13))) + length(trim(text, ' ' || chr(9) || chr(10) || chr(13))))::BIGINT AS last
+    FROM {D.CHUNKS} WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) BETWEEN 40 AND 2000
+    """
+)
+def span_trim_filter(spark, sf_dir):
+    rows = _chunks(spark, sf_dir)
+    size = F.length("text").cast("long")
+    at = rows.select("chunk_id", F.col("first").alias("base"), "text", F.lit(0).cast("long").alias("first"), size.alias("last"))
+    kept = C.trim_and_filter(at, F.col("text"))
+    return kept.select("chunk_id", (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"))
+
+
+@query(f"SELECT chunk_id, doc_id, file_path, first, last, text FROM {D.CHUNKS}")
+def chunk_texts(spark, sf_dir):
+    return _chunks(spark, sf_dir)
+
+
+@query()
+def chunk_files(spark, sf_dir):
+    return C.chunk_files(_documents(spark, sf_dir))
+
+
+@query()
+def chunk_counts(spark, sf_dir):
+    return C.chunk_files(_documents(spark, sf_dir)).groupBy("file_path").agg(F.count("*").alias("chunks"))
+
+
+# ---------------------------------------------------------------- words and terms
+
+_VOCABULARY = f"(SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_]+')) AS word FROM {D.DOCS})"
+
+
+def _vocabulary(spark, sf_dir):
+    return _normal(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+
+
+@query(f"SELECT word, {D.stem('lower(word)')} AS stem FROM {_VOCABULARY}")
+def stem_vocabulary(spark, sf_dir):
+    return _vocabulary(spark, sf_dir).select("word", T.stem(F.col("word")).alias("stem"))
+
+
+@query(f"SELECT word, array_to_string({D.parts('word')}, ' ') AS parts FROM {_VOCABULARY}")
+def split_identifiers(spark, sf_dir):
+    return _vocabulary(spark, sf_dir).select("word", F.concat_ws(" ", T.split_identifier(F.col("word"))).alias("parts"))
+
+
+@query(f"SELECT doc_id, term, sum(weight)::BIGINT AS tf FROM {D.tokens(D.DOCS, 'doc_id', 'text')} GROUP BY ALL")
+def tokenize_docs(spark, sf_dir):
+    rows = _normal(spark, sf_dir).select("doc_id", F.explode(T.body_terms(F.col("text"))).alias("t"))
+    return rows.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("tf"))
+
+
+_PATH_WORDS = f"lower(w) NOT IN ({D.NOISE})"
+
+
+@query(f"SELECT doc_id, term, sum(weight)::BIGINT AS tf FROM {D.tokens(D.DOCS, 'doc_id', 'file_path', 2, _PATH_WORDS)} GROUP BY ALL")
+def path_tokens(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(T.path_terms(F.col("file_path"))).alias("t"))
+    return rows.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("tf"))
+
+
+@query(f"SELECT chunk_id, context FROM {D.CONTEXT}")
+def header_context(spark, sf_dir):
+    return _chunks(spark, sf_dir, context=True).where("context is not null").select("chunk_id", "context")
+
+
+# ---------------------------------------------------------------- the index
+
+
+@query(f"SELECT chunk_id, term, tf FROM {D.COUNTS}")
+def term_counts(spark, sf_dir):
+    return X.term_counts(_chunks(spark, sf_dir, context=True))
+
+
+@query(f"SELECT c.chunk_id, coalesce(sum(tf), 0)::BIGINT AS doc_len FROM {D.CHUNKS} c LEFT JOIN {D.COUNTS} t USING (chunk_id) GROUP BY ALL")
+def chunk_lengths(spark, sf_dir):
+    return _index(spark, sf_dir).doc_stats
+
+
+@query(
+    f"""
+    SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 9) AS idf
+    FROM (SELECT term, count(*) AS df FROM {D.COUNTS} GROUP BY term), (SELECT count(*) AS n FROM {D.CHUNKS})
+    """
+)
+def term_statistics(spark, sf_dir):
+    return _index(spark, sf_dir).term_stats.withColumn("idf", F.round("idf", 9))
+
+
+@query(
+    f"""
+    SELECT count(*) AS n, round(avg(len), 6) AS avgdl
+    FROM (SELECT c.chunk_id, coalesce(sum(tf), 0) AS len FROM {D.CHUNKS} c LEFT JOIN {D.COUNTS} t USING (chunk_id) GROUP BY ALL)
+    """
+)
+def corpus_statistics(spark, sf_dir):
+    return _index(spark, sf_dir).corpus_stats.withColumn("avgdl", F.round("avgdl", 6))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def _rounded(ranked):
+    return ranked.select("question_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _top(sql: str) -> str:
+    return f"SELECT question_id, chunk_id, round(score, 6) AS score, rank::BIGINT AS rank FROM {sql}"
+
+
+@query(_top(D.bm25_top(10)))
+def bm25_topk(spark, sf_dir):
+    return _rounded(R.bm25_search(_index(spark, sf_dir), _questions(spark, sf_dir), 10))
+
+
+@query(_top(D.bm25_top(10, typed="docs")))
+def bm25_topk_docs(spark, sf_dir):
+    return _rounded(R.bm25_search(_index(spark, sf_dir), _questions(spark, sf_dir), 10, doc_type=F.lit("docs")))
+
+
+@query(_top(D.bm25_top(10, typed="code")))
+def bm25_topk_code(spark, sf_dir):
+    return _rounded(R.bm25_search(_index(spark, sf_dir), _questions(spark, sf_dir), 10, doc_type=S.doc_type_of(F.lit("dataset_code_public"))))
+
+
+@query(_top(D.bm25_top(5, k1=0.9, b=0.4)))
+def bm25_custom_k1b(spark, sf_dir):
+    return _rounded(R.bm25_search(_index(spark, sf_dir), _questions(spark, sf_dir), 5, k1=0.9, b=0.4))
+
+
+def _vectors(spark, sf_dir):
+    """Usable vectors, one per vec_id, the latest by encoded_at, under the name chunk_id."""
+    e = F.col("embedding")
+    good = e.isNotNull() & (F.size(e) == 384) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    rows = read_table(spark, sf_dir, "chunk_vectors").where(good & F.col("vec_id").isNotNull())
+    return rows.groupBy("vec_id").agg(F.max_by("embedding", "encoded_at").alias("embedding")).withColumnRenamed("vec_id", "chunk_id")
+
+
+_ASKED = f"(SELECT 'v' || chunk_id AS question_id, chunk_id AS qid, e FROM {D.VECTORS} WHERE chunk_id % 20 = 0)"
+_VECTOR_TOP = f"""
+    WITH v AS MATERIALIZED (SELECT * FROM {D.VECTORS})
+    SELECT question_id, chunk_id, score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::BIGINT AS rank FROM (
+        SELECT 'v' || q.chunk_id AS question_id, v.chunk_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q, v WHERE q.chunk_id % 20 = 0)) WHERE rank <= 10
+"""
+
+
+@query(_VECTOR_TOP)
+def vector_topk(spark, sf_dir):
+    """Queries are the vectors whose id is divisible by 20, searched in all vectors."""
+    vectors = cut(_vectors(spark, sf_dir), "vectors")
+    asked = vectors.where("chunk_id % 20 = 0").select(F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("question_id"), "embedding")
+    return R.vector_search(vectors, asked, 10).select("question_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_SCORES = """(
+  SELECT question_id, scorer, chunk_id, arg_max(score, struct_pack(a := scored_at, b := score)) AS score FROM retrieval_scores
+  WHERE score IS NOT NULL AND NOT isnan(score) AND question_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL)"""
+
+
+def _ranked_scores(spark, sf_dir, scorer: str):
+    rows = read_table(spark, sf_dir, "retrieval_scores").where((F.col("scorer") == scorer) & F.col("score").isNotNull() & ~F.isnan("score") & F.col("question_id").isNotNull() & F.col("chunk_id").isNotNull())
+    last = rows.groupBy("question_id", "chunk_id").agg(F.max(F.struct("scored_at", "score")).alias("l")).select("question_id", "chunk_id", F.col("l.score").alias("score"))
+    return R.top_k(last, 30, F.desc("score"), "chunk_id")
+
+
+@query(
+    f"""
+    WITH s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY question_id, scorer ORDER BY score DESC, chunk_id) AS r FROM {_SCORES} WHERE scorer IN ('lexical', 'semantic'))
+    SELECT question_id, chunk_id, round(score, 9) AS score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, lex NULLS LAST, sem)::BIGINT AS rank FROM (
+        SELECT question_id, chunk_id, round(sum(CASE scorer WHEN 'lexical' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END / (60 + r)), 12) AS score,
+               min(r) FILTER (scorer = 'lexical') AS lex, min(r) FILTER (scorer = 'semantic') AS sem
+        FROM s WHERE r <= 30 GROUP BY ALL)) WHERE rank <= 10
+    """
+)
+def rrf_hybrid(spark, sf_dir):
+    """Fusion of the stored lexical and semantic scores."""
+    fused = R.fuse(_ranked_scores(spark, sf_dir, "lexical"), _ranked_scores(spark, sf_dir, "semantic"), 10)
+    return fused.select("question_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    """BM25 and stand-in vectors of all chunks, fused."""
+    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
+    index = X.build_index(chunks, cut(X.term_counts(chunks), "postings"))
+    return R.hybrid_search(index, cut(R.embed_chunks(chunks), "vectors"), _questions(spark, sf_dir), k=10)
+
+
+@query(
+    f"""
+    SELECT question_id, q.question, coalesce(string_agg(c.file_path || ':' || c.first || ':' || c.last, ' ' ORDER BY t.rank), '') AS retrieved
+    FROM {D.QUESTIONS} q LEFT JOIN ({_top(D.bm25_top(10))}) t USING (question_id) LEFT JOIN {D.CHUNKS} c USING (chunk_id) GROUP BY ALL
+    """
+)
+def search_results(spark, sf_dir):
+    """Nested results as they are written, each source as path:first:last."""
+    index, questions = _index(spark, sf_dir), _questions(spark, sf_dir)
+    nested = R.nested_results(R.resolve(R.bm25_search(index, questions, 10), index.chunks), questions)
+    one = lambda s: F.concat_ws(":", s["file_path"], s["first_character_index"], s["last_character_index"])
+    return nested.select("question_id", "question", F.concat_ws(" ", F.transform("retrieved_sources", one)).alias("retrieved"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+_TRUTH = f"(SELECT question_id, s.file_path, s.first_character_index AS s0, s.last_character_index AS s1 FROM (SELECT question_id, unnest(sources) AS s FROM {D.QUESTIONS} WHERE answer IS NOT NULL AND len(sources) > 0))"
+_IOU = "CASE WHEN (s1 - s0) + (last - first) - greatest(0, least(s1, last) - greatest(s0, first)) > 0 THEN greatest(0, least(s1, last) - greatest(s0, first)) / ((s1 - s0) + (last - first) - greatest(0, least(s1, last) - greatest(s0, first))) ELSE 0.0 END"
+
+
+@query(f"SELECT question_id, chunk_id, s0, s1, first, last, round({_IOU}, 6) AS iou FROM {_TRUTH} t JOIN {D.CHUNKS} c USING (file_path)")
+def iou_pairs(spark, sf_dir):
+    t = E.truth(_questions(spark, sf_dir)).select("question_id", "file_path", F.col("first").alias("s0"), F.col("last").alias("s1"))
+    pairs = t.join(_chunks(spark, sf_dir), "file_path")
+    return pairs.select("question_id", "chunk_id", "s0", "s1", "first", "last", F.round(S.iou(F.col("s0"), F.col("s1"), F.col("first"), F.col("last")), 6).alias("iou"))
+
+
+@query(
+    f"""
+    WITH r AS (SELECT t.question_id, c.file_path, c.first, c.last, row_number() OVER (PARTITION BY t.question_id ORDER BY t.rank) AS rank
+               FROM {D.bm25_top(10)} t JOIN {D.CHUNKS} c USING (chunk_id) WHERE c.last - c.first <= 2000),
+    t AS MATERIALIZED (SELECT * FROM {_TRUTH}),
+    h AS (SELECT q.question_id, min(hit) AS hit FROM (SELECT DISTINCT question_id FROM t) q
+          LEFT JOIN (SELECT t.question_id, r.rank AS hit FROM t JOIN r USING (question_id, file_path) WHERE {_IOU} >= 0.05) x USING (question_id) GROUP BY ALL)
+    SELECT cut, count(*) FILTER (hit <= cut) AS hits, count(*) AS total, round_even(count(*) FILTER (hit <= cut) / count(*), 4) AS recall
+    FROM h, (SELECT unnest([1, 3, 5, 10]) AS cut) GROUP BY cut
+    """
+)
+def recall_at_k(spark, sf_dir):
+    index, questions = _index(spark, sf_dir), _questions(spark, sf_dir)
+    results = R.resolve(R.bm25_search(index, questions, 10), index.chunks)
+    return E.recall(E.hit_ranks(results, E.truth(questions)))
+
+
+# ---------------------------------------------------------------- incremental
+
+_SEEN = """(SELECT file_path, mtime, h AS hash FROM (SELECT file_path, mtime, nullif(lower(trim(hash)), '') AS h, present,
+  row_number() OVER (PARTITION BY file_path ORDER BY seen_at DESC, scan_id DESC, mtime DESC) AS rn FROM file_scans WHERE file_path IS NOT NULL) WHERE rn = 1 AND present)"""
+_SAVED = """(SELECT file_path, mtime, h AS hash FROM (SELECT r.file_path, r.mtime, nullif(lower(trim(r.hash)), '') AS h,
+  row_number() OVER (PARTITION BY r.file_path ORDER BY u.started_at DESC, r.run_id DESC, r.written_at DESC, r.mtime DESC) AS rn
+  FROM registry r JOIN index_runs u USING (run_id) WHERE u.status = 'success' AND r.file_path IS NOT NULL) WHERE rn = 1)"""
+
+
+def _seen(spark, sf_dir):
+    scans = read_table(spark, sf_dir, "file_scans").where("file_path is not null")
+    last = F.max(F.struct("seen_at", "scan_id", "mtime", F.coalesce("present", F.lit(False)).alias("present"), "hash"))
+    return scans.groupBy("file_path").agg(last.alias("l")).where("l.present").select("file_path", F.col("l.mtime").alias("mtime"), normal_hash(F.col("l.hash")).alias("hash"))
+
+
+def _saved(spark, sf_dir):
+    runs = read_table(spark, sf_dir, "index_runs").where(F.lower(F.trim("status")) == "success").select("run_id", "started_at").distinct()
+    rows = read_table(spark, sf_dir, "registry").where("file_path is not null").join(runs, "run_id")
+    last = F.max(F.struct("started_at", "run_id", "written_at", "mtime", "hash", "chunks"))
+    return rows.groupBy("file_path").agg(last.alias("l")).select("file_path", F.col("l.mtime").alias("mtime"), F.col("l.hash").alias("hash"), F.col("l.chunks").alias("chunks"))
+
+
+@query(f"SELECT file_path FROM {_SEEN} ANTI JOIN {_SAVED} USING (file_path)")
+def scan_added(spark, sf_dir):
+    return I.scan_changes(_seen(spark, sf_dir), _saved(spark, sf_dir)).added.select("file_path")
+
+
+@query(f"SELECT file_path FROM {_SAVED} ANTI JOIN {_SEEN} USING (file_path)")
+def scan_deleted(spark, sf_dir):
+    return I.scan_changes(_seen(spark, sf_dir), _saved(spark, sf_dir)).deleted
+
+
+@query(f"SELECT file_path FROM {_SEEN} f JOIN {_SAVED} r USING (file_path) WHERE f.mtime IS DISTINCT FROM r.mtime AND coalesce(f.hash <> r.hash, true)")
+def scan_modified(spark, sf_dir):
+    return I.scan_changes(_seen(spark, sf_dir), _saved(spark, sf_dir)).modified.select("file_path")
+
+
+@query(
+    f"""
+    WITH f AS MATERIALIZED (SELECT * FROM {_SEEN}), r AS MATERIALIZED (SELECT * FROM {_SAVED})
+    SELECT 'added' AS change, (SELECT count(*) FROM f ANTI JOIN r USING (file_path)) AS files
+    UNION ALL SELECT 'deleted', (SELECT count(*) FROM r ANTI JOIN f USING (file_path))
+    UNION ALL SELECT 'modified', (SELECT count(*) FROM f JOIN r USING (file_path) WHERE f.mtime IS DISTINCT FROM r.mtime AND coalesce(f.hash <> r.hash, true))
+    """
+)
+def change_counts(spark, sf_dir):
+    return I.change_counts(I.scan_changes(_seen(spark, sf_dir), _saved(spark, sf_dir)))
+
+
+@query(
+    f"""
+    WITH f AS MATERIALIZED (SELECT * FROM {_SEEN}), r AS MATERIALIZED (SELECT * FROM {_SAVED}),
+    gone AS (SELECT r.file_path FROM r LEFT JOIN f USING (file_path) WHERE f.file_path IS NULL OR (f.mtime IS DISTINCT FROM r.mtime AND coalesce(f.hash <> r.hash, true)))
+    SELECT chunk_id, file_path, first, last FROM {D.CHUNKS} ANTI JOIN gone USING (file_path)
+    """
+)
+def incremental_preserved(spark, sf_dir):
+    """Chunks that an update keeps: those of files neither changed nor deleted."""
+    changes = I.scan_changes(_seen(spark, sf_dir), _saved(spark, sf_dir))
+    gone = changes.modified.select("file_path").unionByName(changes.deleted).distinct()
+    return _chunks(spark, sf_dir).join(gone, "file_path", "left_anti").select("chunk_id", "file_path", "first", "last")
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
+def sha256_docs(spark, sf_dir):
+    return _documents(spark, sf_dir).where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query(f"SELECT question_id, sha256('v1:' || trim(question) || ':10:false:') AS key FROM {D.QUESTIONS} WHERE question IS NOT NULL")
+def cache_keys(spark, sf_dir):
+    key = T.cache_key(F.lit("v1"), F.col("question"), F.lit(10), F.lit(False), F.lit(None).cast("string"))
+    return _questions(spark, sf_dir).where("question is not null").select("question_id", key.alias("key"))
+
+
 @query(
-    "p5_found",
     """
     WITH scan AS (
       SELECT file_path, scan_id, present, nullif(lower(trim(hash)), '') AS h,
@@ -32,7 +432,52 @@ def query(name: str, sql: str | None = None):
       FROM (SELECT DISTINCT * FROM registry) r JOIN index_runs u USING (run_id) WHERE u.status = 'success')
     SELECT s.file_path, s.scan_id FROM scan s LEFT JOIN reg g ON g.file_path = s.file_path AND g.rn = 1
     WHERE s.rn = 1 AND s.present AND (g.file_path IS NULL OR g.h IS NULL OR s.h IS NULL OR g.h <> s.h)
-    """,
+    """
 )
 def p5_found(spark, sf_dir):
     return pending_files(*(read_table(spark, sf_dir, t) for t in ("file_scans", "registry", "index_runs")))
+
+
+# ---------------------------------------------------------------- answers
+
+_SNIPPETS = f"""(
+  SELECT question_id, t.rank, trim(c.text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM {D.bm25_top(3)} t JOIN {D.CHUNKS} c USING (chunk_id))"""
+_CONTEXTS = f"""(
+  SELECT question_id, coalesce(string_agg(CASE WHEN before + length(s) <= 1800 THEN s WHEN cut_before = 0 AND 1800 - before > 100 THEN left(s, 1800 - before) END, chr(10) || chr(10) ORDER BY rank), '') AS context
+  FROM (SELECT *, sum((before + length(s) > 1800)::INT) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut_sum,
+               coalesce(sum((before + length(s) > 1800)::INT) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut_before
+        FROM (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {_SNIPPETS} WHERE length(s) > 0))
+  WHERE cut_before = 0 GROUP BY question_id)"""
+
+
+def _contexts(spark, sf_dir):
+    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
+    index = X.build_index(chunks, cut(X.term_counts(chunks), "postings"))
+    questions = _questions(spark, sf_dir)
+    return questions, A.contexts(R.bm25_search(index, questions, 3), chunks)
+
+
+@query(f"SELECT question_id, context FROM {_CONTEXTS}")
+def context_assembly(spark, sf_dir):
+    return _contexts(spark, sf_dir)[1]
+
+
+@query(f"SELECT q.question_id, 'Context:' || chr(10) || coalesce(c.context, '') || chr(10) || chr(10) || 'Question: ' || coalesce(q.question, '') AS prompt FROM {D.QUESTIONS} q LEFT JOIN {_CONTEXTS} c USING (question_id)")
+def prompt_build(spark, sf_dir):
+    return A.prompts(*_contexts(spark, sf_dir)).select("question_id", "prompt")
+
+
+@query()
+def answer_questions(spark, sf_dir):
+    """Answers by the extractive stand-in."""
+    return A.generate_answers(A.prompts(*_contexts(spark, sf_dir)))
+
+
+@query(f"SELECT chunk_id, file_path || chr(10) || left(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 400) AS text FROM {D.CHUNKS}")
+def embedding_texts(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("chunk_id", S.embedding_text(F.col("file_path"), F.col("text")).alias("text"))
+
+
+@query("SELECT file_path FROM documents WHERE regexp_matches(file_path, '\\.(py|md|txt)$')")
+def indexed_files(spark, sf_dir):
+    return _documents(spark, sf_dir).where(F.col("file_path").rlike(C.INDEXED)).select("file_path")
