@@ -23,7 +23,7 @@ CAMEL = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|\d|\W|$)|[0-9]+"
 BODY_WEIGHT, CONTEXT_WEIGHT = 1, 2
 
 
-def _is_term(c: Column) -> Column:
+def is_term(c: Column) -> Column:
     return (F.length(c) > 1) & ~c.isin(*STOPWORDS)
 
 
@@ -57,7 +57,7 @@ def split_identifier(word: Column) -> Column:
     """The lowered word, then its snake-case parts if it has an underscore, then its camel-case
     parts if there are several. Parts of one letter and stopwords are left out, repeats kept."""
     none = F.array().cast("array<string>")
-    kept = lambda parts: F.filter(F.transform(parts, F.lower), _is_term)
+    kept = lambda parts: F.filter(F.transform(parts, F.lower), is_term)
     camel = F.regexp_extract_all(word, F.lit(CAMEL), F.lit(0))
     return F.concat(
         F.array(F.lower(word)),
@@ -74,7 +74,7 @@ def _terms(found: Column, weight: int) -> Column:
     """Weighted terms of an array of words: each term, and its stem where that differs."""
 
     def of_word(word: Column) -> Column:
-        parts = F.filter(split_identifier(word), _is_term)
+        parts = F.filter(split_identifier(word), is_term)
         return F.flatten(F.transform(parts, lambda p: F.array_distinct(F.array(p, stem(p)))))
 
     terms = F.flatten(F.transform(found, of_word))

@@ -18,7 +18,7 @@ from spanforge.functions.text import normal_newlines
 MAX_CHUNK = 2000
 LEAST_SECTION = 40
 BLOCK_OVERLAP = 300
-HEADER = r"^(#{1,6})\s+(.*)$"
+HEADER = r"^(#{1,6})\s+([\s\S]*)$"
 
 
 # ---------------------------------------------------------------- windows and lines, native
@@ -45,22 +45,23 @@ def slice_windows(spans: DataFrame, first: str = "first", last: str = "last", ma
 
 
 def lines(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, line_no from 0, line_start, line: the lines of each text with their character
-    offsets after newline normalisation. A null text has no lines."""
-    text = normal_newlines("text")
-    split = files.where(F.col("text").isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    """key, lines, line_no from 0, line, line_start: the lines of each text with their number
+    and character offsets after newline normalisation. A null text has no lines."""
+    cut = F.split(normal_newlines("text"), "\n")
+    split = files.where(F.col("text").isNotNull()).select(key, F.size(cut).alias("lines"), F.posexplode(cut).alias("line_no", "line"))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return split.withColumn("line_start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long"))
 
 
 def headers(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, offset, level, title of each Markdown header line, fences regardless."""
-    found = lines(files, key).where(F.col("line").rlike(HEADER))
+    ended = F.when(F.col("line_no") < F.col("lines") - 1, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
+    found = lines(files, key).where(F.col("line").startswith("#")).withColumn("line", ended).where(F.col("line").rlike(HEADER))
     return found.select(
         key,
         F.col("line_start").alias("offset"),
         F.length(F.regexp_extract("line", HEADER, 1)).alias("level"),
-        F.trim(F.regexp_extract("line", HEADER, 2)).alias("title"),
+        F.regexp_replace(F.regexp_extract("line", HEADER, 2), r"^\s+|\s+$", "").alias("title"),
     )
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.functions import text as T
 from spanforge.functions.spans import cut_span, okapi_idf
 from spanforge.functions.text import normal_newlines, terms
 from spanforge.operators.chunking import chunk_files, headers
@@ -67,12 +67,25 @@ def chunk_corpus(files: DataFrame, max_chunk: int = 2000, key: str = "doc_id") -
     )
 
 
+def exploded_terms(rows: DataFrame, key: str, found: Column, weight: int) -> DataFrame:
+    """key, term, weight for an array of words: the same terms as functions.text.terms, but one
+    row each, so that splitting and stemming are compiled instead of interpreted per element."""
+    one = rows.select(key, F.explode(found).alias("word"))
+    part = one.select(key, F.explode(T.split_identifier(F.col("word"))).alias("part")).where(T.is_term(F.col("part")))
+    both = F.array_distinct(F.array(F.col("part"), T.stem(F.col("part"))))
+    return part.select(key, F.explode(both).alias("term"), F.lit(weight).cast("long").alias("weight"))
+
+
 def term_counts(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf: weighted occurrences of each term of each chunk (text, file_path and,
     if there, context). Counts are combined map-side."""
-    context = F.col("context") if "context" in chunks.columns else None
-    weighted = chunks.select("chunk_id", F.explode(terms(F.col("text"), F.col("file_path"), context)).alias("t"))
-    return weighted.groupBy("chunk_id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("tf"))
+    long = lambda c: F.filter(T.words(F.col(c)), lambda w: F.length(w) > 1)
+    path = F.filter(T.words(F.col("file_path")), lambda w: ~F.lower(w).isin(*T.PATH_NOISE))
+    found = exploded_terms(chunks, "chunk_id", long("text"), T.BODY_WEIGHT)
+    found = found.unionByName(exploded_terms(chunks, "chunk_id", path, T.CONTEXT_WEIGHT))
+    if "context" in chunks.columns:
+        found = found.unionByName(exploded_terms(chunks, "chunk_id", long("context"), T.CONTEXT_WEIGHT))
+    return found.groupBy("chunk_id", "term").agg(F.sum("weight").alias("tf"))
 
 
 def build_index(chunks: DataFrame, counts: DataFrame | None = None) -> LexicalIndex:

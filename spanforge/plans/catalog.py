@@ -160,8 +160,9 @@ def split_identifiers(spark, sf_dir):
 
 @query(f"SELECT doc_id, term, sum(weight)::BIGINT AS tf FROM {D.tokens(D.DOCS, 'doc_id', 'text')} GROUP BY ALL")
 def tokenize_docs(spark, sf_dir):
-    rows = _normal(spark, sf_dir).select("doc_id", F.explode(T.body_terms(F.col("text"))).alias("t"))
-    return rows.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("tf"))
+    found = F.filter(T.words(F.col("text")), lambda w: F.length(w) > 1)
+    rows = X.exploded_terms(_documents(spark, sf_dir), "doc_id", found, T.BODY_WEIGHT)
+    return rows.groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"))
 
 
 _PATH_WORDS = f"lower(w) NOT IN ({D.NOISE})"
@@ -443,9 +444,8 @@ def p5_found(spark, sf_dir):
 _SNIPPETS = f"""(
   SELECT question_id, t.rank, trim(c.text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM {D.bm25_top(3)} t JOIN {D.CHUNKS} c USING (chunk_id))"""
 _CONTEXTS = f"""(
-  SELECT question_id, coalesce(string_agg(CASE WHEN before + length(s) <= 1800 THEN s WHEN cut_before = 0 AND 1800 - before > 100 THEN left(s, 1800 - before) END, chr(10) || chr(10) ORDER BY rank), '') AS context
-  FROM (SELECT *, sum((before + length(s) > 1800)::INT) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut_sum,
-               coalesce(sum((before + length(s) > 1800)::INT) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut_before
+  SELECT question_id, coalesce(string_agg(CASE WHEN before + length(s) <= 1800 THEN s WHEN cut_before = 0 AND 1800 - before > 100 THEN left(s, (1800 - before)::BIGINT) END, chr(10) || chr(10) ORDER BY rank), '') AS context
+  FROM (SELECT *, coalesce(sum((before + length(s) > 1800)::INT) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut_before
         FROM (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {_SNIPPETS} WHERE length(s) > 0))
   WHERE cut_before = 0 GROUP BY question_id)"""
 

@@ -65,13 +65,14 @@ QUESTIONS = """(SELECT question_id, question, answer, sources FROM (SELECT *, ro
   FROM questions WHERE question_id IS NOT NULL) WHERE rn = 1)"""
 
 LINES = f"""(
-  SELECT doc_id, line_no, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start
-  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no
+  SELECT doc_id, n, line_no, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start
+  FROM (SELECT doc_id, len(l) AS n, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no
         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {DOCS} WHERE text IS NOT NULL)))"""
 
 HEADERS = rf"""(
-  SELECT doc_id, line_start AS "offset", length(regexp_extract(line, '^(#{{1,6}})\s+(.*)$', 1)) AS level, trim(regexp_extract(line, '^(#{{1,6}})\s+(.*)$', 2)) AS title
-  FROM {LINES} WHERE regexp_matches(line, '^(#{{1,6}})\s+(.*)$'))"""
+  SELECT doc_id, line_start AS "offset", length(regexp_extract(e, '^(#{{1,6}})\s+([\s\S]*)$', 1)) AS level,
+         regexp_replace(regexp_extract(e, '^(#{{1,6}})\s+([\s\S]*)$', 2), '^\s+|\s+$', '', 'g') AS title
+  FROM (SELECT *, CASE WHEN line_no < n - 1 THEN line || chr(10) ELSE line END AS e FROM {LINES}) WHERE regexp_matches(e, '^(#{{1,6}})\s+([\s\S]*)$'))"""
 
 CONTEXT = f"""(
   SELECT chunk_id, string_agg(title, ' ' ORDER BY "offset") AS context FROM (
