@@ -29,7 +29,8 @@ def is_term(c: Column) -> Column:
 
 def normal_newlines(text: Column | str) -> Column:
     """CRLF and lone CR as LF: the text that all character positions refer to."""
-    return F.regexp_replace(text, "\r\n?", "\n")
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def stem(word: Column) -> Column:
@@ -41,11 +42,12 @@ def stem(word: Column) -> Column:
     def restored(base: Column) -> Column:
         return F.when(base.endswith("at") | base.endswith("iz"), F.concat(base, F.lit("e"))).otherwise(base)
 
+    last = F.substring(w, -1, 1)
     return (
-        F.when(n <= 3, w)
+        F.when((n <= 3) | ~last.isin("s", "g", "d", "n"), w)
         .when(w.endswith("ies") & (n > 4), F.concat(drop(3), F.lit("y")))
-        .when(w.rlike("[shxz]es$"), drop(2))
-        .when(w.rlike("[^s]s$"), drop(1))
+        .when(w.endswith("es") & F.substring(w, -3, 1).isin("s", "h", "x", "z"), drop(2))
+        .when((last == "s") & ~w.endswith("ss"), drop(1))
         .when(w.endswith("ing") & (n > 5), restored(drop(3)))
         .when(w.endswith("ed") & (n > 4), restored(drop(2)))
         .when(w.endswith("tion") & (n > 5), F.concat(drop(4), F.lit("te")))
@@ -59,11 +61,12 @@ def split_identifier(word: Column) -> Column:
     none = F.array().cast("array<string>")
     kept = lambda parts: F.filter(F.transform(parts, F.lower), is_term)
     camel = F.regexp_extract_all(word, F.lit(CAMEL), F.lit(0))
-    return F.concat(
+    split = F.concat(
         F.array(F.lower(word)),
         F.when(word.contains("_"), kept(F.split(word, "_"))).otherwise(none),
         F.when(F.size(camel) > 1, kept(camel)).otherwise(none),
     )
+    return F.when(word.rlike("^[A-Z]?[a-z]+$"), F.array(F.lower(word))).otherwise(split)  # most words are plain
 
 
 def words(text: Column) -> Column:

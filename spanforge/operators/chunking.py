@@ -56,7 +56,7 @@ def lines(files: DataFrame, key: str = "doc_id") -> DataFrame:
 def headers(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, offset, level, title of each Markdown header line, fences regardless."""
     ended = F.when(F.col("line_no") < F.col("lines") - 1, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
-    found = lines(files, key).where(F.col("line").startswith("#")).withColumn("line", ended).where(F.col("line").rlike(HEADER))
+    found = lines(files.where(F.col("text").contains("#")), key).where(F.col("line").startswith("#")).withColumn("line", ended).where(F.col("line").rlike(HEADER))
     return found.select(
         key,
         F.col("line_start").alias("offset"),

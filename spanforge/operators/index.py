@@ -78,7 +78,9 @@ def exploded_terms(rows: DataFrame, key: str, found: Column, weight: int) -> Dat
 
 def term_counts(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf: weighted occurrences of each term of each chunk (text, file_path and,
-    if there, context). Counts are combined map-side."""
+    if there, context). The texts are spread by chunk_id once, before they are exploded: they
+    are smaller than their terms, and the counting then needs no shuffle of its own."""
+    chunks = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
     long = lambda c: F.filter(T.words(F.col(c)), lambda w: F.length(w) > 1)
     path = F.filter(T.words(F.col("file_path")), lambda w: ~F.lower(w).isin(*T.PATH_NOISE))
     found = exploded_terms(chunks, "chunk_id", long("text"), T.BODY_WEIGHT)
