@@ -48,7 +48,7 @@ def lines(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, lines, line_no from 0, line, line_start: the lines of each text with their number
     and character offsets after newline normalisation. A null text has no lines."""
     cut = F.split(normal_newlines("text"), "\n")
-    split = files.where(F.col("text").isNotNull()).select(key, F.size(cut).alias("lines"), F.posexplode(cut).alias("line_no", "line"))
+    split = files.where(F.col("text").isNotNull()).select(key, F.size(cut).alias("lines"), F.posexplode_outer(cut).alias("line_no", "line"))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return split.withColumn("line_start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long"))
 

@@ -67,13 +67,17 @@ def chunk_corpus(files: DataFrame, max_chunk: int = 2000, key: str = "doc_id") -
     )
 
 
-def exploded_terms(rows: DataFrame, key: str, found: Column, weight: int) -> DataFrame:
-    """key, term, weight for an array of words: the same terms as functions.text.terms, but one
-    row each, so that splitting and stemming are compiled instead of interpreted per element."""
-    one = rows.select(key, F.explode(found).alias("word"))
-    part = one.select(key, F.explode(T.split_identifier(F.col("word"))).alias("part")).where(T.is_term(F.col("part")))
+def exploded_terms(rows: DataFrame, key: str, *found: tuple[Column, int]) -> DataFrame:
+    """key, term, weight for arrays of words with their weights: the same terms as
+    functions.text.terms, but one row each, so that splitting and stemming are compiled instead
+    of interpreted per element. The rows are read once for all arrays. None of the arrays is
+    ever empty, and explode_outer keeps Catalyst from computing each once more in an inferred
+    filter on its size."""
+    groups = F.array(*[F.struct(words.alias("words"), F.lit(weight).cast("long").alias("weight")) for words, weight in found])
+    one = rows.select(key, F.explode_outer(groups).alias("g")).select(key, "g.weight", F.explode("g.words").alias("word"))
+    part = one.select(key, "weight", F.explode_outer(T.split_identifier(F.col("word"))).alias("part")).where(T.is_term(F.col("part")))
     both = F.array_distinct(F.array(F.col("part"), T.stem(F.col("part"))))
-    return part.select(key, F.explode(both).alias("term"), F.lit(weight).cast("long").alias("weight"))
+    return part.select(key, F.explode_outer(both).alias("term"), "weight")
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
@@ -83,11 +87,11 @@ def term_counts(chunks: DataFrame) -> DataFrame:
     chunks = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
     long = lambda c: F.filter(T.words(F.col(c)), lambda w: F.length(w) > 1)
     path = F.filter(T.words(F.col("file_path")), lambda w: ~F.lower(w).isin(*T.PATH_NOISE))
-    found = exploded_terms(chunks, "chunk_id", long("text"), T.BODY_WEIGHT)
-    found = found.unionByName(exploded_terms(chunks, "chunk_id", path, T.CONTEXT_WEIGHT))
+    found = [(long("text"), T.BODY_WEIGHT), (path, T.CONTEXT_WEIGHT)]
     if "context" in chunks.columns:
-        found = found.unionByName(exploded_terms(chunks, "chunk_id", long("context"), T.CONTEXT_WEIGHT))
-    return found.groupBy("chunk_id", "term").agg(F.sum("weight").alias("tf"))
+        found.append((long("context"), T.CONTEXT_WEIGHT))
+    terms_ = exploded_terms(chunks, "chunk_id", *found)
+    return terms_.groupBy("chunk_id", "term").agg(F.sum("weight").alias("tf"))
 
 
 def build_index(chunks: DataFrame, counts: DataFrame | None = None) -> LexicalIndex:

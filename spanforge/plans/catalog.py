@@ -161,7 +161,7 @@ def split_identifiers(spark, sf_dir):
 @query(f"SELECT doc_id, term, sum(weight)::BIGINT AS tf FROM {D.tokens(D.DOCS, 'doc_id', 'text')} GROUP BY ALL")
 def tokenize_docs(spark, sf_dir):
     found = F.filter(T.words(F.col("text")), lambda w: F.length(w) > 1)
-    rows = X.exploded_terms(_documents(spark, sf_dir), "doc_id", found, T.BODY_WEIGHT)
+    rows = X.exploded_terms(_documents(spark, sf_dir), "doc_id", (found, T.BODY_WEIGHT))
     return rows.groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"))
 
 
@@ -184,7 +184,7 @@ def header_context(spark, sf_dir):
 
 @query(f"SELECT chunk_id, term, tf FROM {D.COUNTS}")
 def term_counts(spark, sf_dir):
-    return X.term_counts(_chunks(spark, sf_dir, context=True))
+    return X.term_counts(cut(_chunks(spark, sf_dir, context=True), "chunks"))
 
 
 @query(f"SELECT c.chunk_id, coalesce(sum(tf), 0)::BIGINT AS doc_len FROM {D.CHUNKS} c LEFT JOIN {D.COUNTS} t USING (chunk_id) GROUP BY ALL")
@@ -347,6 +347,20 @@ def recall_at_k(spark, sf_dir):
     return E.recall(E.hit_ranks(results, E.truth(questions)))
 
 
+@query()
+def passage_recall(spark, sf_dir):
+    """Recall of each twentieth chunk by a passage of it: twelve words from its middle, as a
+    question set against all chunks."""
+    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
+    index = X.build_index(chunks, cut(X.term_counts(chunks), "postings"))
+    asked = chunks.where("chunk_id % 20 = 0").withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 24)
+    question = F.concat_ws(" ", F.slice("w", (F.size("w") / 2).cast("int") - 5, F.lit(12)))
+    name = F.col("chunk_id").cast("string").alias("question_id")
+    questions = cut(asked.select(name, question.alias("question")), "passages")
+    results = R.resolve(R.bm25_search(index, questions, 10), index.chunks)
+    return E.recall(E.hit_ranks(results, asked.select(name, "file_path", "first", "last")))
+
+
 # ---------------------------------------------------------------- incremental
 
 _SEEN = """(SELECT file_path, mtime, h AS hash FROM (SELECT file_path, mtime, nullif(lower(trim(hash)), '') AS h, present,
