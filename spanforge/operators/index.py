@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.functions.spans import cut_span, okapi_idf
-from spanforge.functions.text import normal_newlines, terms
+from spanforge.functions.text import normal_newlines
 from spanforge.operators.chunking import chunk_files, headers
+from spanforge.runtime import cut
 
 
 @dataclass
@@ -24,6 +25,10 @@ class LexicalIndex:
     term_stats: DataFrame
     corpus_stats: DataFrame
 
+    def written(self) -> LexicalIndex:
+        """The same index with every table written to the shared folder once."""
+        return LexicalIndex(**{t: cut(getattr(self, t), t) for t in self.TABLES})
+
     TABLES = ("chunks", "postings", "doc_stats", "term_stats", "corpus_stats")
 
 
@@ -109,10 +114,15 @@ def build_index(chunks: DataFrame, counts: DataFrame | None = None) -> LexicalIn
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
-    """question_id, term, pos: the distinct terms of each question with the place of their
-    first occurrence. Blank and null questions have none."""
-    rows = questions.select("question_id", F.posexplode(terms(F.col("question"))).alias("pos", "t"))
-    return rows.groupBy("question_id", F.col("t.term").alias("term")).agg(F.min("pos").alias("pos"))
+    """question_id, term, pos: the distinct terms of each question with the place (word, part,
+    form) of their first occurrence. Blank and null questions have none."""
+    found = F.filter(T.words(F.col("question")), lambda w: F.length(w) > 1)
+    one = questions.select("question_id", F.posexplode_outer(found).alias("_w", "word")).where("word is not null")
+    part = one.select("question_id", "_w", F.posexplode_outer(T.split_identifier(F.col("word"))).alias("_p", "part")).where(T.is_term(F.col("part")))
+    both = F.array_distinct(F.array(F.col("part"), T.stem(F.col("part"))))
+    rows = part.select("question_id", "_w", "_p", F.posexplode_outer(both).alias("_f", "term"))
+    place = F.col("_w").cast("long") * (1 << 31) + F.col("_p") * 2 + F.col("_f")  # one number: structs would be sorted, not hashed
+    return rows.groupBy("question_id", "term").agg(F.min(place).alias("pos"))
 
 
 def latest_questions(questions: DataFrame) -> DataFrame:

@@ -52,9 +52,13 @@ def _questions(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    """The index of the given chunks. Term counts are the costly part: written once."""
+    return _chunks_and_index(spark, sf_dir)[1]
+
+
+def _chunks_and_index(spark, sf_dir):
+    """The given chunks with their text, and their index with every table written once."""
     chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
-    return X.build_index(chunks, cut(X.term_counts(chunks), "postings"))
+    return chunks, X.build_index(chunks, cut(X.term_counts(chunks), "counts")).written()
 
 
 # ---------------------------------------------------------------- chunking
@@ -298,8 +302,7 @@ def rrf_hybrid(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """BM25 and stand-in vectors of all chunks, fused."""
-    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
-    index = X.build_index(chunks, cut(X.term_counts(chunks), "postings"))
+    chunks, index = _chunks_and_index(spark, sf_dir)
     return R.hybrid_search(index, cut(R.embed_chunks(chunks), "vectors"), _questions(spark, sf_dir), k=10)
 
 
@@ -351,8 +354,7 @@ def recall_at_k(spark, sf_dir):
 def passage_recall(spark, sf_dir):
     """Recall of each twentieth chunk by a passage of it: twelve words from its middle, as a
     question set against all chunks."""
-    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
-    index = X.build_index(chunks, cut(X.term_counts(chunks), "postings"))
+    chunks, index = _chunks_and_index(spark, sf_dir)
     asked = chunks.where("chunk_id % 20 = 0").withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 24)
     question = F.concat_ws(" ", F.slice("w", (F.size("w") / 2).cast("int") - 5, F.lit(12)))
     name = F.col("chunk_id").cast("string").alias("question_id")
@@ -465,8 +467,7 @@ _CONTEXTS = f"""(
 
 
 def _contexts(spark, sf_dir):
-    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
-    index = X.build_index(chunks, cut(X.term_counts(chunks), "postings"))
+    chunks, index = _chunks_and_index(spark, sf_dir)
     questions = _questions(spark, sf_dir)
     return questions, A.contexts(R.bm25_search(index, questions, 3), chunks)
 
