@@ -73,3 +73,45 @@ def p10_found(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_rates, p7_found, p7_pieces, p8_ids, p9_found, p10_found)}
+
+
+_P1 = """
+    WITH v AS MATERIALIZED (
+      SELECT vec_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS e FROM (
+        SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM (
+          SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY encoded_at DESC) AS rn FROM (SELECT DISTINCT vec_id, embedding, encoded_at FROM chunk_vectors)
+          WHERE embedding IS NOT NULL AND len(embedding) = 384 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+            AND len([x FOR x IN embedding IF x <> 0]) > 0) WHERE rn = 1)),
+    n AS (SELECT a, b FROM (
+      SELECT q.vec_id AS a, v.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, v.e), 6) DESC, v.vec_id) AS r
+      FROM v q, v WHERE q.vec_id <> v.vec_id) WHERE r <= 5)
+    SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM n
+"""
+
+_P2 = """
+    WITH c AS (SELECT DISTINCT question_id, chunk_id FROM retrieval_scores WHERE question_id IS NOT NULL AND chunk_id IS NOT NULL),
+    s AS (SELECT question_id, scorer, chunk_id, CASE WHEN coalesce(up, true) THEN score ELSE -score END AS g FROM (
+        SELECT *, row_number() OVER (PARTITION BY question_id, scorer, chunk_id ORDER BY scored_at DESC, score DESC) AS rn FROM retrieval_scores
+        WHERE score IS NOT NULL AND NOT isnan(score) AND scorer IS NOT NULL AND question_id IS NOT NULL AND chunk_id IS NOT NULL)
+      LEFT JOIN (SELECT scorer, bool_or(higher_is_better) AS up FROM scorers GROUP BY scorer) USING (scorer) WHERE rn = 1),
+    grid AS (SELECT c.question_id, k.scorer, c.chunk_id FROM c JOIN (SELECT DISTINCT question_id, scorer FROM s) k USING (question_id)),
+    p AS (SELECT question_id, chunk_id, rank() OVER w + (count(*) OVER (PARTITION BY question_id, scorer, g) - 1) / 2.0 AS place
+      FROM grid LEFT JOIN s USING (question_id, scorer, chunk_id) WINDOW w AS (PARTITION BY question_id, scorer ORDER BY g DESC NULLS LAST))
+    SELECT question_id, chunk_id FROM (
+      SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY pts, chunk_id) AS r FROM (
+        SELECT question_id, chunk_id, coalesce(round(sum(place), 6), 0) AS pts FROM c LEFT JOIN p USING (question_id, chunk_id) GROUP BY ALL)) WHERE r <= 3
+"""
+
+_P4 = """
+    WITH r AS (SELECT chunk_id, term, tf FROM (
+        SELECT *, row_number() OVER (PARTITION BY chunk_id, term ORDER BY indexed_at DESC, tf DESC) AS rn
+        FROM (SELECT chunk_id, lower(trim(term)) AS term, tf, indexed_at FROM postings WHERE chunk_id IS NOT NULL AND trim(term) <> '' AND tf > 0)) WHERE rn = 1),
+    t AS (SELECT term, count(*) AS df, sum(tf) AS ct FROM r GROUP BY term), k AS (SELECT chunk_id, sum(tf) AS cc FROM r GROUP BY chunk_id), n AS (SELECT sum(tf) AS n FROM r)
+    SELECT chunk_id, term FROM (
+      SELECT chunk_id, term, row_number() OVER (PARTITION BY chunk_id ORDER BY round((tf - e) / sqrt(greatest(e * (1 - cc / n) * (1 - ct / n), 1e-12)), 9) DESC, term) AS p
+      FROM (SELECT *, cc::DOUBLE * ct / n AS e FROM r JOIN t USING (term) JOIN k USING (chunk_id), n WHERE df > 1)) WHERE p = 1
+"""
+
+_P7 = r"SELECT doc_id FROM documents WHERE length(replace(text, chr(13) || chr(10), chr(10))) > 2000"
+
+SQL = {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p7_found": _P7}
