@@ -52,7 +52,7 @@ PARSERS = {"python": parses_python, "json": parses_json, "toml": parses_toml}
 
 _SIGNS = {
     "python": re.compile(r"^[ \t]*(?:def|class|import|from|return|if|for|while|with|try|except|elif|else|yield|assert|del|pass|async)\b|\bself\b|:[ \t]*$", re.M),
-    "json": re.compile(r'^\s*[\[{]|"\s*:|[\]}],?[ \t]*$|\b(?:true|false|null)\b', re.M),
+    "json": re.compile(r'\A\s*(?:\{|\[\s*[\d"{\[\]tfn-])|"[ \t]*:|^[ \t]*[\]}],?[ \t]*$|\bnull\b', re.M),
     "toml": re.compile(r"^[ \t]*\[{1,2}[\w.\"' -]+\]{1,2}[ \t]*$|^[ \t]*[\w.\"'-]+[ \t]*=", re.M),
 }
 

@@ -176,10 +176,8 @@ def search(plan: Plan, radius: float, ids: np.ndarray, data: np.ndarray, q: np.n
             continue
         part, qs = data[cand], q[rows]
         cos = qs @ part.T
-        take = min(k + 3, len(cand))
+        take = min(k + COPIES + 3, len(cand))  # so that all kept copies of an equal vector are in
         if take < len(cand):
-            # equal cosines: a slope below rounding over the sorted ids keeps the smaller ones
-            cos -= np.arange(len(cand), dtype=np.float32) * np.float32(2e-7 / len(cand))
             top = np.argpartition(cos, len(cand) - take, axis=1)[:, len(cand) - take :]
         else:
             top = np.broadcast_to(np.arange(take), (len(rows), take))
