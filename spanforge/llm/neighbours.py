@@ -75,8 +75,11 @@ def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int
     n, dim = sample.shape
     m = min(m, dim)
     threshold = min(threshold, m)
-    centre = sample - sample.mean(0)
-    _, vec = np.linalg.eigh(centre.T.astype(np.float64) @ centre)
+    mean, scatter = sample.mean(0), np.zeros((dim, dim))
+    for s in range(0, n, 2048):  # in blocks: the driver's memory stays that of the sample
+        centred = (sample[s : s + 2048] - mean).astype(np.float64)
+        scatter += centred.T @ centred
+    _, vec = np.linalg.eigh(scatter)
     axes = np.ascontiguousarray(vec[:, ::-1][:, :m]).astype(np.float32)
     proj = sample @ axes
     near = min(k, n - 1)
@@ -84,10 +87,12 @@ def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int
         width, reach = np.full(m, 4.0), 2.0
     else:
         part = np.arange(0, n, max(1, n // 2048))
-        cos = sample[part] @ sample.T
-        cos[np.arange(len(part)), part] = -2
-        order = np.argpartition(-cos, near - 1, axis=1)[:, :near]
-        best = np.take_along_axis(cos, order, 1)
+        order, best = np.zeros((len(part), near), int), np.zeros((len(part), near), np.float32)
+        for s in range(0, len(part), 128):
+            cos = sample[part[s : s + 128]] @ sample.T
+            cos[np.arange(len(cos)), part[s : s + 128]] = -2
+            order[s : s + 128] = np.argpartition(cos, n - near, axis=1)[:, n - near :]
+            best[s : s + 128] = np.take_along_axis(cos, order[s : s + 128], 1)
         dist = np.sqrt(np.maximum(0, 2 - 2 * best.min(1)))
         reach = float(max(1e-3, np.quantile(dist, 0.6)))
         close = (np.sqrt(np.maximum(0, 2 - 2 * best)) <= reach) & (best < 0.999)
@@ -210,9 +215,13 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Unit rows of a list<float> column."""
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    out = np.empty(x.shape, np.float32)
+    for s in range(0, len(x), 2048):
+        part = x[s : s + 2048].astype(np.float64)
+        part /= np.maximum(part.max(1, keepdims=True), -part.min(1, keepdims=True))
+        out[s : s + 2048] = part / np.linalg.norm(part, axis=1, keepdims=True)
+    return out
 
 
 def _pack(x: np.ndarray) -> pa.Array:
