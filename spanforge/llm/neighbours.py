@@ -11,8 +11,8 @@ while near vectors stay near, so few vectors collide by chance. The sample gives
 widths too. All vectors are indexed. For distribution the arrays are cut at medians into
 cells of some thousand vectors: a vector lives in one cell, and as a query visits every other
 cell its windows reach. Where a cut would send most queries to both sides (a hot group), the
-cell is dealt out over several stripes instead, and each stripe is visited by the cell's
-queries, so no task ever holds more than about ``stripe_rows`` vectors.
+cell is dealt out over several stripes instead, each visited by all of the cell's queries, and
+these come in blocks, so that no task holds more than a few times ``stripe_rows`` vectors.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ AXES = 16
 THRESHOLD = 11
 CELL_ROWS = 8_192
 STRIPE_ROWS = 16_384
+BLOCK_STRIPES = 4  # queries of a hot cell that one task takes, in stripes
 COPIES = 8  # of equal vectors, the smallest ids kept as possible neighbours; above k
 TILE = 128
 
@@ -43,12 +44,12 @@ class Plan:
     width: np.ndarray  # [m] half width of a window at radius 1
     reach: float  # distance that windows of radius 1 vouch for
     threshold: int
-    nodes: list[tuple]  # (axis, cut, left, right) or (None, first stripe id, stripes)
-    cells: int
+    nodes: list[tuple]  # (axis, cut, left, right) or (None, first task, stripes, query blocks)
+    cells: int  # tasks of all leaves: stripe s and block b of a leaf have first + s * blocks + b
 
-    def route(self, proj: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, first stripe id, stripes for each leaf that the row's windows reach."""
-        out: list[tuple[np.ndarray, int, int]] = []
+    def route(self, proj: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first task, stripes and query blocks of each leaf that the row's windows reach."""
+        out: list[tuple[np.ndarray, int, int, int]] = []
         todo = [(0, np.arange(len(proj)))]
         while todo:
             at, rows = todo.pop()
@@ -56,18 +57,45 @@ class Plan:
                 continue
             node = self.nodes[at]
             if node[0] is None:
-                out.append((rows, node[1], node[2]))
+                out.append((rows, *node[1:]))
                 continue
             axis, cut, left, right = node
             x, w = proj[rows, axis], self.width[axis] * radius
             todo.append((left, rows[x - w <= cut]))
             todo.append((right, rows[x + w > cut]))
-        if not out:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-        rows = np.concatenate([o[0] for o in out])
-        first = np.concatenate([np.full(len(o[0]), o[1]) for o in out])
-        n = np.concatenate([np.full(len(o[0]), o[2]) for o in out])
-        return rows, first, n
+        rows = np.concatenate([*(o[0] for o in out), np.zeros(0, int)])
+        leaf = [np.concatenate([*(np.full(len(o[0]), o[i]) for o in out), np.zeros(0, int)]) for i in (1, 2, 3)]
+        return rows, *leaf
+
+    def tasks(self, proj: np.ndarray, h: np.ndarray, radius: float, homes: bool, visits: bool) -> tuple[np.ndarray, ...]:
+        """Row, task, data, ask: where each row goes as data, and where as a query. Its hash
+        ``h`` gives its stripe and block; equal vectors share both. With ``homes`` a row is
+        data in its leaf's stripe, in every block of it; with ``visits`` it asks in its block
+        of every stripe that its windows reach."""
+        r, first, stripes, blocks = self.route(proj, 0.0)
+        home, stripe = np.empty(len(proj), int), np.empty(len(proj), int)
+        home[r], stripe[r] = first, h[r] % stripes
+        rows, task, data, ask = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, bool)], [np.zeros(0, bool)]
+        if homes:
+            again = np.repeat(np.arange(len(r)), blocks)
+            block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            i = r[again]
+            rows.append(i)
+            task.append(first[again] + stripe[i] * blocks[again] + block)
+            data.append(np.ones(len(i), bool))
+            ask.append((block == h[i] // stripes[again] % blocks[again]) & visits)
+        if visits:
+            r, first, stripes, blocks = self.route(proj, radius)
+            again = np.repeat(np.arange(len(r)), stripes)
+            s = np.arange(len(again)) - np.repeat(np.cumsum(stripes) - stripes, stripes)
+            i = r[again]
+            away = ~((first[again] == home[i]) & (s == stripe[i])) | (not homes)
+            again, s, i = again[away], s[away], i[away]
+            rows.append(i)
+            task.append(first[again] + s * blocks[again] + h[i] // stripes[again] % blocks[again])
+            data.append(np.zeros(len(i), bool))
+            ask.append(np.ones(len(i), bool))
+        return np.concatenate(rows), np.concatenate(task), np.concatenate(data), np.concatenate(ask)
 
 
 def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int = THRESHOLD, cell_rows: int = CELL_ROWS, stripe_rows: int = STRIPE_ROWS) -> Plan:
@@ -119,8 +147,9 @@ def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int
                 best = j, float(cut[j])
         if best is None:
             stripes = max(1, int(np.ceil(size / stripe_rows)))
-            nodes[at] = (None, cells, stripes)
-            cells += stripes
+            blocks = -(-stripes // BLOCK_STRIPES)
+            nodes[at] = (None, cells, stripes, blocks)
+            cells += stripes * blocks
         else:
             j, cut = best
             left = grow(idx[proj[idx, j] <= cut])
@@ -240,43 +269,26 @@ def _unpack(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _route(rows: DataFrame, plan: Plan, radius: float, dim: int, queries: DataFrame | None = None) -> DataFrame:
-    """cell, home, vec_id, vec: each row once at home and once as a visitor in every other
-    cell that its windows reach. With ``queries`` only those visit, also their own cell."""
+    """cell, data, ask, vec_id, vec: each row where it is data and where it is a query. With
+    ``queries`` only these ask."""
 
     def run(batches, visits: bool = True, homes: bool = True):
         for b in batches:
             if not b.num_rows:
                 continue
             ids = b.column("vec_id").to_numpy()
-            h = b.column("h").to_numpy().astype(np.uint64)
+            h = (b.column("h").to_numpy().astype(np.uint64) >> np.uint64(2)).astype(np.int64)
             x = _matrix(b.column("embedding"), dim)
-            proj = x @ plan.axes
-            r, f, n = plan.route(proj, 0.0)
-            home = np.empty(len(ids), np.int64)
-            home[r] = f + (h[r] % n.astype(np.uint64)).astype(np.int64)  # equal vectors share a home
-            rows_, cells, at_home = [], [], []
-            if homes:
-                rows_.append(np.arange(len(ids))), cells.append(home), at_home.append(np.ones(len(ids), bool))
-            if visits:
-                r, f, n = plan.route(proj, radius)
-                again = np.repeat(np.arange(len(r)), n)
-                stripe = f[again] + np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
-                r = r[again]
-                away = (stripe != home[r]) | (not homes)
-                rows_.append(r[away]), cells.append(stripe[away]), at_home.append(np.zeros(away.sum(), bool))
-            take = np.concatenate(rows_)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cells), pa.int32()), pa.array(np.concatenate(at_home)), pa.array(ids[take], pa.int64()), _pack(x[take])],
-                ["cell", "home", "vec_id", "vec"],
-            )
-
-    schema = "cell int, home boolean, vec_id long, vec binary"
+            take, cell, data, ask = plan.tasks(x @ plan.axes, h, radius, homes, visits)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(data), pa.array(ask), pa.array(ids[take], pa.int64()), _pack(x[take])], ["cell", "data", "ask", "vec_id", "vec"])
+
+    schema = "cell int, data boolean, ask boolean, vec_id long, vec binary"
     if queries is None:
         return rows.mapInArrow(run, schema)
     return rows.mapInArrow(lambda b: run(b, visits=False), schema).unionByName(queries.mapInArrow(lambda b: run(b, homes=False), schema))
 
 
-def _answers(routed: DataFrame, plan: Plan, radius: float, k: int, dim: int, own: bool) -> DataFrame:
+def _answers(routed: DataFrame, plan: Plan, radius: float, k: int, dim: int) -> DataFrame:
     """vec_id, near_id, cos: the k + 1 best of each query in each cell it visits."""
 
     def run(batches):
@@ -284,17 +296,17 @@ def _answers(routed: DataFrame, plan: Plan, radius: float, k: int, dim: int, own
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        ids, home, cells = (table.column(c).to_numpy() for c in ("vec_id", "home", "cell"))
+        ids, is_data, asks, cells = (table.column(c).to_numpy() for c in ("vec_id", "data", "ask", "cell"))
         x = _unpack(table.column("vec"), dim)
+        del table, batches
         for cell in np.unique(cells):
             here = np.flatnonzero(cells == cell)
-            data = here[home[here]]
+            data, ask = here[is_data[here]], here[asks[here]]
             data = data[np.unique(ids[data], return_index=True)[1]]  # a repeated row counts once
-            away = here[~home[here]]
-            ask = np.concatenate([data, away]) if own else away
-            if len(data) and len(ask):
-                q, near, cos = search(plan, radius, ids[data], x[data], x[ask], k + 1)
-                asked = ids[ask[q]]
+            for s in range(0, len(ask) if len(data) else 0, STRIPE_ROWS):
+                part = ask[s : s + STRIPE_ROWS]
+                q, near, cos = search(plan, radius, ids[data], x[data], x[part], k + 1)
+                asked = ids[part[q]]
                 other = asked != near
                 yield pa.RecordBatch.from_arrays([pa.array(asked[other], pa.int64()), pa.array(near[other], pa.int64()), pa.array(cos[other], pa.float64())], ["vec_id", "near_id", "cos"])
 
@@ -360,7 +372,7 @@ def most_similar(vectors: DataFrame, k: int = K, dim: int = DIM, sample: int = S
     plan = fit(_matrix(picked.column("embedding").combine_chunks(), dim) if picked.num_rows else np.eye(dim, dtype=np.float32)[:1], rows - drops, k)
 
     radius = 1.0
-    found = cut(_best(_answers(_route(base, plan, radius, dim), plan, radius, k, dim, own=True), k), "neighbours")
+    found = cut(_best(_answers(_route(base, plan, radius, dim), plan, radius, k, dim), k), "neighbours")
     tables, widest = [found], float(np.max(4.0 / plan.width))
     queries = base.select("vec_id", "h", "embedding")
     while True:
@@ -381,7 +393,7 @@ def most_similar(vectors: DataFrame, k: int = K, dim: int = DIM, sample: int = S
             tables.append(cut(_best(more, k), "neighbours"))
             break
         radius *= 2.0
-        tables.append(cut(_best(_answers(_route(base, plan, radius, dim, queries), plan, radius, k, dim, own=False), k), "neighbours"))
+        tables.append(cut(_best(_answers(_route(base, plan, radius, dim, queries), plan, radius, k, dim), k), "neighbours"))
     result = tables[0]
     for later in tables[1:]:  # a later round has all of its queries' neighbours
         result = result.join(later.select("vec_id").distinct(), "vec_id", "left_anti").unionByName(later)
