@@ -1 +1 @@
-"""Package of functions."""
+"""Column expressions."""

@@ -1 +1 @@
-"""Package of operators."""
+"""Relational and batch operators of the core."""

@@ -1 +1 @@
-"""Package of plans."""
+"""Named queries and their SQL twins."""

@@ -1 +1 @@
-"""Package of sources."""
+"""Readers, writers and the versioned index store."""

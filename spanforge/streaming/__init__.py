@@ -1 +1 @@
-"""Package of streaming."""
+"""Structured Streaming jobs."""
