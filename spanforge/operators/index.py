@@ -32,26 +32,34 @@ class LexicalIndex:
     TABLES = ("chunks", "postings", "doc_stats", "term_stats", "corpus_stats")
 
 
-def current_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+def current_chunks(chunks: DataFrame, documents: DataFrame, raw: bool = True, line_first: bool = False) -> DataFrame:
     """chunk_id, file_path, first, last, text of the chunks in force: the latest row of each
-    chunk_id by chunked_at whose span is not empty and lies within its document's text."""
-    docs = documents.select("doc_id", normal_newlines("text").alias("_text"))
+    chunk_id by chunked_at whose span is not empty and lies within its document's text. Spans
+    count the characters of the text as it is stored; newlines are normalised after the cut.
+    With ``line_first``, also where the span begins in the normalised text, as headers count.
+    Without ``raw`` spans are laid on the normalised text instead, as the SQL twins do: in
+    texts with CRLF that shifts spans and loses those past the shortened end."""
+    docs = documents.select("doc_id", (F.col("text") if raw else normal_newlines("text")).alias("_text"))
     first, last = F.col("first_character_index"), F.col("last_character_index")
     rows = chunks.select("chunk_id", "doc_id", "file_path", first.alias("first"), last.alias("last"), "chunked_at").where("last > first and first >= 0")
     newest = rows.groupBy("chunk_id").agg(F.max(F.struct("chunked_at", "doc_id", "file_path", "first", "last")).alias("c")).select("chunk_id", "c.*")
+    text = cut_span(F.col("_text"), F.col("first"), F.col("last"))
+    before = cut_span(F.col("_text"), F.lit(0), F.col("first") + 1)  # a span between CR and LF begins at the LF
+    shift = F.length(before) - F.length(F.replace(before, F.lit("\r\n"), F.lit("\n")))
+    more = [(F.col("first") - shift).alias("line_first")] if line_first else []
     return (
         newest.join(docs, "doc_id")
         .where(F.col("last") <= F.length("_text"))
-        .select("chunk_id", "doc_id", "file_path", "first", "last", cut_span(F.col("_text"), F.col("first"), F.col("last")).alias("text"))
+        .select("chunk_id", "doc_id", "file_path", "first", "last", F.regexp_replace(text, "\r\n?", "\n").alias("text") if raw else text.alias("text"), *more)
     )
 
 
-def header_context(spans: DataFrame, heads: DataFrame, key: str = "doc_id") -> DataFrame:
+def header_context(spans: DataFrame, heads: DataFrame, key: str = "doc_id", first: str = "first") -> DataFrame:
     """``spans`` with ``context``: the titles of the last two headers at or before its first
-    character, in document order; null where there is none. Headers of one file are gathered
+    character (column ``first``), in document order; null where there is none. Headers of one file are gathered
     per file, and each span looks back into that array, so pairs are never built."""
     per_file = heads.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("offset", "title"))).alias("_heads"))
-    seen = F.filter("_heads", lambda h: h["offset"] <= F.col("first"))
+    seen = F.filter("_heads", lambda h: h["offset"] <= F.col(first))
     last_two = F.slice(seen, F.greatest(F.size(seen) - 1, F.lit(1)), F.lit(2))
     titles = F.transform(last_two, lambda h: h["title"])
     return spans.join(per_file, key, "left").withColumn("context", F.when(F.size(seen) > 0, F.concat_ws(" ", titles))).drop("_heads")

@@ -38,13 +38,15 @@ def _normal(spark, sf_dir):
     return _documents(spark, sf_dir).withColumn("text", T.normal_newlines("text"))
 
 
-def _chunks(spark, sf_dir, context: bool = False):
+def _chunks(spark, sf_dir, context: bool = False, raw: bool = False):
+    """The chunks in force. Their spans count raw characters; the queries with an SQL twin
+    follow its cut of the normalised text (``raw`` false), the others are whole."""
     docs = _documents(spark, sf_dir)
-    rows = X.current_chunks(read_table(spark, sf_dir, "chunks"), docs)
+    rows = X.current_chunks(read_table(spark, sf_dir, "chunks"), docs, raw, context)
     if not context:
         return rows
     marked = F.col("file_path").endswith(".md") | F.col("file_path").endswith(".txt")
-    return X.header_context(rows, C.headers(docs.where(marked)))
+    return X.header_context(rows, C.headers(docs.where(marked)), first="line_first").drop("line_first")
 
 
 def _questions(spark, sf_dir):
@@ -55,9 +57,9 @@ def _index(spark, sf_dir):
     return _chunks_and_index(spark, sf_dir)[1]
 
 
-def _chunks_and_index(spark, sf_dir):
+def _chunks_and_index(spark, sf_dir, raw: bool = False):
     """The given chunks with their text, and their index with every table written once."""
-    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
+    chunks = cut(_chunks(spark, sf_dir, context=True, raw=raw), "chunks")
     return chunks, X.build_index(chunks, cut(X.term_counts(chunks), "counts")).written()
 
 
@@ -302,7 +304,7 @@ def rrf_hybrid(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """BM25 and stand-in vectors of all chunks, fused."""
-    chunks, index = _chunks_and_index(spark, sf_dir)
+    chunks, index = _chunks_and_index(spark, sf_dir, raw=True)
     return R.hybrid_search(index, cut(R.embed_chunks(chunks), "vectors"), _questions(spark, sf_dir), k=10)
 
 
@@ -354,7 +356,7 @@ def recall_at_k(spark, sf_dir):
 def passage_recall(spark, sf_dir):
     """Recall of each twentieth chunk by a passage of it: twelve words from its middle, as a
     question set against all chunks."""
-    chunks, index = _chunks_and_index(spark, sf_dir)
+    chunks, index = _chunks_and_index(spark, sf_dir, raw=True)
     asked = chunks.where("chunk_id % 20 = 0").withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 24)
     question = F.concat_ws(" ", F.slice("w", (F.size("w") / 2).cast("int") - 5, F.lit(12)))
     name = F.col("chunk_id").cast("string").alias("question_id")
@@ -466,8 +468,8 @@ _CONTEXTS = f"""(
   WHERE cut_before = 0 GROUP BY question_id)"""
 
 
-def _contexts(spark, sf_dir):
-    chunks, index = _chunks_and_index(spark, sf_dir)
+def _contexts(spark, sf_dir, raw: bool = False):
+    chunks, index = _chunks_and_index(spark, sf_dir, raw)
     questions = _questions(spark, sf_dir)
     return questions, A.contexts(R.bm25_search(index, questions, 3), chunks)
 
@@ -485,7 +487,7 @@ def prompt_build(spark, sf_dir):
 @query()
 def answer_questions(spark, sf_dir):
     """Answers by the extractive stand-in."""
-    return A.generate_answers(A.prompts(*_contexts(spark, sf_dir)))
+    return A.generate_answers(A.prompts(*_contexts(spark, sf_dir, raw=True)))
 
 
 @query(f"SELECT chunk_id, file_path || chr(10) || left(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 400) AS text FROM {D.CHUNKS}")
