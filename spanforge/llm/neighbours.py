@@ -34,6 +34,7 @@ STRIPE_ROWS = 16_384
 BLOCK_STRIPES = 4  # queries of a hot cell that one task takes, in stripes
 COPIES = 8  # of equal vectors, the smallest ids kept as possible neighbours; above k
 TILE = 128
+TIE = 4e-6  # float32 cosines this near may be equal to 6 places: the rounding and twice the noise
 
 
 @dataclass
@@ -210,17 +211,28 @@ def search(plan: Plan, radius: float, ids: np.ndarray, data: np.ndarray, q: np.n
             continue
         part, qs = data[cand], q[rows]
         cos = qs @ part.T
-        take = min(k + COPIES + 3, len(cand))  # so that all kept copies of an equal vector are in
+        take = min(k + COPIES + 3, len(cand))
         if take < len(cand):
             top = np.argpartition(cos, len(cand) - take, axis=1)[:, len(cand) - take :]
+            edge = np.partition(np.take_along_axis(cos, top, 1), take - min(k, take), axis=1)[:, take - min(k, take)] - np.float32(TIE)
+            wide = np.flatnonzero(np.take_along_axis(cos, top, 1).min(1) >= edge)
         else:
             top = np.broadcast_to(np.arange(take), (len(rows), take))
+            wide = np.zeros(0, int)
         exact = np.round(np.einsum("qd,qkd->qk", qs.astype(np.float64), part[top].astype(np.float64)), 6)
         gid = ids[cand][top]
         rank = np.lexsort((gid, -exact), axis=1)[:, :k]
+        near, best = np.take_along_axis(gid, rank, 1), np.take_along_axis(exact, rank, 1)
+        if len(wide):  # more than ``take`` may tie at the edge: all that may are compared
+            may = np.flatnonzero((cos[wide] >= edge[wide, None]).any(0))
+            full = np.rint(qs[wide].astype(np.float64) @ part[may].astype(np.float64).T * 1e6).astype(np.int64)
+            place = np.arange(len(may)) - full * len(may)  # by cosine, then by id: ``cand`` is in the order of ids
+            first = np.argpartition(place, k - 1, axis=1)[:, :k]
+            first = np.take_along_axis(first, np.argsort(np.take_along_axis(place, first, 1), axis=1), 1)
+            near[wide], best[wide] = ids[cand[may[first]]], np.take_along_axis(full, first, 1) / 1e6
         out_q.append(np.repeat(rows, rank.shape[1]))
-        out_id.append(np.take_along_axis(gid, rank, 1).ravel())
-        out_cos.append(np.take_along_axis(exact, rank, 1).ravel())
+        out_id.append(near.ravel())
+        out_cos.append(best.ravel())
     if not out_q:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_cos)
