@@ -10,7 +10,8 @@ The directions are the principal axes of a bounded sample: groups are far apart
 while near vectors stay near, so few vectors collide by chance. The sample gives the window
 widths too. All vectors are indexed. For distribution the arrays are cut at medians into
 cells of some thousand vectors: a vector lives in one cell, and as a query visits every other
-cell its windows reach. Where a cut would send most queries to both sides (a hot group), the
+cell it reaches within spans wider than its windows, since a vector that collides on enough
+axes may lie outside the window of the one that is cut. Where a cut would send most queries to both sides (a hot group), the
 cell is dealt out over several stripes instead, each visited by all of the cell's queries, and
 these come in blocks, so that no task holds more than a few times ``stripe_rows`` vectors.
 """
@@ -43,13 +44,14 @@ class Plan:
 
     axes: np.ndarray  # [dim, m]
     width: np.ndarray  # [m] half width of a window at radius 1
+    span: np.ndarray  # [m] half width at radius 1 in which cells are visited; a near vector may be outside some windows
     reach: float  # distance that windows of radius 1 vouch for
     threshold: int
     nodes: list[tuple]  # (axis, cut, left, right) or (None, first task, stripes, query blocks)
     cells: int  # tasks of all leaves: stripe s and block b of a leaf have first + s * blocks + b
 
     def route(self, proj: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, first task, stripes and query blocks of each leaf that the row's windows reach."""
+        """Row, first task, stripes and query blocks of each leaf that the row's spans reach."""
         out: list[tuple[np.ndarray, int, int, int]] = []
         todo = [(0, np.arange(len(proj)))]
         while todo:
@@ -61,7 +63,7 @@ class Plan:
                 out.append((rows, *node[1:]))
                 continue
             axis, cut, left, right = node
-            x, w = proj[rows, axis], self.width[axis] * radius
+            x, w = proj[rows, axis], self.span[axis] * radius
             todo.append((left, rows[x - w <= cut]))
             todo.append((right, rows[x + w > cut]))
         rows = np.concatenate([*(o[0] for o in out), np.zeros(0, int)])
@@ -72,7 +74,7 @@ class Plan:
         """Row, task, data, ask: where each row goes as data, and where as a query. Its hash
         ``h`` gives its stripe and block; equal vectors share both. With ``homes`` a row is
         data in its leaf's stripe, in every block of it; with ``visits`` it asks in its block
-        of every stripe that its windows reach."""
+        of every stripe that its spans reach."""
         r, first, stripes, blocks = self.route(proj, 0.0)
         home, stripe = np.empty(len(proj), int), np.empty(len(proj), int)
         home[r], stripe[r] = first, h[r] % stripes
@@ -114,6 +116,7 @@ def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int
     near = min(k, n - 1)
     if near < 1:
         width, reach = np.full(m, 4.0), 2.0
+        span = width
     else:
         part = np.arange(0, n, max(1, n // 2048))
         order, best = np.zeros((len(part), near), int), np.zeros((len(part), near), np.float32)
@@ -128,6 +131,7 @@ def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int
         diff = np.abs(proj[part][:, None, :] - proj[order])[close]
         width = np.quantile(diff, 0.95, axis=0) if len(diff) > 50 else np.full(m, reach)
         width = np.maximum(width, 1e-6)
+        span = np.maximum(np.quantile(diff, 0.999, axis=0), width) if len(diff) > 50 else width
     nodes: list[tuple] = []
     cells = 0
 
@@ -159,7 +163,7 @@ def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int
         return at
 
     grow(np.arange(n))
-    return Plan(axes, width.astype(np.float32), reach, threshold, nodes, cells)
+    return Plan(axes, width.astype(np.float32), span.astype(np.float32), reach, threshold, nodes, cells)
 
 
 def tiles(proj: np.ndarray, size: int = TILE) -> list[np.ndarray]:
