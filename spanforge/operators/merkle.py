@@ -75,18 +75,19 @@ def changed_leaves(old: DataFrame, new: DataFrame, fanout: int = FANOUT, depth:
     return open_nodes
 
 
-def changed_rows(old: DataFrame, new: DataFrame, key: str, digest: str, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+def changed_rows(old: DataFrame, new: DataFrame, key: str, digest: str, fanout: int = FANOUT, depth: int = DEPTH, old_tree: DataFrame | None = None) -> DataFrame:
     """Rows of ``new`` that are added or changed against ``old``.
 
     ``old`` and ``new`` have at most one row a key. A null digest on either side never counts
     as equal: what cannot be shown to be unchanged is processed. Rows with a null key are
     dropped. Columns of ``old`` other than key and digest are ignored, so clashing names do
-    no harm. Empty tables: with an empty ``old`` all rows come out, with an empty ``new`` none.
+    no harm. ``old_tree``, the saved leaf digests of ``old``, saves hashing it anew. Empty tables: with an empty ``old`` all rows come out, with an empty ``new`` none.
     """
     old = old.select(F.col(key), F.col(digest)).where(F.col(key).isNotNull())
     new = new.where(F.col(key).isNotNull())
     side = lambda x, mark: x.select(key, F.coalesce(F.col(digest), F.lit(mark)).alias(digest))
-    trees = [cut(leaf_digests(side(x, f"\0{mark}"), key, digest, fanout, depth).coalesce(1), "leaves") for x, mark in ((old, "old"), (new, "new"))]
+    tree = lambda x, mark: cut(leaf_digests(side(x, f"\0{mark}"), key, digest, fanout, depth).coalesce(1), "leaves")
+    trees = [tree(old, "old") if old_tree is None else old_tree, tree(new, "new")]
     leaves = F.broadcast(changed_leaves(*trees, fanout, depth))  # at most fanout ** depth numbers
     within = lambda x: x.join(leaves, leaf_of(F.col(key), fanout, depth) == leaves["leaf"], "left_semi")
     saved = within(old).select(F.col(key).alias("_saved_key"), F.col(digest).alias("_saved"))
@@ -161,7 +162,8 @@ class MerkleStore:
         if version is None:
             return new.where(F.col(self.key).isNotNull())
         old = self.spark.read.parquet(f"{self.root}/v={version}/state")
-        return changed_rows(old, new, self.key, self.digest)
+        tree = self.spark.read.parquet(f"{self.root}/v={version}/tree")
+        return changed_rows(old, new, self.key, self.digest, old_tree=tree)
 
     def publish(self, new: DataFrame, output: DataFrame) -> str:
         """Write output, state and tree of this run, then switch the pointer."""
