@@ -2,18 +2,23 @@
 
 Each vector is projected on ``m`` directions, and per direction the projections form a sorted
 array. A query opens a window centred on its own projection in every array; a vector that
-lies in at least ``threshold`` of the windows collides often enough to be verified by its
-exact cosine. Queries whose k-th verified vector is farther than the windows vouch for come
+lies in at least ``threshold`` of the query's windows collides often enough to be verified by
+its exact cosine. Queries whose k-th verified vector is farther than the windows vouch for come
 again with windows twice as wide (virtual rehashing), until the windows cover everything.
 
 The directions are the principal axes of a bounded sample: groups are far apart along them,
-while near vectors stay near, so few vectors collide by chance. The sample gives the window
-widths too. All vectors are indexed. For distribution the arrays are cut at medians into
-cells of some thousand vectors: a vector lives in one cell, and as a query visits every other
-cell it reaches within spans wider than its windows, since a vector that collides on enough
-axes may lie outside the window of the one that is cut. Where a cut would send most queries to both sides (a hot group), the
-cell is dealt out over several stripes instead, each visited by all of the cell's queries, and
-these come in blocks, so that no task holds more than a few times ``stripe_rows`` vectors.
+while near vectors stay near, so few vectors collide by chance. The window widths and the
+threshold are those under which nearly all true neighbours of a few hundred probes collide,
+and the probes' neighbours are searched among all vectors, so the widths narrow as the
+collection becomes denser.
+
+For distribution the arrays are cut into cells of some thousand vectors by planes laid through
+gaps: of many directions and places, a plane is taken that few near pairs can straddle. A
+vector lives in one cell, and as a query it visits the cells behind every plane that lies
+within the span of near pairs, which few do. Where no plane is good (a hot group), the cell's
+vectors are dealt over blocks, and each unordered pair of blocks is one task; visitors that are
+too many for one task are dealt over blocks too. So each vector moves about as often at any
+size of the collection, and no task grows with a group.
 """
 
 from __future__ import annotations
@@ -27,32 +32,57 @@ from pyspark.sql import functions as F
 
 K = 5
 DIM = 384
-SAMPLE = 16_384  # rows the axes, widths and cuts are fitted on
-AXES = 16
-THRESHOLD = 11
+SAMPLE = 16_384  # rows the axes and cuts are fitted on
+PROBES = 1_024  # of them, whose neighbours among all vectors set widths and threshold
+AXES = 32
+WITHIN = 0.9  # share of near pairs that one window holds
+LOSS = 0.002  # share of near pairs that collide less often than the threshold
+STRADDLE = 0.001  # share of near pairs farther apart across a plane than the span
+VOUCH = 0.98  # share of probes whose k-th neighbour is within the distance that windows vouch for
 CELL_ROWS = 8_192
-STRIPE_ROWS = 16_384
-BLOCK_STRIPES = 4  # queries of a hot cell that one task takes, in stripes
+BLOCK_ROWS = 16_384  # of a hot cell; from eight blocks on they grow, up to
+BLOCK_MOST = 65_536
 COPIES = 8  # of equal vectors, the smallest ids kept as possible neighbours; above k
 TILE = 128
 TIE = 4e-6  # float32 cosines this near may be equal to 6 places: the rounding and twice the noise
 
 
+@dataclass
+class Leaf:
+    """Tasks of one cell: first the pairs i <= j of its data blocks, then, for visitors beyond
+    the first ``visitors`` block, each data block once more for each of their blocks."""
+
+    first: int
+    blocks: int
+    visitors: int
+
+    @property
+    def tasks(self) -> int:
+        return self.blocks * (self.blocks + 1) // 2 + self.blocks * (self.visitors - 1)
+
+    def pair(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        return self.first + i * self.blocks - i * (i - 1) // 2 + j - i
+
+    def extra(self, block: np.ndarray, visitor: np.ndarray) -> np.ndarray:
+        return self.first + self.blocks * (self.blocks + 1) // 2 + block * (self.visitors - 1) + visitor - 1
+
+
 @dataclass
 class Plan:
     """What is fitted on the sample; its size depends on its parameters only."""
 
     axes: np.ndarray  # [dim, m]
     width: np.ndarray  # [m] half width of a window at radius 1
-    span: np.ndarray  # [m] half width at radius 1 in which cells are visited; a near vector may be outside some windows
     reach: float  # distance that windows of radius 1 vouch for
     threshold: int
-    nodes: list[tuple]  # (axis, cut, left, right) or (None, first task, stripes, query blocks)
-    cells: int  # tasks of all leaves: stripe s and block b of a leaf have first + s * blocks + b
+    nodes: list[tuple]  # (direction [m], cut, span at radius 1, low side, high side) or (None, number of the leaf)
+    leaves: list[Leaf]
+    cells: int  # tasks of all leaves
 
-    def route(self, proj: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, first task, stripes and query blocks of each leaf that the row's spans reach."""
-        out: list[tuple[np.ndarray, int, int, int]] = []
+    def route(self, proj: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Row and number of each leaf that the row reaches within the spans."""
+        out: list[tuple[np.ndarray, int]] = []
         todo = [(0, np.arange(len(proj)))]
         while todo:
             at, rows = todo.pop()
@@ -60,52 +90,107 @@ class Plan:
                 continue
             node = self.nodes[at]
             if node[0] is None:
-                out.append((rows, *node[1:]))
+                out.append((rows, node[1]))
+                continue
+            direction, cut, span, low, high = node
+            x = proj[rows] @ direction - cut
+            todo.append((low, rows[x - span * radius <= 0]))
+            todo.append((high, rows[x + span * radius > 0]))
+        rows = np.concatenate([*(r for r, _ in out), np.zeros(0, int)])
+        return rows, np.concatenate([*(np.full(len(r), n) for r, n in out), np.zeros(0, int)])
+
+    def tasks(self, proj: np.ndarray, h: np.ndarray, radius: float = 1.0) -> tuple[np.ndarray, ...]:
+        """Row, task, block, data, ask: where each row goes as data of which block, and where
+        as a query. Its hash ``h`` deals it to its block; equal vectors share all. In the task
+        of two blocks these are given as -1 - block, and each asks the other one only."""
+        parts: list[tuple] = []
+
+        def put(rows: np.ndarray, task: np.ndarray, block: np.ndarray, data: bool, ask: bool) -> None:
+            parts.append((rows, task, block, np.full(len(rows), data), np.full(len(rows), ask)))
+
+        r, home = self.route(proj, 0.0)
+        at = np.empty(len(proj), int)
+        at[r] = home
+        q, seen = self.route(proj, radius)
+        away = seen != at[q]
+        q, seen = q[away], seen[away]
+        for n in np.unique(np.concatenate([home, seen])):
+            leaf = self.leaves[n]
+            mine, guest = r[home == n], q[seen == n]
+            block = h[mine] % leaf.blocks
+            visitor = h[guest] // leaf.blocks % leaf.visitors
+            for other in range(leaf.blocks):
+                put(mine, leaf.pair(block, np.full(len(mine), other)), np.where(block == other, block, -1 - block), True, True)
+                o = np.full(len(guest), other)
+                put(guest, np.where(visitor == 0, leaf.pair(o, o), leaf.extra(o, visitor)), o, False, True)
+            for v in range(1, leaf.visitors):
+                put(mine, leaf.extra(block, np.full(len(mine), v)), block, True, False)
+        empty = (np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool), np.zeros(0, bool))
+        return tuple(np.concatenate([*c, e]) for c, e in zip(zip(*parts), empty)) if parts else empty
+
+
+def _blocks(size: float, rows: int) -> int:
+    return max(1, int(np.ceil(size / min(max(rows, size / 8), max(rows, BLOCK_MOST)))))
+
+
+def near_pairs(sample: np.ndarray, k: int, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probe number, neighbour vectors and cosines of the k nearest of some of the sample
+    within the sample itself; for collections that are no larger than the sample."""
+    part = np.arange(0, len(sample), max(1, len(sample) // probes))
+    near = min(k, len(sample) - 1)
+    cos = sample[part] @ sample.T
+    cos[np.arange(len(part)), part] = -2
+    top = np.argpartition(cos, len(sample) - near, axis=1)[:, len(sample) - near :] if near > 0 else np.zeros((len(part), 0), int)
+    return np.repeat(part, near), sample[top.ravel()], np.take_along_axis(cos, top, 1).ravel()
+
+
+def _gap(z: np.ndarray, apart: np.ndarray) -> tuple[float, np.ndarray, float, float] | None:
+    """Share of points within the span of the best plane, its direction, cut and span. Planes
+    lie across the main directions of the points and between the means of two halves, at
+    any place that leaves a fifth of the points on either side; large halves are preferred."""
+    mean = z.mean(0)
+    _, vec = np.linalg.eigh((z - mean).T @ (z - mean))
+    best = None
+    for u in vec.T[::-1][:8]:
+        low = z @ u <= np.median(z @ u)
+        tried = [u]
+        for _ in range(8):
+            if low.all() or not low.any():
+                break
+            a, b = z[low].mean(0), z[~low].mean(0)
+            if (length := np.linalg.norm(b - a)) < 1e-9:
+                break
+            v = (b - a) / length
+            moved = z @ v <= (a + b) / 2 @ v
+            tried[1:] = [v]
+            if (moved == low).all():
+                break
+            low = moved
+        for v in tried:
+            span = float(np.quantile(np.abs(apart @ v), 1 - STRADDLE))
+            t = np.sort(z @ v)
+            i = np.arange(int(0.2 * len(t)), int(0.8 * len(t)))
+            i = i[t[i] < t[i + 1]]
+            if not len(i):
                 continue
-            axis, cut, left, right = node
-            x, w = proj[rows, axis], self.span[axis] * radius
-            todo.append((left, rows[x - w <= cut]))
-            todo.append((right, rows[x + w > cut]))
-        rows = np.concatenate([*(o[0] for o in out), np.zeros(0, int)])
-        leaf = [np.concatenate([*(np.full(len(o[0]), o[i]) for o in out), np.zeros(0, int)]) for i in (1, 2, 3)]
-        return rows, *leaf
-
-    def tasks(self, proj: np.ndarray, h: np.ndarray, radius: float, homes: bool, visits: bool) -> tuple[np.ndarray, ...]:
-        """Row, task, data, ask: where each row goes as data, and where as a query. Its hash
-        ``h`` gives its stripe and block; equal vectors share both. With ``homes`` a row is
-        data in its leaf's stripe, in every block of it; with ``visits`` it asks in its block
-        of every stripe that its spans reach."""
-        r, first, stripes, blocks = self.route(proj, 0.0)
-        home, stripe = np.empty(len(proj), int), np.empty(len(proj), int)
-        home[r], stripe[r] = first, h[r] % stripes
-        rows, task, data, ask = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, bool)], [np.zeros(0, bool)]
-        if homes:
-            again = np.repeat(np.arange(len(r)), blocks)
-            block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            i = r[again]
-            rows.append(i)
-            task.append(first[again] + stripe[i] * blocks[again] + block)
-            data.append(np.ones(len(i), bool))
-            ask.append((block == h[i] // stripes[again] % blocks[again]) & visits)
-        if visits:
-            r, first, stripes, blocks = self.route(proj, radius)
-            again = np.repeat(np.arange(len(r)), stripes)
-            s = np.arange(len(again)) - np.repeat(np.cumsum(stripes) - stripes, stripes)
-            i = r[again]
-            away = ~((first[again] == home[i]) & (s == stripe[i])) | (not homes)
-            again, s, i = again[away], s[away], i[away]
-            rows.append(i)
-            task.append(first[again] + s * blocks[again] + h[i] // stripes[again] % blocks[again])
-            data.append(np.zeros(len(i), bool))
-            ask.append(np.ones(len(i), bool))
-        return np.concatenate(rows), np.concatenate(task), np.concatenate(data), np.concatenate(ask)
-
-
-def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int = THRESHOLD, cell_rows: int = CELL_ROWS, stripe_rows: int = STRIPE_ROWS) -> Plan:
-    """Axes, window widths and cuts from the sample of unit vectors; ``rows`` counts all."""
+            cut = (t[i] + t[i + 1]) / 2
+            both = (np.searchsorted(t, cut + span, "right") - np.searchsorted(t, cut - span, "left")) / len(t)
+            share = (i + 1) / len(t)
+            cost = both / -(share * np.log2(share) + (1 - share) * np.log2(1 - share))
+            j = int(np.argmin(cost))
+            if best is None or cost[j] < best[0]:
+                best = float(cost[j]), float(both[j]), v, float(cut[j]), span
+    return best[1:] if best else None
+
+
+def fit(
+    sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int | None = None, cell_rows: int = CELL_ROWS,
+    block_rows: int = BLOCK_ROWS, near: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> Plan:
+    """Axes, windows and cuts from the sample of unit vectors; ``rows`` counts all. ``near`` has
+    probe numbers in the sample, vectors and cosines of their k nearest among all vectors."""
     n, dim = sample.shape
     m = min(m, dim)
-    threshold = min(threshold, m)
     mean, scatter = sample.mean(0), np.zeros((dim, dim))
     for s in range(0, n, 2048):  # in blocks: the driver's memory stays that of the sample
         centred = (sample[s : s + 2048] - mean).astype(np.float64)
@@ -113,57 +198,45 @@ def fit(sample: np.ndarray, rows: int, k: int = K, m: int = AXES, threshold: int
     _, vec = np.linalg.eigh(scatter)
     axes = np.ascontiguousarray(vec[:, ::-1][:, :m]).astype(np.float32)
     proj = sample @ axes
-    near = min(k, n - 1)
-    if near < 1:
-        width, reach = np.full(m, 4.0), 2.0
-        span = width
-    else:
-        part = np.arange(0, n, max(1, n // 2048))
-        order, best = np.zeros((len(part), near), int), np.zeros((len(part), near), np.float32)
-        for s in range(0, len(part), 128):
-            cos = sample[part[s : s + 128]] @ sample.T
-            cos[np.arange(len(cos)), part[s : s + 128]] = -2
-            order[s : s + 128] = np.argpartition(cos, n - near, axis=1)[:, n - near :]
-            best[s : s + 128] = np.take_along_axis(cos, order[s : s + 128], 1)
-        dist = np.sqrt(np.maximum(0, 2 - 2 * best.min(1)))
-        reach = float(max(1e-3, np.quantile(dist, 0.6)))
-        close = (np.sqrt(np.maximum(0, 2 - 2 * best)) <= reach) & (best < 0.999)
-        diff = np.abs(proj[part][:, None, :] - proj[order])[close]
-        width = np.quantile(diff, 0.95, axis=0) if len(diff) > 50 else np.full(m, reach)
-        width = np.maximum(width, 1e-6)
-        span = np.maximum(np.quantile(diff, 0.999, axis=0), width) if len(diff) > 50 else width
+    probe, vectors, cos = near if near is not None else near_pairs(sample, k)
+    dist = np.sqrt(np.maximum(0, 2 - 2 * cos))
+    apart, width, reach = np.zeros((0, m)), np.full(m, 4.0), 2.0
+    if len(probe):
+        last = np.full(n, -1.0)
+        np.maximum.at(last, probe, dist)
+        vouched = float(max(1e-3, np.quantile(last[last >= 0], VOUCH)))
+        close = (dist <= vouched) & (cos < 0.999)
+        if close.sum() > 50:  # otherwise the windows cover everything
+            apart, reach = proj[probe[close]] - vectors[close] @ axes, vouched
+            width = np.maximum(np.quantile(np.abs(apart), WITHIN, axis=0), 1e-6)
+    if threshold is None:
+        threshold = int(np.quantile((np.abs(apart) <= width).sum(1), LOSS, method="lower")) if len(apart) else m
     nodes: list[tuple] = []
-    cells = 0
+    sizes: list[float] = []
 
     def grow(idx: np.ndarray) -> int:
-        nonlocal cells
         at = len(nodes)
         nodes.append(())
         size = len(idx) / max(1, n) * rows
-        best = None
-        if size > cell_rows and len(idx) >= 64:
-            p = proj[idx]
-            cut = np.median(p, axis=0)
-            both = (np.abs(p - cut) <= width).mean(0)
-            low = (p <= cut).mean(0)
-            both = np.where((low > 0.25) & (low < 0.75), both, 1.0)
-            j = int(np.argmin(both))
-            if both[j] < 0.4:
-                best = j, float(cut[j])
-        if best is None:
-            stripes = max(1, int(np.ceil(size / stripe_rows)))
-            blocks = -(-stripes // BLOCK_STRIPES)
-            nodes[at] = (None, cells, stripes, blocks)
-            cells += stripes * blocks
+        best = _gap(proj[idx].astype(np.float64), apart) if size > cell_rows and len(idx) >= 32 and len(apart) else None
+        if best is None or best[0] > 0.5:
+            nodes[at] = (None, len(sizes))
+            sizes.append(size)
         else:
-            j, cut = best
-            left = grow(idx[proj[idx, j] <= cut])
-            right = grow(idx[proj[idx, j] > cut])
-            nodes[at] = (j, cut, left, right)
+            _, direction, cut, span = best
+            direction = direction.astype(np.float32)
+            low = proj[idx] @ direction - cut <= 0
+            nodes[at] = (direction, cut, span, grow(idx[low]), grow(idx[~low]))
         return at
 
     grow(np.arange(n))
-    return Plan(axes, width.astype(np.float32), span.astype(np.float32), reach, threshold, nodes, cells)
+    plan = Plan(axes, width.astype(np.float32), reach, min(threshold, m), nodes, [], 0)
+    reached = np.bincount(plan.route(proj, 1.0)[1], minlength=len(sizes)) / max(1, n) * rows
+    for size, seen in zip(sizes, reached):
+        leaf = Leaf(plan.cells, _blocks(size, block_rows), max(1, int(np.ceil((seen - size) / (2 * block_rows)))))
+        plan.leaves.append(leaf)
+        plan.cells += leaf.tasks
+    return plan
 
 
 def tiles(proj: np.ndarray, size: int = TILE) -> list[np.ndarray]:
@@ -183,68 +256,99 @@ def tiles(proj: np.ndarray, size: int = TILE) -> list[np.ndarray]:
     return done
 
 
-def search(plan: Plan, radius: float, ids: np.ndarray, data: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Arrays:
+    """The sorted arrays of projections of some vectors, one for each axis."""
+
+    def __init__(self, plan: Plan, data: np.ndarray) -> None:
+        h = np.ascontiguousarray((data @ plan.axes).T)
+        self.order = np.argsort(h, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(h, self.order, 1)
+        self.rank = np.empty(h.shape, np.uint16 if len(data) <= 65_535 else np.uint32)
+        np.put_along_axis(self.rank, self.order, np.arange(len(data), dtype=self.rank.dtype)[None, :], 1)
+
+    def collisions(self, centres: np.ndarray, width: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors that lie in at least ``threshold`` windows of some of the queries, and which
+        of the queries each of these collides with so often: [query, vector].
+
+        A window is a range of ranks in its array, so a vector lies in it if its rank does. The
+        ranges of all queries together are counted first; only vectors in enough of those can
+        lie in enough windows of one query.
+        """
+        low, high = centres - width, centres + width
+        count = np.zeros(self.rank.shape[1], np.uint8)
+        for j, order in enumerate(self.order):
+            a, b = np.searchsorted(self.sorted[j], low[:, j].min(), "left"), np.searchsorted(self.sorted[j], high[:, j].max(), "right")
+            count[order[a:b]] += 1
+        some = np.flatnonzero(count >= threshold)
+        hits = np.zeros((len(centres), len(some)), np.uint8)
+        if len(some):
+            for j in range(len(self.order)):
+                a = np.searchsorted(self.sorted[j], low[:, j], "left").astype(self.rank.dtype)
+                size = np.searchsorted(self.sorted[j], high[:, j], "right").astype(self.rank.dtype) - a
+                hits += self.rank[j, some][None, :] - a[:, None] < size[:, None]  # ranks below the window wrap around
+        hits = hits >= threshold
+        used = hits.any(0)
+        return some[used], hits[:, used]
+
+
+def search(plan: Plan | None, radius: float, ids: np.ndarray, data: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, data id, cosine of up to k best data rows among those that collide often
-    enough with a query. One cell's work; ties go to the smaller id.
+    enough with the query. Ties go to the smaller id. An infinite radius verifies every vector.
 
-    Queries are taken in tiles of near ones that share their windows: a tile's window in an
-    array spans the windows of its queries, so it counts at least the collisions of each, and
-    the vectors over the threshold are verified for the tile in one matrix product. An infinite
-    radius verifies every vector.
+    Queries are taken in tiles of near ones, whose windows are counted together and whose
+    colliding vectors are verified in one matrix product; a vector counts for a query only if
+    it collides with this query.
     """
     order = np.argsort(ids, kind="stable")
     ids, data = ids[order], data[order]
-    hd, hq = data @ plan.axes, q @ plan.axes
-    arrays = np.argsort(hd, axis=0, kind="stable")
-    sorted_h = np.take_along_axis(hd, arrays, 0)
-    sorted_h, arrays = np.ascontiguousarray(sorted_h.T), np.ascontiguousarray(arrays.T)
-    w = plan.width * radius
+    everything = plan is None or np.isinf(radius)
+    hq = None if everything else q @ plan.axes
+    arrays = None if everything else Arrays(plan, data)
     out_q, out_id, out_cos = [], [], []
-    for rows in tiles(hq):
-        hb = hq[rows]
-        if np.isinf(radius):
-            cand = np.arange(len(data))
+    for rows in [np.arange(s, min(s + TILE, len(q))) for s in range(0, len(q), TILE)] if everything else tiles(hq):
+        qs = q[rows]
+        if everything:
+            cand, part = np.arange(len(data)), data
+            cos = qs @ part.T
         else:
-            count = np.zeros(len(data), np.uint8)
-            lo, hi = hb.min(0) - w, hb.max(0) + w
-            for j in range(len(w)):
-                a, b = np.searchsorted(sorted_h[j], lo[j], "left"), np.searchsorted(sorted_h[j], hi[j], "right")
-                count[arrays[j, a:b]] += 1
-            cand = np.flatnonzero(count >= plan.threshold)
+            cand, hits = arrays.collisions(hq[rows], plan.width * radius, plan.threshold)
+            part = data[cand]
+            cos = np.where(hits, qs @ part.T, np.float32(-2))
         if not len(cand):
             continue
-        part, qs = data[cand], q[rows]
-        cos = qs @ part.T
         take = min(k + COPIES + 3, len(cand))
         if take < len(cand):
             top = np.argpartition(cos, len(cand) - take, axis=1)[:, len(cand) - take :]
             edge = np.partition(np.take_along_axis(cos, top, 1), take - min(k, take), axis=1)[:, take - min(k, take)] - np.float32(TIE)
-            wide = np.flatnonzero(np.take_along_axis(cos, top, 1).min(1) >= edge)
+            wide = np.flatnonzero((np.take_along_axis(cos, top, 1).min(1) >= edge) & (edge > -1.5))
         else:
             top = np.broadcast_to(np.arange(take), (len(rows), take))
             wide = np.zeros(0, int)
         exact = np.round(np.einsum("qd,qkd->qk", qs.astype(np.float64), part[top].astype(np.float64)), 6)
+        exact = np.where(np.take_along_axis(cos, top, 1) > -1.5, exact, -2.0)
         gid = ids[cand][top]
         rank = np.lexsort((gid, -exact), axis=1)[:, :k]
         near, best = np.take_along_axis(gid, rank, 1), np.take_along_axis(exact, rank, 1)
         if len(wide):  # more than ``take`` may tie at the edge: all that may are compared
             may = np.flatnonzero((cos[wide] >= edge[wide, None]).any(0))
             full = np.rint(qs[wide].astype(np.float64) @ part[may].astype(np.float64).T * 1e6).astype(np.int64)
+            full = np.where(cos[wide][:, may] > -1.5, full, -2_000_000)
             place = np.arange(len(may)) - full * len(may)  # by cosine, then by id: ``cand`` is in the order of ids
             first = np.argpartition(place, k - 1, axis=1)[:, :k]
             first = np.take_along_axis(first, np.argsort(np.take_along_axis(place, first, 1), axis=1), 1)
             near[wide], best[wide] = ids[cand[may[first]]], np.take_along_axis(full, first, 1) / 1e6
-        out_q.append(np.repeat(rows, rank.shape[1]))
-        out_id.append(near.ravel())
-        out_cos.append(best.ravel())
+        met = best.ravel() > -1.5
+        out_q.append(np.repeat(rows, rank.shape[1])[met])
+        out_id.append(near.ravel()[met])
+        out_cos.append(best.ravel()[met])
     if not out_q:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_cos)
 
 
-BROADCAST_QUERIES = 4_096  # open queries that are answered by one pass over all rows
-BROADCAST_DROPS = 2_000_000
-APPROXIMATION = 1.2  # a k-th neighbour within this times the vouched distance ends a query
+QUERY_BLOCK = 8_192  # open queries that one blocked pass broadcasts, at most
+BROADCAST_DROPS = 500_000  # pairs of an id and a hash: under 32 MB
+APPROXIMATION = 1.2  # a k-th neighbour within this times the vouched distance ends a query in the first round; later the distance itself does
 FOUND = "vec_id long, near_id long, cos double"
 
 
@@ -258,15 +362,16 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return vectors.where(good).select("vec_id", at.alias("encoded_at"), F.xxhash64("embedding").alias("h"), "embedding")
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Unit rows of a list<float> column."""
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    out = np.empty(x.shape, np.float32)
+def _unit(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the usable rows in the batch, and their embeddings as unit vectors."""
+    x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    keep, out = np.zeros(len(x), bool), np.empty(x.shape, np.float32)
     for s in range(0, len(x), 2048):
         part = x[s : s + 2048].astype(np.float64)
-        part /= np.maximum(part.max(1, keepdims=True), -part.min(1, keepdims=True))
-        out[s : s + 2048] = part / np.linalg.norm(part, axis=1, keepdims=True)
-    return out
+        keep[s : s + 2048] = good = np.isfinite(part).all(1) & part.any(1)
+        part = part[good] / np.abs(part[good]).max(1, keepdims=True)
+        out[s : s + 2048][good] = part / np.linalg.norm(part, axis=1, keepdims=True)
+    return np.flatnonzero(keep), out[keep]
 
 
 def _pack(x: np.ndarray) -> pa.Array:
@@ -284,69 +389,99 @@ def _unpack(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.concatenate(parts).reshape(-1, dim) if parts else np.zeros((0, dim), np.float32)
 
 
-def _route(rows: DataFrame, plan: Plan, radius: float, dim: int, queries: DataFrame | None = None) -> DataFrame:
-    """cell, data, ask, vec_id, vec: each row where it is data and where it is a query. With
-    ``queries`` only these ask."""
+def _fetch(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a bounded set of rows, each id once, in the order of ids."""
+    t = rows.select("vec_id", "embedding").toArrow().combine_chunks()
+    if not t.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+    batch = t.to_batches()[0]
+    good, x = _unit(batch, dim)
+    ids, first = np.unique(batch.column("vec_id").to_numpy()[good], return_index=True)
+    return ids, x[first]
+
 
-    def run(batches, visits: bool = True, homes: bool = True):
+def _route(rows: DataFrame, plan: Plan, dim: int) -> DataFrame:
+    """cell, block, data, ask, vec_id, vec: each row where it is data and where it is a query."""
+
+    def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column("vec_id").to_numpy()
-            h = (b.column("h").to_numpy().astype(np.uint64) >> np.uint64(2)).astype(np.int64)
-            x = _matrix(b.column("embedding"), dim)
-            take, cell, data, ask = plan.tasks(x @ plan.axes, h, radius, homes, visits)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(data), pa.array(ask), pa.array(ids[take], pa.int64()), _pack(x[take])], ["cell", "data", "ask", "vec_id", "vec"])
+            good, x = _unit(b, dim)
+            ids = b.column("vec_id").to_numpy()[good]
+            h = (b.column("h").to_numpy()[good].astype(np.uint64) >> np.uint64(2)).astype(np.int64)
+            take, cell, block, data, ask = plan.tasks(x @ plan.axes, h)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(data), pa.array(ask), pa.array(ids[take], pa.int64()), _pack(x[take])],
+                ["cell", "block", "data", "ask", "vec_id", "vec"],
+            )
+
+    return rows.mapInArrow(run, "cell int, block int, data boolean, ask boolean, vec_id long, vec binary")
 
-    schema = "cell int, data boolean, ask boolean, vec_id long, vec binary"
-    if queries is None:
-        return rows.mapInArrow(run, schema)
-    return rows.mapInArrow(lambda b: run(b, visits=False), schema).unionByName(queries.mapInArrow(lambda b: run(b, homes=False), schema))
 
+def _result(asked: np.ndarray, near: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
+    other = asked != near
+    return pa.RecordBatch.from_arrays([pa.array(asked[other], pa.int64()), pa.array(near[other], pa.int64()), pa.array(cos[other], pa.float64())], ["vec_id", "near_id", "cos"])
 
-def _answers(routed: DataFrame, plan: Plan, radius: float, k: int, dim: int) -> DataFrame:
-    """vec_id, near_id, cos: the k + 1 best of each query in each cell it visits."""
+
+def _answers(routed: DataFrame, plan: Plan, k: int, dim: int) -> DataFrame:
+    """vec_id, near_id, cos: the k + 1 best of each query in each block it meets."""
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        ids, is_data, asks, cells = (table.column(c).to_numpy() for c in ("vec_id", "data", "ask", "cell"))
+        ids, blocks, is_data, asks, cells = (table.column(c).to_numpy() for c in ("vec_id", "block", "data", "ask", "cell"))
         x = _unpack(table.column("vec"), dim)
         del table, batches
         for cell in np.unique(cells):
             here = np.flatnonzero(cells == cell)
-            data, ask = here[is_data[here]], here[asks[here]]
-            data = data[np.unique(ids[data], return_index=True)[1]]  # a repeated row counts once
-            for s in range(0, len(ask) if len(data) else 0, STRIPE_ROWS):
-                part = ask[s : s + STRIPE_ROWS]
-                q, near, cos = search(plan, radius, ids[data], x[data], x[part], k + 1)
-                asked = ids[part[q]]
-                other = asked != near
-                yield pa.RecordBatch.from_arrays([pa.array(asked[other], pa.int64()), pa.array(near[other], pa.int64()), pa.array(cos[other], pa.float64())], ["vec_id", "near_id", "cos"])
+            here = here[np.argsort(ids[here], kind="stable")]
+            here = here[np.r_[True, ids[here][1:] != ids[here][:-1]]]  # a repeated row counts once
+            for b in np.unique(blocks[here[is_data[here]]]):
+                data = here[is_data[here] & (blocks[here] == b)]
+                ask = here[asks[here] & ((b >= 0) | (blocks[here] != b))]
+                if len(ask):
+                    q, near, cos = search(plan, 1.0, ids[data], x[data], x[ask], k + 1)
+                    yield _result(ids[ask[q]], near, cos)
 
     # one partition a cell: hashing would put several cells into one task and leave others idle
     return routed.repartitionById(plan.cells, F.col("cell")).mapInArrow(run, FOUND)
 
 
-def _exact(rows: DataFrame, ids: np.ndarray, q: np.ndarray, plan: Plan, k: int, dim: int) -> DataFrame:
-    """The k + 1 best of each partition for a bounded set of queries: a blocked pass."""
+def _pass(rows: DataFrame, plan: Plan | None, radius: float, ids: np.ndarray, q: np.ndarray, k: int, dim: int) -> DataFrame:
+    """The k + 1 best of each partition for a bounded set of queries: a blocked pass over all
+    rows, of which those are verified that collide within the radius."""
 
     def run(batches):
+        best = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         for b in batches:
-            if b.num_rows:
-                a, near, cos = search(plan, float("inf"), b.column("vec_id").to_numpy(), _matrix(b.column("embedding"), dim), q, k + 1)
-                asked = ids[a]
-                other = asked != near
-                yield pa.RecordBatch.from_arrays([pa.array(asked[other], pa.int64()), pa.array(near[other], pa.int64()), pa.array(cos[other], pa.float64())], ["vec_id", "near_id", "cos"])
+            if not b.num_rows:
+                continue
+            good, x = _unit(b, dim)
+            new = search(plan, radius, b.column("vec_id").to_numpy()[good], x, q, k + 1)
+            a, near, cos = (np.concatenate(p) for p in zip(best, new))
+            order = np.lexsort((near, -cos, a))
+            a, near, cos = a[order], near[order], cos[order]
+            once = np.r_[True, (a[1:] != a[:-1]) | (near[1:] != near[:-1])][: len(a)]
+            a, near, cos = a[once], near[once], cos[once]
+            place = np.arange(len(a)) - np.searchsorted(a, a, "left")
+            best = a[place <= k], near[place <= k], cos[place <= k]
+        yield _result(ids[best[0]], best[1], best[2])
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(run, FOUND).distinct()
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("vec_id").orderBy(F.desc("cos"), "near_id")
-    return found.distinct().withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+
+
+def _sampled(base: DataFrame, rows: int, size: int, salt: int) -> DataFrame:
+    """About ``size`` rows by a hash of their ids, an eighth more at most."""
+    share = int(min(1.0, size / max(1, rows)) * 1_000_000)
+    return base.where(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1_000_000)) < share).limit(size + size // 8)
 
 
 def most_similar(vectors: DataFrame, k: int = K, dim: int = DIM, sample: int = SAMPLE, approximation: float = APPROXIMATION) -> DataFrame:
@@ -358,6 +493,9 @@ def most_similar(vectors: DataFrame, k: int = K, dim: int = DIM, sample: int = S
     take the list of the last of these. Null, empty, wrongly sized, non-finite and all-zero
     embeddings are no vectors and come out nowhere. Fewer than k + 1 vectors give shorter
     lists, none give no rows.
+
+    Queries left open by the windows of radius 1 are answered with windows of twice the width,
+    and so on, in passes over all vectors by blocks of at most QUERY_BLOCK queries, at any size.
     """
     from spanforge.runtime import broadcast_if_small, cut
 
@@ -373,46 +511,54 @@ def most_similar(vectors: DataFrame, k: int = K, dim: int = DIM, sample: int = S
     last = winners.join(crowded.select("h"), "h", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(COPIES, k + 2))
     last = cut(last.groupBy("h").agg(F.max("vec_id").alias("last")), "vector-copies")
     copies = winners.join(last, "h").where("vec_id > last")
-    base = base.select("vec_id", "h", "embedding")
+    # what is not usable is left out by ``_unit``, without evaluating 384 elements a row in each scan
+    base = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") == dim)).select("vec_id", F.xxhash64("embedding").alias("h"), "embedding")
     dropped = copies.select("vec_id", "h")
     if lost:
         dropped = dropped.unionByName(seen.join(winners, ["vec_id", "h"], "left_anti").select("vec_id", "h"))
     drops = dropped.count()
     if drops:
         base = base.join(broadcast_if_small(dropped, drops, BROADCAST_DROPS), ["vec_id", "h"], "left_anti")
-
-    share = int(min(1.0, sample / max(1, rows)) * 1_000_000)
-    picked = base.where(F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1_000_000)) < share).limit(sample + sample // 8).toArrow()
-    if not picked.num_rows:
-        picked = base.limit(sample).toArrow()
-    plan = fit(_matrix(picked.column("embedding").combine_chunks(), dim) if picked.num_rows else np.eye(dim, dtype=np.float32)[:1], rows - drops, k)
-
-    radius = 1.0
-    found = cut(_best(_answers(_route(base, plan, radius, dim), plan, radius, k, dim), k), "neighbours")
-    tables, widest = [found], float(np.max(4.0 / plan.width))
-    queries = base.select("vec_id", "h", "embedding")
-    while True:
-        far = np.float64(1 - (approximation * radius * plan.reach) ** 2 / 2)
-        done = tables[-1].groupBy("vec_id").agg(F.count("*").alias("n"), F.min("cos").alias("c")).where((F.col("n") >= min(k, max(0, rows - drops - 1))) & (F.col("c") >= float(far)))
-        left = queries.select("vec_id").distinct().join(done, "vec_id", "left_anti")
-        left = cut(left, "open-queries")
-        open_queries = left.count()
-        if not open_queries:
-            break
-        if radius > widest:
-            break
-        queries = base.join(broadcast_if_small(left, open_queries, BROADCAST_DROPS), "vec_id", "left_semi")
-        if open_queries <= BROADCAST_QUERIES:
-            t = queries.toArrow()
-            ids, first = np.unique(t.column("vec_id").to_numpy(), return_index=True)
-            more = _exact(base, ids, _matrix(t.column("embedding").combine_chunks(), dim)[first], plan, k, dim)
-            tables.append(cut(_best(more, k), "neighbours"))
-            break
+    rows -= drops
+
+    sample_ids, picked = _fetch(_sampled(base, rows, sample, 17), dim)
+    if not len(picked):
+        sample_ids, picked = _fetch(base.limit(sample), dim)
+    probes = np.sort(np.random.default_rng(11).permutation(len(picked))[:PROBES])
+    near = None
+    if len(picked) and rows > 1:
+        pairs_ = _best(_pass(base, None, float("inf"), sample_ids[probes], picked[probes], k, dim), k).select("vec_id", "near_id", "cos").toArrow()
+        near_ids = pairs_.column("near_id").to_numpy()
+        wanted = vectors.sparkSession.createDataFrame(pa.table({"vec_id": np.unique(near_ids)}))  # at most PROBES * k
+        ids_, vectors_ = _fetch(base.join(F.broadcast(wanted), "vec_id", "left_semi"), dim)
+        near = np.searchsorted(sample_ids, pairs_.column("vec_id").to_numpy()), vectors_[np.searchsorted(ids_, near_ids)], pairs_.column("cos").to_numpy()
+    plan = fit(picked if len(picked) else np.eye(dim, dtype=np.float32)[:1], rows, k, near=near)
+
+    full = min(k, max(0, rows - 1))  # length of a list
+
+    def closed(found: DataFrame, radius: float) -> DataFrame:
+        far = float(1 - ((approximation if radius == 1 else 1.0) * radius * plan.reach) ** 2 / 2)
+        return found.where((F.col("position") == full) & (F.col("cos") >= far)).select("vec_id")
+
+    found = cut(_best(_answers(_route(base, plan, dim), plan, k, dim), k), "neighbours")
+    result, radius, widest = found, 1.0, float(np.max(4.0 / plan.width))
+    everyone = winners.select("vec_id").join(copies.select("vec_id"), "vec_id", "left_anti")
+    open_ids = cut(everyone.join(closed(found, radius), "vec_id", "left_anti"), "open-queries")
+    while full and radius <= widest and (count := open_ids.count()):
         radius *= 2.0
-        tables.append(cut(_best(_answers(_route(base, plan, radius, dim, queries), plan, radius, k, dim), k), "neighbours"))
-    result = tables[0]
-    for later in tables[1:]:  # a later round has all of its queries' neighbours
-        result = result.join(later.select("vec_id").distinct(), "vec_id", "left_anti").unionByName(later)
+        blocks = -(-count * 9 // (8 * QUERY_BLOCK))
+        again = None
+        for block in range(blocks):
+            mine = open_ids.where(F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(blocks)) == block)
+            ids_, q = _fetch(base.join(F.broadcast(mine), "vec_id", "left_semi"), dim)
+            if len(ids_):
+                part = cut(_best(_pass(base, plan, radius if radius <= widest else float("inf"), ids_, q, k, dim), k), "neighbours")
+                again = part if again is None else again.unionByName(part)
+        if again is None:
+            break
+        # a later round has all of its queries' neighbours
+        result = result.join(again.select("vec_id").distinct(), "vec_id", "left_anti").unionByName(again)
+        open_ids = cut(open_ids.join(closed(again, radius), "vec_id", "left_anti"), "open-queries")
     if drops:
         inherited = copies.join(result.withColumnRenamed("vec_id", "last"), "last").select("vec_id", "near_id", "cos", "position")
         result = result.unionByName(inherited)

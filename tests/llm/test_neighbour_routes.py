@@ -1,21 +1,24 @@
 """Cells that a query visits hold nearly all of its neighbours, however deep the cuts."""
 
 import numpy as np
+import pytest
 
 from spanforge.llm import neighbours as N
 
 
-def test_near_vectors_beyond_one_cut():
+@pytest.mark.parametrize(("noise", "leaves"), [(0.3, 1), (0.12, 8), (0.05, 8)])
+def test_near_vectors_beyond_one_cut(noise, leaves):
+    """Groups that overlap everywhere are not cut; others are, and lose nothing by it."""
     rng = np.random.default_rng(7)
-    x = np.concatenate([c + 0.3 * rng.normal(size=(12, 16)) for c in rng.normal(size=(250, 16))]).astype(np.float32)
+    x = np.concatenate([c + noise * rng.normal(size=(12, 16)) for c in rng.normal(size=(250, 16))]).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    plan = N.fit(x, len(x), 5, m=8, threshold=5, cell_rows=60, stripe_rows=1000)
-    assert plan.cells >= 8
+    plan = N.fit(x, len(x), 5, m=8, cell_rows=60, block_rows=1000)
+    assert len(plan.leaves) >= leaves
     proj = x @ plan.axes
     home = np.empty(len(x), int)
-    row, leaf, _, _ = plan.route(proj, 0.0)
+    row, leaf = plan.route(proj, 0.0)
     home[row] = leaf
-    row, leaf, _, _ = plan.route(proj, 1.0)
+    row, leaf = plan.route(proj, 1.0)
     visited = set(zip(row, leaf))
     cos = x @ x.T
     np.fill_diagonal(cos, -2)

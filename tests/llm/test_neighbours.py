@@ -61,18 +61,20 @@ def test_recall_over_many_cells(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     unit = np.stack([np.asarray(e, np.float32) for _, e in rows])
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    plan = N.fit(unit, len(unit), 5, m=8, threshold=5, cell_rows=100, stripe_rows=100)
-    assert plan.cells > 4
-    assert any(n[0] is None and n[3] > 1 for n in plan.nodes)  # a hot cell with blocks of queries
+    plan = N.fit(unit, len(unit), 5, m=8, cell_rows=100, block_rows=100)
+    assert len(plan.leaves) > 4 and plan.cells == sum(leaf.tasks for leaf in plan.leaves)
+    assert any(leaf.blocks > 2 for leaf in plan.leaves)  # a hot cell, met as pairs of blocks
     ids = np.arange(len(unit))
-    row, task, data, ask = plan.tasks(unit @ plan.axes, ids, 1.0, True, True)
-    assert len(set(zip(row, task))) == len(row) and len(set(row[data])) == len(unit)
+    row, task, block, data, ask = plan.tasks(unit @ plan.axes, ids)
+    assert len(set(zip(row, task))) == len(row) and len(set(row[data])) == len(unit) and task.max() < plan.cells
     found = {}
     for c in range(plan.cells):
-        own, asking = row[(task == c) & data], row[(task == c) & ask]
-        if len(own) and len(asking):
-            for q, i, s in zip(*N.search(plan, 1.0, ids[own], unit[own], unit[asking], 6)):
-                found.setdefault(asking[q], []).append((-s, i))
+        here = task == c
+        for b in np.unique(block[here & data]):
+            own, asking = row[here & data & (block == b)], row[here & ask & ((b >= 0) | (block != b))]
+            if len(asking):
+                for q, i, s in zip(*N.search(plan, 1.0, ids[own], unit[own], unit[asking], 6)):
+                    found.setdefault(asking[q], []).append((-s, i))
     assert all(len({i for _, i in x}) == len(x) for x in found.values())  # no pair is met twice
     cos = np.round(unit.astype(float) @ unit.T.astype(float), 6)
     np.fill_diagonal(cos, -2)
@@ -86,3 +88,51 @@ def test_recall_over_many_cells(spark):
 def test_pairs(spark):
     df = spark.createDataFrame([(2, 1), (1, 2), (3, 1)], "vec_id long, near_id long")
     assert sorted(map(tuple, N.pairs(df).collect())) == [(1, 2), (1, 3)]
+
+
+def test_collisions_are_those_of_each_query():
+    """The vectors verified for a query are those in enough of its own windows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, DIM)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plan = N.fit(x, len(x), 5, m=8, threshold=5)
+    plan.width = np.full(8, 0.2, np.float32)
+    h, q = x @ plan.axes, (x @ plan.axes)[:40]
+    some, hits = N.Arrays(plan, x).collisions(q, plan.width, plan.threshold)
+    low, high = q - plan.width, q + plan.width
+    count = ((h[None] >= low[:, None]) & (h[None] <= high[:, None])).sum(2)
+    want = count >= 5
+    assert 0 < want.sum() < want.size and (hits == want[:, some]).all() and not np.delete(want, some, axis=1).any()
+    for i in range(40):
+        _, near, _ = N.search(plan, 1.0, np.arange(700), x, x[i : i + 1], 700)
+        assert set(near) == set(np.flatnonzero(want[i]))
+
+
+@pytest.mark.parametrize(("blocks", "visitors"), [(1, 1), (1, 3), (3, 1), (4, 3)])
+def test_each_pair_of_a_hot_cell_is_met_once(blocks, visitors):
+    leaf = N.Leaf(10, blocks, visitors)
+    other = N.Leaf(10 + leaf.tasks, 1, 1)
+    cut = (np.array([1.0], np.float32), 0.0, 0.5, 1, 2)
+    plan = N.Plan(np.eye(1), np.ones(1), 1.0, 1, [cut, (None, 0), (None, 1)], [leaf, other], 10 + leaf.tasks + 1)
+    proj, h = np.concatenate([np.full(40, -2.0), np.full(25, 0.1)])[:, None].astype(np.float32), np.arange(65) * 7
+    row, task, block, data, ask = plan.tasks(proj, h)
+    met = {}
+    for c in np.unique(task):
+        here = task == c
+        assert 10 <= c < plan.cells
+        for b in np.unique(block[here & data]):
+            for q in row[here & ask & ((b >= 0) | (block != b))]:
+                for d in row[here & data & (block == b)]:
+                    met[q, d] = met.get((q, d), 0) + 1
+    asked = {(q, d) for q in range(65) for d in range(40)} | {(q, d) for q in range(40, 65) for d in range(40, 65)}
+    assert set(met) == asked and set(met.values()) == {1}
+
+
+def test_open_queries_are_answered_by_wider_windows(spark):
+    """Vectors far from all others are beyond the windows of the many near ones."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.05 * rng.normal(size=(20, DIM)) for c in rng.normal(size=(60, DIM))] + [rng.normal(size=(9, DIM))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = lists(N.most_similar(frame(spark, rows), k=4, dim=DIM)), brute(rows, 4)
+    assert all(len(v) == 4 for v in got.values()) and got.keys() == want.keys()
+    assert sum(len(set(got[i]) & set(want[i])) for i in range(1200, 1209)) >= 34
