@@ -2,15 +2,18 @@
 
 Items and documents become sequences of words (letters and digits, case folded; everything
 else separates). An item's shingles of five words are ordered by how rare they are in the
-corpus, over all documents. A document that holds enough of an item shares a shingle with the
-item's prefix, the rarest ones, so only such pairs are looked at; length and positional bounds
-drop those that can no longer hold enough, and the rest are verified exactly over windows of
-the document of the item's size.
+corpus, over all documents. Within a piece shingles start at most WORDS + GAP words apart, so a
+document that holds ``c`` words of an item shares at least ``c / (WORDS + GAP)`` of its
+shingles, and one of these is in the item's prefix, which is all but so many less one of the
+rarest first: nothing is lost by looking at such pairs only. Length and positional bounds drop
+those that cannot hold enough, and the rest are verified exactly: every alignment that shares
+shingles is a window of the document of the item's size, in which the pieces are measured.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +27,6 @@ SHARE = 0.5  # of an item's words that make a leak
 SLACK = 0.05  # of the share, for words that differ
 PIECE = 8  # words of a piece, at least
 GAP = 2  # differing words that a piece goes on over
-PREFIX_SHARE = 0.2  # a leak shares at least this part of the item's shingles
 DRIVER_WORDS = 4_000_000  # of all items together; beyond, items are compared in parts
 
 _WORD = re.compile(r"[^\W_]+")
@@ -96,13 +98,14 @@ class Items:
         return hit, at[hit]
 
 
-def held(item: np.ndarray, doc: np.ndarray, ipos: np.ndarray, dpos: np.ndarray) -> int:
+def held(item: np.ndarray, doc: np.ndarray, ipos: np.ndarray, dpos: np.ndarray, enough: float = np.inf) -> int:
     """How many words of the item the document holds in order, in long pieces.
 
-    ``ipos`` and ``dpos`` are positions of shingles that both have. Matches on one diagonal are
-    joined over up to GAP differing words; a piece needs PIECE words. Of the pieces, the
-    heaviest chain is taken that goes forward in both and stays within a window of twice the
-    item's length from its first word on.
+    ``ipos`` and ``dpos`` are positions of shingles that both have. Matches on one diagonal,
+    the window that the item fills at this alignment, are joined over up to GAP differing
+    words; a piece needs PIECE words, or the whole of a shorter item. Counted is the longest
+    sequence of words in pieces that goes forward in both; the pieces may lie any distance
+    apart. Counting stops at a piece that has ``enough``.
     """
     n = len(item)
     order = np.lexsort((dpos, dpos - ipos))
@@ -110,34 +113,27 @@ def held(item: np.ndarray, doc: np.ndarray, ipos: np.ndarray, dpos: np.ndarray)
     diag = dp - ip
     new = np.flatnonzero(np.r_[True, (diag[1:] != diag[:-1]) | (dp[1:] - dp[:-1] > WORDS + GAP)])
     ends = np.append(new[1:], len(ip)) - 1
-    pieces = []
-    for a, b in zip(new, ends):
-        first, last = int(ip[a]), int(ip[b]) + WORDS
-        shift = int(diag[a])
-        # single words that differ at an end hide up to four equal ones beyond; take these in
-        while first > 0 and first + shift > 0 and item[first - 1] == doc[first + shift - 1]:
-            first -= 1
-        while last < n and last + shift < len(doc) and item[last] == doc[last + shift]:
-            last += 1
-        if last - first >= min(PIECE, n):
-            pieces.append((first + shift, first, last))
-    pieces.sort()
-    best = 0
-    chains: list[tuple[int, int, int, int]] = []  # document start, document end, item end, weight
-    for at, first, last in pieces:
-        weight, begin = last - first, at
-        for b, e, i, w in chains:
-            over = max(0, i - first, e - at)
-            if over < last - first and at + last - first - b <= 2 * n and w + last - first - over > weight:
-                weight, begin = w + last - first - over, b
-        chains.append((begin, at + last - first, last, weight))
-        best = max(best, weight)
-    return best
-
-
-def needed(size: int, share: float) -> int:
-    """Shingles of an item with ``size`` of them that a leak shares, at least."""
-    return max(1, int(np.ceil(share * size)))
+    first, last = ip[new], ip[ends] + WORDS
+    long = last - first >= min(PIECE, n)
+    first, last, shift = first[long], last[long], diag[new][long]
+    if not len(first):
+        return 0
+    most = int((last - first).max())
+    if len(first) == 1 or most >= enough:
+        return most
+    size = last - first
+    i = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    d = i + np.repeat(shift, size)
+    tails: list[int] = []
+    for at in i[np.lexsort((-i, d))].tolist():  # the longest forward sequence
+        k = bisect_left(tails, at)
+        tails[k : k + 1] = [at]
+    return len(tails)
+
+
+def needed(words: int, share: float) -> int:
+    """Shingles of an item of so many words that a leak shares, at least."""
+    return max(1, int(np.ceil(share * words / (WORDS + GAP) - 1e-9)))
 
 
 @dataclass
@@ -148,18 +144,19 @@ class Matcher:
     items: Items
     frequency: np.ndarray  # documents of each key
     share: float = SHARE - SLACK
-    prefix_share: float = PREFIX_SHARE
 
     def __post_init__(self) -> None:
         it = self.items
-        self.own, prefix_key, prefix_item = [], [], []
+        self.own, prefix_key, prefix_item, whole = [], [], [], {}
         for i, w in enumerate(it.word):
             s = shingles(w)
             order = np.argsort(s, kind="stable")
             self.own.append((s[order], order))
-            key = np.unique(s)
-            rare = key[np.lexsort((key, self.frequency[np.searchsorted(it.keys, key)]))]
-            rare = rare[: len(rare) - needed(len(rare), self.prefix_share) + 1]
+            if len(w) < WORDS:
+                whole.setdefault(len(w), []).append((shingles(w, len(w))[0], i))
+                continue
+            rare = s[np.lexsort((s, self.frequency[np.searchsorted(it.keys, s)]))]
+            rare = np.unique(rare[: max(0, len(s) - needed(len(w), self.share) + 1)])
             prefix_key.append(rare)
             prefix_item.append(np.full(len(rare), i))
         key = np.concatenate([*prefix_key, np.zeros(0, np.uint64)])
@@ -167,39 +164,42 @@ class Matcher:
         self.entry = np.concatenate([*prefix_item, np.zeros(0, int)])[order]
         self.keys, first = np.unique(key[order], return_index=True)
         self.start = np.append(first, len(key))
+        self.whole = {n: (np.array([h for h, _ in x], np.uint64), np.array([i for _, i in x])) for n, x in whole.items()}
+
+    def _short(self, doc: np.ndarray) -> list[int]:
+        """Items of fewer than WORDS words that stand in the document as a whole."""
+        return [int(i) for n, (h, items) in self.whole.items() for i in items[np.isin(h, shingles(doc, n))]]
 
     def leaked(self, doc: np.ndarray) -> list[int]:
         """Numbers of the items that a document of these word hashes holds."""
+        out = self._short(doc)
         sh = shingles(doc)
         if not len(sh) or not len(self.keys):
-            return []
+            return out
         at = np.searchsorted(self.keys, sh)
         at[at == len(self.keys)] = 0
         keys = np.unique(at[self.keys[at] == sh])
         if not len(keys):
-            return []
+            return out
         candidates = np.unique(np.concatenate([self.entry[self.start[k] : self.start[k + 1]] for k in keys]))
-        out = []
         for i in candidates:
             word = self.items.word[i]
-            n = len(word)
-            if len(doc) < self.share * n:  # length bound
+            enough = self.share * len(word)
+            if len(doc) < enough:  # length bound
                 continue
             own, order = self.own[i]
             low = np.searchsorted(own, sh, "left")
             many = np.searchsorted(own, sh, "right") - low
             dpos = np.flatnonzero(many)
-            need = needed(len(own), self.prefix_share)
-            if len(dpos) < need:
-                continue
-            ahead = np.searchsorted(dpos, dpos + 2 * n, "right") - np.arange(len(dpos))
-            if ahead.max() < need:  # positional bound: no window of the item's size has enough
-                continue
             m = many[dpos]
-            entry = np.repeat(low[dpos], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            if held(word, doc, order[entry], np.repeat(dpos, m)) >= self.share * n:
+            entry = order[np.repeat(low[dpos], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            shared = np.unique(entry)
+            # positional bound: a shared shingle accounts for the words up to the next one, WORDS + GAP at most
+            if np.minimum(np.diff(shared), WORDS + GAP).sum() + WORDS < enough:
+                continue
+            if held(word, doc, entry, np.repeat(dpos, m), enough) >= enough:
                 out.append(int(i))
-        return out
+        return sorted(out)
 
 
 def _text_rows(documents: DataFrame) -> DataFrame:
@@ -247,8 +247,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE,
     Whole texts of all documents are read twice: once for how many documents each item
     shingle is in, once for the join. Items are collected in parts of at most ``part_words``
     words, a bound on what is broadcast; with more items there are more parts, each a pass of
-    its own. Null and blank items, and items of fewer than five words, leak nowhere; null texts
-    hold nothing. Of rows with one item_id the first text in order counts; repeated documents
+    its own. Null and blank items leak nowhere; an item of fewer than PIECE words leaks where
+    all of it stands in one piece, since a few common words are in any text. Null texts hold
+    nothing. Of rows with one item_id the first text in order counts; repeated documents
     count once. Empty tables give no rows.
     """
     spark = documents.sparkSession
@@ -260,7 +261,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE,
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id").toArrow()
         h = Hasher()
-        hashed = [(i, w) for i, t in zip(mine.column("item_id").to_pylist(), mine.column("text").to_pylist()) if len(w := h.hashes(t)) >= WORDS]
+        hashed = [(i, w) for i, t in zip(mine.column("item_id").to_pylist(), mine.column("text").to_pylist()) if len(w := h.hashes(t))]
         if not hashed:
             continue
         table = Items([i for i, _ in hashed], [w for _, w in hashed]).index()

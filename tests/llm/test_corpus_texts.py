@@ -70,9 +70,11 @@ def test_leaks(spark):
         16: noise() + common + noise(), 17: noise() + items[1][:22] + noise(), 18: noise() + items[1][10:42],
     }
     rows = [(i, "p", " ".join(t), "s") for i, t in texts.items()] + [(30 + i, "p", " ".join(noise() + common), "s") for i in range(20)] + [(99, "p", None, "s"), (98, "p", "", "s"), (10, "p", " ".join(texts[10]), "s")]
+    many = [(9, "p", "so (Too\n# short), he said", "s"), (8, "p", "short too", "s")]
     bench = [(i, "  " + " ".join(w) + " \n", None) for i, w in items.items()] + [(7, None, None), (8, " ", None), (9, "too short", None), (1, "  " + " ".join(items[1]) + " \n", None)]
     b = spark.createDataFrame(bench, "item_id long, text string, doc_id long")
-    want = {(10, 1), (12, 2), (13, 3), (15, 5), (18, 1)}
+    want = {(10, 1), (12, 2), (13, 3), (15, 5), (18, 1), (9, 9)}
+    rows += many
     assert {(r.doc_id, r.item_id) for r in L.find_leaks(documents(spark, rows), b).collect()} == want
     assert {(r.doc_id, r.item_id) for r in L.find_leaks(documents(spark, rows), b, part_words=100).collect()} == want
     assert L.find_leaks(documents(spark, rows).limit(0), b).count() == 0 == L.find_leaks(documents(spark, rows), b.limit(0)).count()
@@ -97,6 +99,33 @@ def test_prefix_loses_no_leak():
         assert matcher.leaked(doc) == plain
 
 
+@pytest.mark.parametrize("share", [0.5, 0.6, 1.0])
+@pytest.mark.parametrize("step", [6, 7, 8])
+def test_leaks_with_a_word_changed_now_and_then(step, share):
+    """The rarest shingles are the changed ones' neighbours, so that a short prefix would miss."""
+    rnd = random.Random(step)
+    h = L.Hasher()
+    item = sentence(rnd, 200)
+    part = item[: int(200 * share)]
+    doc = sentence(rnd, 50) + [f"other{k}" if k % step == step - 1 else w for k, w in enumerate(part)] + sentence(rnd, 50)
+    table = L.Items([1], [h.hashes(" ".join(item))]).index()
+    kept = np.isin(table.keys, L.shingles(h.hashes(" ".join(doc))))
+    matcher = L.Matcher(table, np.where(kept, 1_000, 1))  # the order least fitting for the shared ones
+    assert matcher.leaked(h.hashes(" ".join(doc))) == [0]
+
+
+def test_pieces_far_apart_and_out_of_order():
+    rnd = random.Random(9)
+    h = L.Hasher()
+    item = sentence(rnd, 60)
+    table = L.Items([1], [h.hashes(" ".join(item))]).index()
+    matcher = L.Matcher(table, np.ones(len(table.keys), int))
+    far = sentence(rnd, 900)
+    assert matcher.leaked(h.hashes(" ".join(item[:18] + far + item[30:48]))) == [0]
+    assert matcher.leaked(h.hashes(" ".join(item[30:48] + far + item[:18]))) == []
+    assert matcher.leaked(h.hashes(" ".join(item[:18] * 40))) == []
+
+
 def prose(rnd, n):
     """n varied sentences."""
     noun = lambda: rnd.choice("lever panel gate river stone field pump tank cloud shard token parcel bridge".split())
