@@ -155,19 +155,22 @@ _BRACE_WATER = re.compile(r"""/\*.*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n
 _CONTROL = {"if", "for", "while", "switch", "catch", "return", "new", "else"}
 
 
+def _balanced(text: str, at: int) -> int | None:
+    """End of the body whose opening brace is at ``at``; None if it is not closed."""
+    depth = 0
+    for t in _BRACE_WATER.finditer(text, at):
+        depth += {"open": 1, "close": -1}.get(t.lastgroup or "", 0)
+        if depth == 0 and t.lastgroup == "close":
+            return t.end()
+    return None
+
+
 def brace_functions(text: str) -> list[Function]:
     """Functions of a language with braces that a documentation comment precedes and whose
     body is balanced."""
     out = []
     for m in _BRACE.finditer(text):
-        if m["name"] in _CONTROL:
-            continue
-        depth, end = 0, None
-        for t in _BRACE_WATER.finditer(text, m.end() - 1):
-            depth += {"open": 1, "close": -1}.get(t.lastgroup or "", 0)
-            if depth == 0 and t.lastgroup == "close":
-                end = t.end()
-                break
+        end = None if m["name"] in _CONTROL else _balanced(text, m.end() - 1)
         if end is None:
             continue
         doc = re.sub(r"^[ \t]*(?:/\*\*|\*/|\*|///)?[ \t]?|\*/", "", m["doc"], flags=re.M)
@@ -177,7 +180,29 @@ def brace_functions(text: str) -> list[Function]:
     return out
 
 
-GRAMMARS = {".py": python_functions} | {s: brace_functions for s in (".java", ".js", ".ts", ".c", ".h", ".cc", ".cpp", ".rs", ".cs", ".kt", ".go")}
+_GO = re.compile(
+    r"""(?P<doc>(?:^//[^\n]*\n)+)(?P<head>func[ \t]+(?:\([ \t]*(?:\w+[ \t]+)?\*?(?P<of>\w+)[^()\n]*\)[ \t]*)?(?P<name>\w+)[ \t]*(?:\[[^\]\n]*\])?
+    \((?P<params>(?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)(?:[^{}\n]|interface\{\}|struct\{\})*)\{[ \t]*(?=[\r\n}]|\S)""",
+    re.M | re.X,
+)
+
+
+def go_functions(text: str) -> list[Function]:
+    """Functions and methods of a Go text with lines of comment directly above them. A method's
+    name begins with its receiver's type; directives such as //go:noinline are no documentation."""
+    out = []
+    for m in _GO.finditer(text):
+        end = _balanced(text, m.end("head"))
+        if end is None:
+            continue
+        doc = "\n".join(line[2:].strip() for line in m["doc"].splitlines() if not re.match(r"//\w+:\S", line))
+        params = [w[0] for p in m["params"].split(",") if (w := re.findall(r"\w+", p))]
+        start = m.start("head")
+        out.append(Function(text.count("\n", 0, start) + 1, f"{m['of']}.{m['name']}" if m["of"] else m["name"], params, doc, start, end))
+    return out
+
+
+GRAMMARS = {".py": python_functions} | {s: brace_functions for s in (".java", ".js", ".ts", ".c", ".h", ".cc", ".cpp", ".rs", ".cs", ".kt")} | {".go": go_functions}
 
 # fixed words of texts that stand in for a description
 _MARKER = {"todo", "fixme", "tbd", "xxx", "tbc"}
@@ -189,6 +214,10 @@ _FILLER = {
     "your", "you", "function", "method", "arguments", "argument", "args", "parameters", "parameter", "returns", "return", "value", "says", "string", "there", "available", "details",
 }
 _SECTION = re.compile(r"(?im)^[ \t]*(?::(?:param|parameter|arg|argument|type|returns?|rtype|raises?|yields?)\b[^:\n]*:|@(?:param|returns?|throws)\b|(?:args|arguments|parameters|params|returns?|raises|yields?|attributes|notes?|examples?)[ \t]*(?::[ \t]*$|\n[ \t]*-{3,}))")
+_SLOT = r"(?:(?<!\w)_[a-z]+_(?!\w)|\[[^\[\]]*\]|<[^<>]*>)"  # of a template, still to be filled in
+_SLOTS_ONLY = re.compile(rf"(?:[\s.,:;-]*{_SLOT})+[\s.,:;-]*")
+_EMPTY_ENTRY = re.compile(rf"(?m)^[ \t]*\*{{0,2}}\w+[ \t]*(?:\([^()\n]*\))?[ \t]*:[ \t]*{_SLOT}[ \t.]*$")
+_NAMED_SLOT = re.compile(r"(?<!\w)_[a-z]+_(?!\w)")
 _TYPED = re.compile(r"(?m)^([ \t]*\*{0,2}\w+)[ \t]*\([^()\n]*\)[ \t]*:")
 _WORD = re.compile(r"\w+")
 
@@ -213,10 +242,12 @@ def _name_words(name: str) -> list[str]:
 
 def says_something(doc: str, name: str, params: list[str]) -> bool:
     """Whether a documentation text says anything of its function. It does not if it is blank
-    or only marks, a stand-in for a text still to be written, or only repeats the words of
+    or only marks, a stand-in for a text still to be written (a marker such as TODO, slots of
+    a template in brackets or underscores, a sentence about documentation), or only repeats the words of
     the function's name (also inflected, with an article) and bare parameter names."""
-    if not re.search(r"[^\W_]", doc):
+    if not re.search(r"[^\W_]", doc) or _SLOTS_ONLY.fullmatch(doc):
         return False
+    doc = _NAMED_SLOT.sub(" ", _EMPTY_ENTRY.sub(" ", doc))
     own = name.rsplit(".", 1)[-1]
     bare = {p.lower() for p in params}
     body = _TYPED.sub(r"\1:", doc)

@@ -24,6 +24,13 @@ def p3_found(spark, sf_dir):
     return pair_functions(read_table(spark, sf_dir, "documents"), code=False).select("doc_id", "def_line", "qual_name")
 
 
+def p3_pairs(spark, sf_dir):
+    """The pairs themselves: signature, documentation and code of each such function."""
+    from spanforge.llm.docpairs import pair_functions
+
+    return pair_functions(read_table(spark, sf_dir, "documents"))
+
+
 def p4_found(spark, sf_dir):
     from spanforge.llm.distinctive import residuals, top_term
 
@@ -72,7 +79,7 @@ def p10_found(spark, sf_dir):
     return find_spam(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_rates, p7_found, p7_pieces, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pairs, p4_found, p6_found, p6_rates, p7_found, p7_pieces, p8_ids, p9_found, p10_found)}
 
 
 _P1 = """

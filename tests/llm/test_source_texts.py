@@ -81,6 +81,8 @@ def test_islands_agree_with_the_parser(text):
         ("Placeholder docstring, to be replaced.", "f", [], False), ("[Write one sentence that says what this does.]".replace("Write", "Describe"), "f", [], False),
         ("<short summary>\n\n<longer text, to be filled in later>", "f", [], False),
         ("_summary_\n\nArgs:\n    x (int): _description_\n\nReturns:\n    _type_: _description_", "f", ["x"], False),
+        ("[Write one sentence that says what this does.]", "f", [], False), ("_summary_\n\nArgs:\n    x (int): _description_\n\nReturns:\n    _type_: _description_", "f", [], False),
+        ("_summary_", "f", [], False), ("<what>: [why]", "f", [], False), ("[internal] Opens gates.", "f", [], True), ("_summary_\n\nArgs:\n    x (int): how far", "f", ["x"], True),
         ("Guards the pool.", "guard_pool", [], False), ("GuardPool", "guard_pool", [], False), ("Copies entries", "copy_entry", [], False), ("guard_pool()", "A.guard_pool", ["self"], False),
         ("Maps lane.\n\n:param a: the a\n:param b:\n:return:", "map_lane", ["a", "b"], False),
         ("Not thread safe!", "f", [], True), ("Guards the deep pool.", "guard_pool", [], True), ("遅延なしで返す。", "f", [], True), ("Returns -1 when lazy.", "f", [], True),
@@ -147,3 +149,32 @@ def test_split_documents(spark):
     assert all(len(crlf(r.piece)) == r.last - r.first <= 2000 for r in six)
     with pytest.raises(ValueError):
         P.spans("x", 10, 10)
+
+
+def test_go_comments_above_functions():
+    text = """package a
+
+// Far away.
+
+func lone() {}
+
+// Open opens gates
+// until all are open.
+//go:noinline
+func (g *Gate) Open(n int, f func(a, b int) error) (int, error) {
+	s := "}" // }
+	if n > 0 { return 1, nil }
+	return 0, nil
+}
+
+/* a block */
+// Keys of the map, sorted.
+func Keys[K comparable](m map[K]interface{}) []K {
+	return nil
+}
+
+// Not closed.
+func broken() {
+"""
+    got = [(f.line, f.name, f.params[:1], f.doc, text[f.start : f.end][-3:]) for f in D.go_functions(text)]
+    assert got == [(10, "Gate.Open", ["n"], "Open opens gates\nuntil all are open.", "l\n}"), (18, "Keys", ["m"], "Keys of the map, sorted.", "l\n}")]
