@@ -46,17 +46,18 @@ class Engine:
         files = cut(read_corpus(self.spark, corpus), "files")
         old = incremental and self.store.version() is not None
         registry = self.store.registry() if old else self.store.registry().limit(0)
-        changes = I.scan_changes(files, registry)
+        changes = I.scan_changes_below(files, registry, self.store.table("tree")) if old and self.store.has("tree") else I.scan_changes(files, registry)
         counts = {r["change"]: r["files"] for r in I.change_counts(changes).collect()}
         if old and not any(counts.values()):
             return counts
         if old:
-            index, terms, registry = I.update_index(files, registry, self.store.table("chunks"), self.store.table("counts"), max_chunk)
+            index, terms, registry = I.update_index(files, registry, self.store.table("chunks"), self.store.table("counts"), max_chunk, changes)
         else:
             chunks = cut(chunk_corpus(files.withColumn("doc_id", F.xxhash64("file_path")), max_chunk), "chunks")
             terms = cut(term_counts(chunks), "counts")
             index, registry = build_index(chunks, terms), I.next_registry(files, registry, chunks, changes)
-        more = {"counts": terms, "registry": registry, "files": files.select("file_path", "text")}
+        registry = cut(registry, "registry")
+        more = {"counts": terms, "registry": registry, "tree": I.registry_tree(registry), "files": files.select("file_path", "text")}
         if with_vectors or (old and self.store.has("vectors")):
             text = self._with_text(index.chunks, files)
             if old and self.store.has("vectors"):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.index import LexicalIndex, build_index, chunk_corpus, term_counts
-from spanforge.operators.merkle import normal_hash
+from spanforge.operators.merkle import narrowed, normal_hash, saved_tree
 
 
 @dataclass
@@ -39,6 +39,26 @@ def scan_changes(files: DataFrame, registry: DataFrame) -> Changes:
     )
 
 
+def _stamped(rows: DataFrame) -> DataFrame:
+    """With ``stamp``, what of a file decides whether it is looked at: its mtime and content.
+    Null where the content is unknown."""
+    return rows.where("file_path is not null").withColumn("stamp", F.concat(F.coalesce(F.col("mtime").cast("string"), F.lit("")), F.lit(":"), normal_hash("hash")))
+
+
+def registry_tree(registry: DataFrame) -> DataFrame:
+    """The Merkle tree of a registry, saved with it."""
+    return saved_tree(_stamped(registry), "file_path", "stamp")
+
+
+def scan_changes_below(files: DataFrame, registry: DataFrame, tree: DataFrame) -> Changes:
+    """scan_changes, looking only at key ranges whose digests differ from the registry's saved
+    ``tree``: files with equal mtime and content are in no change. An empty tree says nothing."""
+    if tree.isEmpty():
+        return scan_changes(files, registry)
+    old, new = narrowed(_stamped(registry), _stamped(files), "file_path", "stamp", old_tree=tree)
+    return scan_changes(new.drop("stamp"), old.drop("stamp"))
+
+
 def change_counts(changes: Changes) -> DataFrame:
     """change, files: how many files were added, modified and deleted."""
     parts = [df.select(F.lit(name).alias("change")) for name, df in (("added", changes.added), ("modified", changes.modified), ("deleted", changes.deleted))]
@@ -59,14 +79,14 @@ def next_registry(files: DataFrame, registry: DataFrame, chunks: DataFrame, chan
     return kept.select("file_path", F.coalesce("_m", "mtime").alias("mtime"), "hash", "chunks").unionByName(fresh)
 
 
-def update_index(files: DataFrame, registry: DataFrame, chunks: DataFrame, counts: DataFrame, max_chunk: int = 2000) -> tuple[LexicalIndex, DataFrame, DataFrame]:
+def update_index(files: DataFrame, registry: DataFrame, chunks: DataFrame, counts: DataFrame, max_chunk: int = 2000, changes: Changes | None = None) -> tuple[LexicalIndex, DataFrame, DataFrame]:
     """Index, term counts and registry after an update.
 
     ``files`` has file_path, text, mtime, hash; ``chunks`` and ``counts`` are those of the
     index before. Only added and modified files are chunked and tokenised; the counts of all
     others are taken over, and only the statistics over the whole corpus are computed anew.
     """
-    changes = scan_changes(files, registry)
+    changes = changes or scan_changes(files, registry)
     redone = changes.added.select("file_path").unionByName(changes.modified.select("file_path"))
     gone = redone.unionByName(changes.deleted.select("file_path")).distinct()
     new = chunk_corpus(files.join(redone, "file_path", "left_semi").withColumn("doc_id", F.xxhash64("file_path")), max_chunk)

@@ -1,26 +1,36 @@
 """Incremental processing by comparing Merkle trees over key-range hashes.
 
 Keys are placed on a ring by a 64-bit hash and the ring is cut into ``fanout ** depth`` equal
-ranges, the leaves. A leaf's digest combines the digests of its rows independent of their
-order; an inner node's digest combines those of its children. Two states are compared from
-the root down: only ranges whose digests differ are opened, and rows are compared in changed
-leaves only. Output and tree are published together under one version, so a failed run
-leaves the last version in force and the next run finds the same changes again.
+ranges, the leaves; the depth follows from the number of rows. A leaf's digest combines the
+digests of its rows independent of their order; an inner node's digest combines those of its
+children. Two states are compared from the root down: only ranges whose digests differ are
+opened, and rows are compared in changed leaves only. Output and tree are published together
+under one version, so a failed run leaves the last version in force and the next run finds
+the same changes again.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.runtime import cut
+from spanforge.runtime import Pointer, cut
 
 FANOUT = 16
-DEPTH = 3  # 4,096 leaves: the proven bound of what is broadcast
+DEPTH = 3
+MOST_DEPTH = 5  # 1,048,576 leaves: the proven bound of what is broadcast or compared in one task
+LEAF_ROWS = 256  # rows a leaf is meant to hold
+
+
+def depth_for(rows: int, fanout: int = FANOUT) -> int:
+    """Least depth with at most LEAF_ROWS rows a leaf, within MOST_DEPTH."""
+    return next((d for d in range(1, MOST_DEPTH) if fanout**d * LEAF_ROWS >= rows), MOST_DEPTH)
 
 
 def normal_hash(c: Column | str) -> Column:
@@ -50,48 +60,83 @@ def leaf_digests(rows: DataFrame, key: str, digest: str, fanout: int = FANOUT, d
     )
 
 
-def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The level above: digests of nodes ``leaf div fanout``."""
-    return (
-        nodes.groupBy(F.expr(f"leaf div {fanout}").cast("int").alias("leaf"))
-        .agg(F.bit_xor(F.xxhash64("leaf", "digest")).alias("digest"), F.sum("n").alias("n"))
-    )
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def levels(digests: np.ndarray, fanout: int, depth: int) -> list[np.ndarray]:
+    """Digests of all nodes, the root's level first; a leaf without rows has digest 0."""
+    out = [digests]
+    place = np.arange(1, fanout + 1, dtype=np.uint64) * _MIX
+    with np.errstate(over="ignore"):
+        for _ in range(depth):
+            x = (out[-1].reshape(-1, fanout) ^ place) * _MIX
+            x ^= x >> np.uint64(31)
+            out.append((x * _MIX).sum(axis=1, dtype=np.uint64))
+    return out[::-1]
+
+
+def descend(old: np.ndarray, new: np.ndarray, fanout: int, depth: int) -> np.ndarray:
+    """Leaves whose digests differ: a node is looked at only if its parent differs."""
+    at = np.zeros(1, int)
+    for d, (a, b) in enumerate(zip(levels(old, fanout, depth), levels(new, fanout, depth))):
+        at = at[a[at] != b[at]]
+        if d < depth:
+            at = (at[:, None] * fanout + np.arange(fanout)).ravel()
+    return at
 
 
 def changed_leaves(old: DataFrame, new: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """Leaves whose digests differ, found from the root down: a level is compared only below
-    nodes that differ above it."""
-    levels = [(old, new)]
-    for _ in range(depth):
-        levels.append(tuple(parents(x, fanout) for x in levels[-1]))
-    open_nodes = None
-    for o, n in reversed(levels):
-        if open_nodes is not None:
-            above = open_nodes.select(F.col("leaf").alias("parent"))
-            under = F.expr(f"leaf div {fanout}").cast("int") == F.col("parent")
-            o, n = (x.join(F.broadcast(above), under, "left_semi") for x in (o, n))
-        both = o.select("leaf", F.col("digest").alias("d0")).join(n.select("leaf", F.col("digest").alias("d1")), "leaf", "full_outer")
-        open_nodes = both.where(~F.col("d0").eqNullSafe(F.col("d1"))).select("leaf")
-    return open_nodes
-
-
-def changed_rows(old: DataFrame, new: DataFrame, key: str, digest: str, fanout: int = FANOUT, depth: int = DEPTH, old_tree: DataFrame | None = None) -> DataFrame:
+    """Leaves whose digests differ, found from the root down. The two trees, of at most
+    ``fanout ** depth`` leaves each, meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = np.zeros((2, fanout**depth), np.uint64)
+        for b in batches:
+            trees[b.column("side").to_numpy(), b.column("leaf").to_numpy()] = b.column("digest").to_numpy().astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(descend(*trees, fanout, depth), pa.int32())], ["leaf"])
+
+    side = lambda x, n: x.select("leaf", "digest", F.lit(n).alias("side"))
+    return side(old, 0).unionByName(side(new, 1)).repartition(1).mapInArrow(run, "leaf int")
+
+
+def _marked(rows: DataFrame, key: str, digest: str, mark: str) -> DataFrame:
+    """A null digest differs between the two sides: what cannot be shown to be unchanged changed."""
+    return rows.select(key, F.coalesce(F.col(digest), F.lit(mark)).alias(digest))
+
+
+def saved_tree(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    """leaf, digest, n, depth as they are published with a state for the next run."""
+    depth = depth_for(rows.count())
+    return leaf_digests(_marked(rows, key, digest, "\0old"), key, digest, depth=depth).withColumn("depth", F.lit(depth)).repartition(1)
+
+
+def narrowed(old: DataFrame, new: DataFrame, key: str, digest: str, fanout: int = FANOUT, depth: int | None = None, old_tree: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of both states that lie in changed leaves. ``old_tree``, a saved_tree of ``old``,
+    saves hashing ``old`` anew and gives the depth."""
+    if old_tree is not None:
+        depth = old_tree.agg(F.max("depth")).head()[0]
+    if depth is None:
+        depth = depth_for(new.count(), fanout)
+    if old_tree is None:
+        old_tree = leaf_digests(_marked(old, key, digest, "\0old"), key, digest, fanout, depth)
+    new_tree = leaf_digests(_marked(new, key, digest, "\0new"), key, digest, fanout, depth)
+    leaves = F.broadcast(cut(changed_leaves(old_tree, new_tree, fanout, depth), "changed-leaves"))  # at most fanout ** depth numbers
+    return tuple(x.join(leaves, leaf_of(F.col(key), fanout, depth) == leaves["leaf"], "left_semi") for x in (old, new))
+
+
+def changed_rows(old: DataFrame, new: DataFrame, key: str, digest: str, fanout: int = FANOUT, depth: int | None = None, old_tree: DataFrame | None = None) -> DataFrame:
     """Rows of ``new`` that are added or changed against ``old``.
 
     ``old`` and ``new`` have at most one row a key. A null digest on either side never counts
     as equal: what cannot be shown to be unchanged is processed. Rows with a null key are
     dropped. Columns of ``old`` other than key and digest are ignored, so clashing names do
-    no harm. ``old_tree``, the saved leaf digests of ``old``, saves hashing it anew. Empty tables: with an empty ``old`` all rows come out, with an empty ``new`` none.
+    no harm. ``old_tree``, the saved tree of ``old``, saves hashing it anew. Empty tables: with
+    an empty ``old`` all rows come out, with an empty ``new`` none.
     """
     old = old.select(F.col(key), F.col(digest)).where(F.col(key).isNotNull())
     new = new.where(F.col(key).isNotNull())
-    side = lambda x, mark: x.select(key, F.coalesce(F.col(digest), F.lit(mark)).alias(digest))
-    tree = lambda x, mark: cut(leaf_digests(side(x, f"\0{mark}"), key, digest, fanout, depth).coalesce(1), "leaves")
-    trees = [tree(old, "old") if old_tree is None else old_tree, tree(new, "new")]
-    leaves = F.broadcast(changed_leaves(*trees, fanout, depth))  # at most fanout ** depth numbers
-    within = lambda x: x.join(leaves, leaf_of(F.col(key), fanout, depth) == leaves["leaf"], "left_semi")
-    saved = within(old).select(F.col(key).alias("_saved_key"), F.col(digest).alias("_saved"))
-    current = within(new)
+    old, current = narrowed(old, new, key, digest, fanout, depth, old_tree)
+    saved = old.select(F.col(key).alias("_saved_key"), F.col(digest).alias("_saved"))
     same = (current[key] == saved["_saved_key"]) & (current[digest] == saved["_saved"])
     return current.join(saved, same, "left_anti")
 
@@ -121,7 +166,7 @@ def last_processed(registry: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.join(good, "run_id").groupBy("file_path").agg(last.alias("last")).select("file_path", F.col("last.hash").alias("hash"))
 
 
-def pending_files(scans: DataFrame, registry: DataFrame, runs: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+def pending_files(scans: DataFrame, registry: DataFrame, runs: DataFrame, fanout: int = FANOUT, depth: int | None = None) -> DataFrame:
     """file_path, scan_id of the present files added or changed since their last success."""
     new = cut(latest_scans(scans).where("present"), "scanned")
     old = cut(last_processed(registry, runs), "processed")
@@ -130,25 +175,19 @@ def pending_files(scans: DataFrame, registry: DataFrame, runs: DataFrame, fanout
 
 @dataclass
 class MerkleStore:
-    """Versions of a published state: ``v=<id>/{output,state,tree}`` and the pointer file
-    ``CURRENT``, which is written last. A run that fails before that changes nothing."""
+    """Versions of a published state: ``v=<id>/{output,state,tree}`` and a pointer, which is
+    written last and in one step. A run that fails before that changes nothing."""
 
     spark: SparkSession
     root: str
     key: str = "file_path"
     digest: str = "hash"
 
-    def _fs(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def __post_init__(self) -> None:
+        self.pointer = Pointer(self.spark, self.root)
 
     def current(self) -> str | None:
-        p, fs = self._fs("CURRENT")
-        if not fs.exists(p):
-            return None
-        row = self.spark.read.text(f"{self.root}/CURRENT").head()
-        return json.loads(row[0])["version"]
+        return self.pointer.read()
 
     def state(self, schema) -> DataFrame:
         version = self.current()
@@ -157,7 +196,8 @@ class MerkleStore:
         return self.spark.read.schema(schema).parquet(f"{self.root}/v={version}/state")
 
     def changes(self, new: DataFrame) -> DataFrame:
-        """Rows of ``new`` to be processed. Saved leaf digests are read from the last version."""
+        """Rows of ``new`` to be processed. The saved tree of the last version is compared with
+        that of ``new``, and saved rows of changed leaves only with theirs."""
         version = self.current()
         if version is None:
             return new.where(F.col(self.key).isNotNull())
@@ -172,13 +212,6 @@ class MerkleStore:
         output.write.parquet(f"{at}/output")
         state = new.select(self.key, self.digest).where(F.col(self.key).isNotNull())
         state.write.parquet(f"{at}/state")
-        leaf_digests(self.spark.read.parquet(f"{at}/state"), self.key, self.digest).coalesce(1).write.parquet(f"{at}/tree")
-        tmp, fs = self._fs(f"CURRENT.{version}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        dst, _ = self._fs("CURRENT")
-        if fs.exists(dst):
-            fs.delete(dst, False)
-        fs.rename(tmp, dst)
+        saved_tree(self.spark.read.parquet(f"{at}/state"), self.key, self.digest).write.parquet(f"{at}/tree")
+        self.pointer.write(version)
         return version

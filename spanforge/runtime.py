@@ -59,3 +59,45 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within ``limit``; otherwise
     unchanged, so that the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+class Pointer:
+    """Names the version in force under ``root``. Each switch is a new file ``CURRENT-<n>``, moved
+    into place whole; the highest number counts, so there is no moment without a version."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root = root.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._io = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        self._fs = self._hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._hadoop.Path(f"{self.root}/{name}")
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def _numbers(self) -> list[int]:
+        found = self._fs.globStatus(self._path("CURRENT-*")) or []
+        return sorted(int(n) for f in found if (n := f.getPath().getName().partition("-")[2]).isdigit())
+
+    def read(self) -> str | None:
+        numbers = self._numbers()
+        if not numbers:
+            return None
+        stream = self._fs.open(self._path(f"CURRENT-{numbers[-1]}"))
+        try:
+            return self._io.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
+
+    def write(self, version: str) -> None:
+        numbers = self._numbers()
+        new, final = self._path(f"_pointer-{version}"), self._path(f"CURRENT-{numbers[-1] + 1 if numbers else 1}")
+        out = self._fs.create(new, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(new, final):
+            raise RuntimeError(f"another run published under {self.root} meanwhile")
+        for n in numbers[:-1]:  # the one before stays for readers that have just listed it
+            self._fs.delete(self._path(f"CURRENT-{n}"), False)

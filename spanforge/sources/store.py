@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.operators.index import LexicalIndex
+from spanforge.runtime import Pointer
 
 
 @dataclass
@@ -17,14 +18,11 @@ class IndexStore:
     spark: SparkSession
     root: str
 
-    def _path(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def __post_init__(self) -> None:
+        self.pointer = Pointer(self.spark, self.root)
 
     def version(self) -> str | None:
-        p, fs = self._path("CURRENT")
-        return self.spark.read.text(f"{self.root}/CURRENT").head()[0] if fs.exists(p) else None
+        return self.pointer.read()
 
     def write(self, tables: dict[str, DataFrame], partitions: int | None = None) -> str:
         """Publish tables as a new version. Postings are clustered and sorted by term, so a
@@ -34,14 +32,7 @@ class IndexStore:
             if name == "postings":
                 df = (df.repartition(partitions, "term") if partitions else df.repartition("term")).sortWithinPartitions("term", "chunk_id")
             df.write.parquet(f"{self.root}/v={version}/{name}")
-        tmp, fs = self._path(f"CURRENT.{version}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        dst, _ = self._path("CURRENT")
-        if fs.exists(dst):
-            fs.delete(dst, False)
-        fs.rename(tmp, dst)
+        self.pointer.write(version)
         return version
 
     def write_index(self, index: LexicalIndex, **more: DataFrame) -> str:
@@ -55,10 +46,7 @@ class IndexStore:
 
     def has(self, name: str) -> bool:
         version = self.version()
-        if version is None:
-            return False
-        p, fs = self._path(f"v={version}/{name}")
-        return fs.exists(p)
+        return version is not None and self.pointer.exists(f"v={version}/{name}")
 
     def index(self, version: str | None = None) -> LexicalIndex:
         return LexicalIndex(**{t: self.table(t, version) for t in LexicalIndex.TABLES})
