@@ -160,10 +160,10 @@ class Matcher:
             prefix_key.append(rare)
             prefix_item.append(np.full(len(rare), i))
         key = np.concatenate([*prefix_key, np.zeros(0, np.uint64)])
+        key = np.searchsorted(it.keys, key)
         order = np.argsort(key, kind="stable")
         self.entry = np.concatenate([*prefix_item, np.zeros(0, int)])[order]
-        self.keys, first = np.unique(key[order], return_index=True)
-        self.start = np.append(first, len(key))
+        self.start = np.searchsorted(key[order], np.arange(len(it.keys) + 1))  # of each key's items that have it in their prefix
         self.whole = {n: (np.array([h for h, _ in x], np.uint64), np.array([i for _, i in x])) for n, x in whole.items()}
 
     def _short(self, doc: np.ndarray) -> list[int]:
@@ -174,14 +174,11 @@ class Matcher:
         """Numbers of the items that a document of these word hashes holds."""
         out = self._short(doc)
         sh = shingles(doc)
-        if not len(sh) or not len(self.keys):
-            return out
-        at = np.searchsorted(self.keys, sh)
-        at[at == len(self.keys)] = 0
-        keys = np.unique(at[self.keys[at] == sh])
-        if not len(keys):
+        hit, keys = self.items.find(sh)
+        if not len(hit):
             return out
-        candidates = np.unique(np.concatenate([self.entry[self.start[k] : self.start[k + 1]] for k in keys]))
+        sh = sh[hit]
+        candidates = np.unique(np.concatenate([self.entry[self.start[k] : self.start[k + 1]] for k in np.unique(keys)]))
         for i in candidates:
             word = self.items.word[i]
             enough = self.share * len(word)
@@ -190,9 +187,9 @@ class Matcher:
             own, order = self.own[i]
             low = np.searchsorted(own, sh, "left")
             many = np.searchsorted(own, sh, "right") - low
-            dpos = np.flatnonzero(many)
-            m = many[dpos]
-            entry = order[np.repeat(low[dpos], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            some = np.flatnonzero(many)
+            dpos, m = hit[some], many[some]
+            entry = order[np.repeat(low[some], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
             shared = np.unique(entry)
             # positional bound: a shared shingle accounts for the words up to the next one, WORDS + GAP at most
             if np.minimum(np.diff(shared), WORDS + GAP).sum() + WORDS < enough:
