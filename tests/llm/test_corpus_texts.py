@@ -153,18 +153,57 @@ def good_pages():
     yield from ("```python\n" + "x = 1; y = x\n" * 60 + "```\n" + prose(rnd, 3) for _ in range(20))
 
 
+def measured(pages):
+    found = [b for t in pages for b in X.blocks(t)[0]]
+    return np.array([X.evidence(*b) for b in found]), np.array([X.features(b[0]) for b in found])
+
+
 def test_spam_held_out():
-    bad, good = (np.array([X.features(t) for t in f()]) for f in (spam_pages, good_pages))
-    x = np.concatenate([bad, good])
-    y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
-    weak = X.weak_labels(x)
-    assert (weak[weak >= 0] == y[weak >= 0]).mean() > 0.98
-    known = np.flatnonzero((weak >= 0) & (np.arange(len(x)) % 2 == 0))
-    held = np.arange(len(x)) % 2 == 1
+    """Trees fitted on weak labels of half of the blocks, against what the rest was made as."""
+    (be, bf), (ge, gf) = measured(spam_pages()), measured(good_pages())
+    x, weak = np.concatenate([bf, gf]), X.weak_labels(np.concatenate([be, ge]))
+    y = np.r_[np.ones(len(bf)), np.zeros(len(gf))]
+    assert (weak[weak >= 0] == y[weak >= 0]).mean() > 0.98 and (weak >= 0).mean() > 0.8
+    held = np.random.default_rng(3).random(len(x)) < 0.5  # not every other one: pages of two kinds of blocks alternate
+    known = np.flatnonzero((weak >= 0) & ~held)
     forest = X.train(x[known], weak[known])
     assert ((forest.score(x[held]) >= 0.5) == y[held]).mean() > 0.97
 
 
+def test_trees_decide_what_the_rules_leave_open():
+    """Tags whose words are function words of no list, set apart by single hyphens: no rule
+    knows them, trees fitted on other tags do."""
+    rnd = random.Random(12)
+    tags = [f"{a}{b}" for a in ("quarz", "lampe", "canard", "mesa") for b in ("pro", "lite", "plus")]
+    ad = lambda: " - ".join(f"{rnd.choice(tags)} {rnd.choice(['pas cher', 'comprar ya', 'angebot', 'prix'])}" for _ in range(40))
+    (be, bf), (ge, gf) = measured(spam_pages()), measured(good_pages())
+    weak = X.weak_labels(np.concatenate([be, ge]))
+    forest = X.train(np.concatenate([bf, gf])[weak >= 0], weak[weak >= 0])
+    e, f = measured([ad() for _ in range(20)])
+    assert (X.weak_labels(e) == -1).all() and (forest.score(f) >= 0.5).mean() > 0.9
+
+
+def test_rules_abstain_when_they_contradict():
+    e = dict.fromkeys(X.EVIDENCE, 0.0)
+    row = lambda **k: np.array([[{**e, **k}[n] for n in X.EVIDENCE]])
+    assert X.weak_labels(row(links=0.9, words=3)) == [1] and X.weak_labels(row(words=30, varied=0.9)) == [0]
+    assert X.weak_labels(row(words=30, varied=0.3, figures=0.5)) == [-1] and X.weak_labels(row(words=30, varied=0.6, separators=0.15)) == [-1]
+
+
+def test_repetition_in_scripts_without_blanks():
+    prose = "昨日は雨が降ったので図書館で古い地図を調べた。川の流れは百年前とほとんど変わっていない。橋の名前だけが新しくなった。"
+    spam = "格安時計、" * 30
+    (p,), (s,) = measured([prose])[0], measured([spam])[0]
+    assert X.weak_labels(np.array([p, s])).tolist() == [0, 1]
+
+
+def test_host_rate_moves_a_page(spark):
+    rows = [(i, f"{i}.md", t, "bad" if i < 40 else "good") for i, t in enumerate([*spam_pages(), *good_pages()])]
+    got = {r.host: r for r in X.score_pages(documents(spark, rows)).groupBy("host").agg({"host_rate": "max", "score": "avg", "page_score": "avg"}).collect()}
+    assert got["bad"]["max(host_rate)"] > got["good"]["max(host_rate)"]
+    assert got["bad"]["avg(score)"] > got["bad"]["avg(page_score)"] and got["good"]["avg(score)"] < got["good"]["avg(page_score)"]
+
+
 def test_find_spam(spark):
     rows = [(i, f"a{i}.md", t, f"h{i % 4}") for i, t in enumerate([*spam_pages(), *good_pages()])]
     n = len(list(spam_pages()))
