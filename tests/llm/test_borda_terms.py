@@ -47,6 +47,22 @@ def test_borda_against_brute_force(spark, group_rows):
     assert got == {q: {c: pytest.approx(p) for c, p in x.items()} for q, x in brute(rows, {"b": False}).items()}
 
 
+def test_crowded_ties_and_weights(spark):
+    """Many equal scores in a large group, and a scorer that counts twice."""
+    rnd = random.Random(8)
+    rows = [("x", "a", c, float(rnd.choice([1, 1, 1, 2, 3]))) for c in range(40)] + [("x", "b", c, float(c % 7)) for c in range(0, 60, 2)] + [("y", "a", 1, 2.0)]
+    up = {"b": False}
+    got = {(r.question_id, r.chunk_id): r.points for r in B.borda(scores(spark, rows), scorers(spark), {"a": 2.0}, group_rows=5).collect()}
+    once, twice = brute(rows, up), brute([r for r in rows if r[1] == "a"], up)
+    extra = lambda q, c: twice[q].get(c, len(once[q]) - (len(twice[q]) + 1 + len(once[q])) / 2) + (len(once[q]) - len(twice[q]) if c in twice[q] else 0)
+    assert got == {(q, c): pytest.approx(p + extra(q, c)) for q, x in once.items() for c, p in x.items()}
+
+
+def test_plan_is_short(spark):
+    df = B.leading(B.borda(scores(spark, [("q", "a", c, 1.0) for c in range(9)]), scorers(spark)), 3)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 6
+
+
 def test_borda_latest_usable_and_edges(spark):
     rows = spark.createDataFrame(
         [("q", "a", 1, 5.0, "2025-01-01"), ("q", "a", 1, 1.0, "2025-01-02"), ("q", "a", 1, None, "2025-01-03"), ("q", "a", 2, 3.0, "2025-01-01"), (None, "a", 1, 1.0, "2025-01-01"), ("q", "a", None, 1.0, "2025-01-01"), ("q", None, 3, 9.0, "2025-01-01")],
