@@ -33,6 +33,11 @@ def normal_newlines(text: Column | str) -> Column:
     return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
+#: what ends a line beside CR and CRLF, and what counts as blank: characters of Unicode, as Python's strings know them
+LINE_END = r"[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+BLANK_CHAR = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def stem(word: Column) -> Column:
     """Lower case without a common English suffix; the first rule that fits is applied."""
     w = F.lower(word)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -13,12 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.spans import trimmed_span
-from spanforge.functions.text import normal_newlines
+from spanforge.functions.text import BLANK_CHAR, LINE_END, normal_newlines
 
 MAX_CHUNK = 2000
 LEAST_SECTION = 40
 BLOCK_OVERLAP = 300
 HEADER = r"^(#{1,6})\s+([\s\S]*)$"
+JVM_HEADER = HEADER.replace(r"\s+", BLANK_CHAR + "+")
 
 
 # ---------------------------------------------------------------- windows and lines, native
@@ -46,8 +48,10 @@ def slice_windows(spans: DataFrame, first: str = "first", last: str = "last", ma
 
 def lines(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, lines, line_no from 0, line, line_start: the lines of each text with their number
-    and character offsets after newline normalisation. A null text has no lines."""
-    cut = F.split(normal_newlines("text"), "\n")
+    and character offsets after newline normalisation. Lines end as Python's ``splitlines`` ends
+    them, each end being one character then; what follows the last end is a line too, even if
+    it is empty. A null text has no lines."""
+    cut = F.split(normal_newlines("text"), LINE_END)
     split = files.where(F.col("text").isNotNull()).select(key, F.size(cut).alias("lines"), F.posexplode_outer(cut).alias("line_no", "line"))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return split.withColumn("line_start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long"))
@@ -56,12 +60,12 @@ def lines(files: DataFrame, key: str = "doc_id") -> DataFrame:
 def headers(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, offset, level, title of each Markdown header line, fences regardless."""
     ended = F.when(F.col("line_no") < F.col("lines") - 1, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
-    found = lines(files.where(F.col("text").contains("#")), key).where(F.col("line").startswith("#")).withColumn("line", ended).where(F.col("line").rlike(HEADER))
+    found = lines(files.where(F.col("text").contains("#")), key).where(F.col("line").startswith("#")).withColumn("line", ended).where(F.col("line").rlike(JVM_HEADER))
     return found.select(
         key,
         F.col("line_start").alias("offset"),
-        F.length(F.regexp_extract("line", HEADER, 1)).alias("level"),
-        F.regexp_replace(F.regexp_extract("line", HEADER, 2), r"^\s+|\s+$", "").alias("title"),
+        F.length(F.regexp_extract("line", JVM_HEADER, 1)).alias("level"),
+        F.regexp_replace(F.regexp_extract("line", JVM_HEADER, 2), f"^{BLANK_CHAR}+|{BLANK_CHAR}+$", "").alias("title"),
     )
 
 
@@ -123,28 +127,23 @@ def block_spans(text: str, first: int, last: int, max_chunk: int = MAX_CHUNK, ov
     """Paragraphs of text[first:last] packed into spans of at most ``max_chunk``. A span begins
     with those paragraphs before it that lie within ``overlap`` of the last span's end; an
     oversized paragraph, or a text without blank lines, is cut into line windows."""
-    part = text[first:last]
-    gaps = [m.span() for m in re.finditer(r"\n\s*\n", part)]
+    gaps = [m.span() for m in re.compile(r"\n\s*\n").finditer(text, first, last)]
     if not gaps:
         return list(_line_windows(text, first, last, max_chunk, overlap))
-    edges = [0, *(x for gap in gaps for x in gap), len(part)]
-    blocks = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+    bounds = zip([first, *(end for _, end in gaps)], [*(start for start, _ in gaps), last])
+    starts, ends = map(list, zip(*(x for x in bounds if x[0] < x[1])))
     out: list[tuple[int, int]] = []
     at = 0
-    while at < len(blocks):
-        start = blocks[at][0]
-        stop = at
-        while stop < len(blocks) and blocks[stop][1] - start <= max_chunk:
-            stop += 1
-        if stop == at:
-            out += _line_windows(text, first + start, first + blocks[at][1], max_chunk, overlap)
+    while at < len(starts):
+        reach = bisect_right(ends, starts[at] + max_chunk)  # the first block that does not fit
+        if reach <= at:
+            out += _line_windows(text, starts[at], ends[at], max_chunk, overlap)
             at += 1
             continue
-        end = blocks[stop - 1][1]
-        out.append((first + start, first + end))
-        if stop == len(blocks):
+        out.append((starts[at], ends[reach - 1]))
+        if reach == len(starts):
             break
-        at = next((i for i in range(at + 1, stop) if end - blocks[i][0] < overlap), stop)
+        at = max(at + 1, min(reach, bisect_right(starts, ends[reach - 1] - overlap)))
     return out
 
 

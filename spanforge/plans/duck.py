@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.functions.text import PATH_NOISE, STOPWORDS
+from spanforge.functions.text import BLANK_CHAR, LINE_END, PATH_NOISE, STOPWORDS
 
 _quoted = lambda words: ", ".join(f"'{w}'" for w in words)
 STOP = _quoted(STOPWORDS)
@@ -67,12 +67,14 @@ QUESTIONS = """(SELECT question_id, question, answer, sources FROM (SELECT *, ro
 LINES = f"""(
   SELECT doc_id, n, line_no, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start
   FROM (SELECT doc_id, len(l) AS n, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {DOCS} WHERE text IS NOT NULL)))"""
+        FROM (SELECT doc_id, string_split_regex(text, '{LINE_END}') AS l FROM {DOCS} WHERE text IS NOT NULL)))"""
+
+_HEADER = rf"^(#{{1,6}}){BLANK_CHAR}+([\s\S]*)$"
 
 HEADERS = rf"""(
-  SELECT doc_id, line_start AS "offset", length(regexp_extract(e, '^(#{{1,6}})\s+([\s\S]*)$', 1)) AS level,
-         regexp_replace(regexp_extract(e, '^(#{{1,6}})\s+([\s\S]*)$', 2), '^\s+|\s+$', '', 'g') AS title
-  FROM (SELECT *, CASE WHEN line_no < n - 1 THEN line || chr(10) ELSE line END AS e FROM {LINES}) WHERE regexp_matches(e, '^(#{{1,6}})\s+([\s\S]*)$'))"""
+  SELECT doc_id, line_start AS "offset", length(regexp_extract(e, '{_HEADER}', 1)) AS level,
+         regexp_replace(regexp_extract(e, '{_HEADER}', 2), '^{BLANK_CHAR}+|{BLANK_CHAR}+$', '', 'g') AS title
+  FROM (SELECT *, CASE WHEN line_no < n - 1 THEN line || chr(10) ELSE line END AS e FROM {LINES}) WHERE regexp_matches(e, '{_HEADER}'))"""
 
 CONTEXT = f"""(
   SELECT chunk_id, string_agg(title, ' ' ORDER BY "offset") AS context FROM (

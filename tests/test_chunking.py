@@ -139,3 +139,46 @@ def test_chunk_files(spark):
 def test_headers_native(spark):
     df = spark.createDataFrame([(1, "##\n# A\r\ntext\n#no\n### B c "), (2, None), (3, "#")], "doc_id long, text string")
     assert [(r.offset, r.level, r.title) for r in C.headers(df).orderBy("offset").collect()] == [(0, 2, ""), (3, 1, "A"), (16, 3, "B c")]
+
+
+ODD = "a\x0b# One\x0c## Two\x1c#\xa0Three\x1d#　Four\x1e#\x1fFive\x85# Six # Seven # Eight\r\n# Nine\r# Ten\n#\x0b#x\n# Last  "
+
+
+@pytest.mark.parametrize("text", [ODD, ODD + "\n", "\x0c", "", "\r\n\x85", "##\n\n# a#\xa0", "#​no"])
+def test_lines_and_headers_end_as_python_ends_them(spark, text):
+    import re
+
+    normal = text.replace("\r\n", "\n").replace("\r", "\n")
+    files = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    offset, want, starts = 0, [], []
+    for line in normal.splitlines(keepends=True):
+        starts.append(offset)
+        if m := re.match(r"^(#{1,6})\s+(.*)$", line):
+            want.append((offset, len(m[1]), m[2].strip()))
+        offset += len(line)
+    got = [(r.offset, r.level, r.title) for r in C.headers(files).orderBy("offset").collect()]
+    assert got == want
+    assert [r.line_start for r in C.lines(files).orderBy("line_no").collect()][: len(starts)] == starts
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab \n", min_size=1, max_size=160), st.integers(8, 60), st.integers(1, 20))
+def test_blocks_follow_the_rule(text, size, overlap):
+    """Each span takes all blocks in reach; the next begins at the first block that starts less
+    than ``overlap`` before its end."""
+    import re
+
+    gaps = [m.span() for m in re.finditer(r"\n\s*\n", text)]
+    blocks = [(a, b) for a, b in zip([0, *(e for _, e in gaps)], [*(s for s, _ in gaps), len(text)]) if a < b]
+    spans = C.block_spans(text, 0, len(text), size, overlap)
+    if not gaps or any(b - a > size for a, b in blocks):
+        return
+    assert C.block_spans("xx" + text + "yy", 2, 2 + len(text), size, overlap) == [(a + 2, b + 2) for a, b in spans]
+    assert {a for a, _ in spans} <= {a for a, _ in blocks} and all(b - a <= size for a, b in spans)
+    for (a, b), (c, _) in zip(spans, spans[1:]):
+        later = [x for x, _ in blocks if x > a]
+        inside = [x for x in later if x > b - overlap and x < b]
+        assert c == (inside[0] if inside else next(x for x in later if x >= b))
+    for a, b in spans:
+        assert b == max(e for s, e in blocks if s >= a and e - a <= size)
+    assert not blocks or spans[-1][1] == blocks[-1][1]
