@@ -32,14 +32,13 @@ class LexicalIndex:
     TABLES = ("chunks", "postings", "doc_stats", "term_stats", "corpus_stats")
 
 
-def current_chunks(chunks: DataFrame, documents: DataFrame, raw: bool = True, line_first: bool = False) -> DataFrame:
-    """chunk_id, file_path, first, last, text of the chunks in force: the latest row of each
-    chunk_id by chunked_at whose span is not empty and lies within its document's text. Spans
-    count the characters of the text as it is stored; newlines are normalised after the cut.
-    With ``line_first``, also where the span begins in the normalised text, as headers count.
-    Without ``raw`` spans are laid on the normalised text instead, as the SQL twins do: in
-    texts with CRLF that shifts spans and loses those past the shortened end."""
-    docs = documents.select("doc_id", (F.col("text") if raw else normal_newlines("text")).alias("_text"))
+def current_chunks(chunks: DataFrame, documents: DataFrame, line_first: bool = False) -> DataFrame:
+    """chunk_id, doc_id, file_path, first, last, text of the chunks in force: the latest row of
+    each chunk_id by chunked_at whose span is not empty and lies within its document's text.
+    Spans count the characters of the text as it is stored; newlines are normalised after the
+    cut. With ``line_first``, also where the span begins in the normalised text, as headers
+    count."""
+    docs = documents.select("doc_id", F.col("text").alias("_text"))
     first, last = F.col("first_character_index"), F.col("last_character_index")
     rows = chunks.select("chunk_id", "doc_id", "file_path", first.alias("first"), last.alias("last"), "chunked_at").where("last > first and first >= 0")
     newest = rows.groupBy("chunk_id").agg(F.max(F.struct("chunked_at", "doc_id", "file_path", "first", "last")).alias("c")).select("chunk_id", "c.*")
@@ -50,7 +49,7 @@ def current_chunks(chunks: DataFrame, documents: DataFrame, raw: bool = True, li
     return (
         newest.join(docs, "doc_id")
         .where(F.col("last") <= F.length("_text"))
-        .select("chunk_id", "doc_id", "file_path", "first", "last", F.regexp_replace(text, "\r\n?", "\n").alias("text") if raw else text.alias("text"), *more)
+        .select("chunk_id", "doc_id", "file_path", "first", "last", normal_newlines(text).alias("text"), *more)
     )
 
 
@@ -96,8 +95,10 @@ def exploded_terms(rows: DataFrame, key: str, *found: tuple[Column, int]) -> Dat
 def term_counts(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf: weighted occurrences of each term of each chunk (text, file_path and,
     if there, context). The texts are spread by chunk_id once, before they are exploded: they
-    are smaller than their terms, and the counting then needs no shuffle of its own."""
-    chunks = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    are smaller than their terms, and the counting then needs no shuffle of its own. Adaptive
+    execution joins small partitions; it does not cut large ones, so at scale set
+    spark.sql.adaptive.coalescePartitions.initialPartitionNum to the text's size over 32 MB."""
+    chunks = chunks.repartition("chunk_id")
     long = lambda c: F.filter(T.words(F.col(c)), lambda w: F.length(w) > 1)
     path = F.filter(T.words(F.col("file_path")), lambda w: ~F.lower(w).isin(*T.PATH_NOISE))
     found = [(long("text"), T.BODY_WEIGHT), (path, T.CONTEXT_WEIGHT)]

@@ -14,7 +14,7 @@ from spanforge.operators import index as X
 from spanforge.operators import retrieval as R
 from spanforge.operators.merkle import normal_hash, pending_files
 from spanforge.plans import duck as D
-from spanforge.runtime import cut, read_table
+from spanforge.runtime import cut, read_table, table_state
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,11 +38,10 @@ def _normal(spark, sf_dir):
     return _documents(spark, sf_dir).withColumn("text", T.normal_newlines("text"))
 
 
-def _chunks(spark, sf_dir, context: bool = False, raw: bool = False):
-    """The chunks in force. Their spans count raw characters; the queries with an SQL twin
-    follow its cut of the normalised text (``raw`` false), the others are whole."""
+def _chunks(spark, sf_dir, context: bool = False):
+    """The chunks in force."""
     docs = _documents(spark, sf_dir)
-    rows = X.current_chunks(read_table(spark, sf_dir, "chunks"), docs, raw, context)
+    rows = X.current_chunks(read_table(spark, sf_dir, "chunks"), docs, context)
     if not context:
         return rows
     marked = F.col("file_path").endswith(".md") | F.col("file_path").endswith(".txt")
@@ -53,16 +52,27 @@ def _questions(spark, sf_dir):
     return X.latest_questions(read_table(spark, sf_dir, "questions"))
 
 
-def _index(spark, sf_dir):
-    return _chunks_and_index(spark, sf_dir)[1]
+_indexes: dict[tuple, tuple] = {}
 
 
-def _chunks_and_index(spark, sf_dir, raw: bool = False):
-    """The given chunks with their text, and their index with every table written once."""
-    chunks = cut(_chunks(spark, sf_dir, context=True, raw=raw), "chunks")
+def build_folder_index(spark, sf_dir):
+    """The given chunks with their text, and their index, every table written once."""
+    chunks = cut(_chunks(spark, sf_dir, context=True), "chunks")
     return chunks, X.build_index(chunks, cut(X.term_counts(chunks), "counts")).written()
 
 
+def _chunks_and_index(spark, sf_dir):
+    """build_folder_index, once a session for each state of the folder's tables; searches share it."""
+    key = (spark.sparkContext.applicationId, *(table_state(spark, sf_dir, t) for t in ("documents", "chunks")))
+    if key not in _indexes:
+        _indexes[key] = build_folder_index(spark, sf_dir)
+    return _indexes[key]
+
+
+def _index(spark, sf_dir):
+    return _chunks_and_index(spark, sf_dir)[1]
+
+
 # ---------------------------------------------------------------- chunking
 
 
@@ -304,7 +314,7 @@ def rrf_hybrid(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """BM25 and stand-in vectors of all chunks, fused."""
-    chunks, index = _chunks_and_index(spark, sf_dir, raw=True)
+    chunks, index = _chunks_and_index(spark, sf_dir)
     return R.hybrid_search(index, cut(R.embed_chunks(chunks), "vectors"), _questions(spark, sf_dir), k=10)
 
 
@@ -356,7 +366,7 @@ def recall_at_k(spark, sf_dir):
 def passage_recall(spark, sf_dir):
     """Recall of each twentieth chunk by a passage of it: twelve words from its middle, as a
     question set against all chunks."""
-    chunks, index = _chunks_and_index(spark, sf_dir, raw=True)
+    chunks, index = _chunks_and_index(spark, sf_dir)
     asked = chunks.where("chunk_id % 20 = 0").withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 24)
     question = F.concat_ws(" ", F.slice("w", (F.size("w") / 2).cast("int") - 5, F.lit(12)))
     name = F.col("chunk_id").cast("string").alias("question_id")
@@ -468,8 +478,8 @@ _CONTEXTS = f"""(
   WHERE cut_before = 0 GROUP BY question_id)"""
 
 
-def _contexts(spark, sf_dir, raw: bool = False):
-    chunks, index = _chunks_and_index(spark, sf_dir, raw)
+def _contexts(spark, sf_dir):
+    chunks, index = _chunks_and_index(spark, sf_dir)
     questions = _questions(spark, sf_dir)
     return questions, A.contexts(R.bm25_search(index, questions, 3), chunks)
 
@@ -487,7 +497,7 @@ def prompt_build(spark, sf_dir):
 @query()
 def answer_questions(spark, sf_dir):
     """Answers by the extractive stand-in."""
-    return A.generate_answers(A.prompts(*_contexts(spark, sf_dir, raw=True)))
+    return A.generate_answers(A.prompts(*_contexts(spark, sf_dir)))
 
 
 @query(f"SELECT chunk_id, file_path || chr(10) || left(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 400) AS text FROM {D.CHUNKS}")

@@ -53,13 +53,15 @@ NORMAL = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
 
 DOCS = f"(SELECT doc_id, file_path, {NORMAL} AS text, source, lang FROM documents)"
 
-#: chunks in force with their text
-CHUNKS = f"""(
-  SELECT c.chunk_id, c.doc_id, c.file_path, c.first_character_index AS first, c.last_character_index AS last,
-         substr(d.text, c.first_character_index + 1, c.last_character_index - c.first_character_index) AS text
-  FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunked_at DESC, doc_id DESC, file_path DESC, first_character_index DESC, last_character_index DESC) AS rn
-        FROM chunks WHERE last_character_index > first_character_index AND first_character_index >= 0) c
-  JOIN {DOCS} d USING (doc_id) WHERE c.rn = 1 AND c.last_character_index <= length(d.text))"""
+#: chunks in force with their text: spans count the characters as they are stored, newlines are
+#: normalised after the cut; line_first is where a span begins in the normalised text
+CHUNKS = rf"""(
+  SELECT chunk_id, doc_id, file_path, first, last, regexp_replace(substr(t, first + 1, last - first), '\r\n?', chr(10), 'g') AS text,
+         first - length(substr(t, 1, first + 1)) + length(replace(substr(t, 1, first + 1), chr(13) || chr(10), chr(10))) AS line_first
+  FROM (SELECT c.chunk_id, c.doc_id, c.file_path, c.first_character_index AS first, c.last_character_index AS last, d.text AS t
+        FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunked_at DESC, doc_id DESC, file_path DESC, first_character_index DESC, last_character_index DESC) AS rn
+              FROM chunks WHERE last_character_index > first_character_index AND first_character_index >= 0) c
+        JOIN documents d USING (doc_id) WHERE c.rn = 1 AND c.last_character_index <= length(d.text)))"""
 
 QUESTIONS = """(SELECT question_id, question, answer, sources FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY asked_at DESC, question) AS rn
   FROM questions WHERE question_id IS NOT NULL) WHERE rn = 1)"""
@@ -79,7 +81,7 @@ HEADERS = rf"""(
 CONTEXT = f"""(
   SELECT chunk_id, string_agg(title, ' ' ORDER BY "offset") AS context FROM (
     SELECT c.chunk_id, h."offset", h.title, row_number() OVER (PARTITION BY c.chunk_id ORDER BY h."offset" DESC) AS rn
-    FROM {CHUNKS} c JOIN {HEADERS} h ON h.doc_id = c.doc_id AND h."offset" <= c.first
+    FROM {CHUNKS} c JOIN {HEADERS} h ON h.doc_id = c.doc_id AND h."offset" <= c.line_first
     WHERE c.file_path LIKE '%.md' OR c.file_path LIKE '%.txt') WHERE rn <= 2 GROUP BY chunk_id)"""
 
 COUNTS = f"""(

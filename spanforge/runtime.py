@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_scope = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,20 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later stages neither
-    recompute it nor depend on an executor that may be lost. Removed when the driver exits."""
+    recompute it nor depend on an executor that may be lost. Removed at the end of the ``freed``
+    block it is written in, or when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanforge/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _written.append((spark, path))
+    (getattr(_scope, "tables", None) or [_written])[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,10 +55,37 @@ def _clean() -> None:
             continue
 
 
+@contextmanager
+def freed() -> Iterator[None]:
+    """Tables that ``cut`` writes in this thread within the block are deleted at its end; for
+    work whose result has been collected or saved by then."""
+    _scope.tables = [*(getattr(_scope, "tables", None) or []), []]
+    try:
+        yield
+    finally:
+        _delete(_scope.tables.pop())
+
+
+@atexit.register
+def _clean() -> None:
+    _delete(_written)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Path, size and time of change of each file of a table; equal as long as it is unchanged."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within ``limit``; otherwise
     unchanged, so that the join shuffles."""
