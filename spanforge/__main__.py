@@ -7,11 +7,14 @@ import argparse
 from pyspark.sql import SparkSession
 
 from spanforge.engine import Engine, dumps
+from spanforge.runtime import use_checkpoint_dir
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="spanforge")
     p.add_argument("--index-path", default="spanforge-index")
+    p.add_argument("--checkpoint-dir", help="folder shared by all executors; by default one below the index")
+    p.add_argument("--cache-path", help="file that keeps the results of single queries")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *names: str, k: int | None = None) -> argparse.ArgumentParser:
@@ -27,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--max-chunk-size", type=int, default=2000)
     c.add_argument("--incremental", action="store_true")
     c.add_argument("--with-vectors", action="store_true")
+    c.add_argument("--max-docs", type=int, help="embed only the first so many chunks")
     command("search", "query", k=10).add_argument("--doc-type", choices=["docs", "code"])
     command("search-dataset", "dataset", "output", k=10).add_argument("--doc-type", choices=["docs", "code"])
     command("answer", "query", k=5)
@@ -40,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(engine: Engine, a: argparse.Namespace):
     if a.command == "index":
-        return engine.index(a.corpus, a.max_chunk_size, a.incremental, a.with_vectors)
+        return engine.index(a.corpus, a.max_chunk_size, a.incremental, a.with_vectors, a.max_docs)
     if a.command == "search":
         return engine.search(a.query, a.k, a.hybrid, a.doc_type)
     if a.command == "search-dataset":
@@ -59,7 +63,8 @@ def run(engine: Engine, a: argparse.Namespace):
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("spanforge").getOrCreate()
-    out = run(Engine(spark, a.index_path), a)
+    use_checkpoint_dir(spark, a.checkpoint_dir or f"{a.index_path.rstrip('/')}/_work")
+    out = run(Engine(spark, a.index_path, cache_path=a.cache_path), a)
     if out is not None:
         print(dumps(out))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,30 +16,46 @@ from spanforge.operators import evaluate as E
 from spanforge.operators import incremental as I
 from spanforge.operators import retrieval as R
 from spanforge.operators.cache import QueryCache
-from spanforge.operators.index import build_index, chunk_corpus, term_counts
-from spanforge.runtime import cut
+from spanforge.operators.index import LexicalIndex, build_index, chunk_corpus, term_counts
+from spanforge.runtime import cut, freed
 from spanforge.sources.corpus import read_corpus
 from spanforge.sources.datasets import read_questions, read_results, write_results
 from spanforge.sources.store import IndexStore
 
 
+def _freeing(method):
+    """Tables written on the way to a result that the method saves or collects go with it."""
+
+    @functools.wraps(method)
+    def run(*args, **kwargs):
+        with freed():
+            return method(*args, **kwargs)
+
+    return run
+
+
 @dataclass
 class Engine:
     """``root`` is the folder of the versioned index. ``encoder`` and ``generator`` make the
-    models of a worker task; the defaults are stand-ins that need no model files."""
+    models of a worker task (see models); the defaults are stand-ins that need no model files.
+    With ``cache_path`` results of single queries are kept in that file over sessions."""
 
     spark: SparkSession
     root: str
     encoder: Callable[[], R.Encoder] = lambda: R.hashed_encoder
     generator: Callable[[], A.Generator] = lambda: A.extractive_generator
     cache: QueryCache = field(default_factory=QueryCache)
+    cache_path: str | None = None
 
     def __post_init__(self) -> None:
+        if self.cache_path:
+            self.cache = QueryCache(path=self.cache_path)
         self.store = IndexStore(self.spark, self.root)
         self._open: tuple[str, dict] | None = None
 
     # ------------------------------------------------------------ building
 
+    @_freeing
     def index(self, corpus: str, max_chunk: int = 2000, incremental: bool = False, with_vectors: bool = False, max_docs: int | None = None) -> dict[str, int]:
         """Index a directory and publish a new version; counts of files added, modified and
         deleted. Incremental runs chunk and tokenise changed files only, embed them only, and
@@ -80,11 +97,16 @@ class Engine:
             raise FileNotFoundError(f"no index at {self.root}")
         if self._open is None or self._open[0] != version:
             names = ("index", "files", "vectors")
-            tables = {"index": self.store.index(version), "files": self.store.table("files", version)}
+            tables = {"index": self._held(self.store.index(version)), "files": self.store.table("files", version)}
             tables["vectors"] = self.store.table("vectors", version) if self.store.has("vectors") else None
             self._open = version, {n: tables[n] for n in names}
         return self._open
 
+    def _held(self, index: LexicalIndex) -> LexicalIndex:
+        """The index with its one row of totals at hand instead of in a file."""
+        totals = index.corpus_stats
+        return replace(index, corpus_stats=self.spark.createDataFrame(totals.collect(), totals.schema))
+
     # ------------------------------------------------------------ retrieval
 
     def search_all(self, questions: DataFrame, k: int = 10, hybrid: bool = False, doc_type: str | None = None) -> DataFrame:
@@ -99,6 +121,7 @@ class Engine:
             ranked = R.bm25_search(t["index"], asked, k, doc_type=F.lit(doc_type) if doc_type else None)
         return R.resolve(ranked, t["index"].chunks)
 
+    @_freeing
     def search(self, query: str, k: int = 10, hybrid: bool = False, doc_type: str | None = None) -> list[dict]:
         """Ranked sources of one query, cached per index version."""
         if k <= 0 or not query.strip():
@@ -113,6 +136,7 @@ class Engine:
             self.cache.set(key, rows)
         return rows
 
+    @_freeing
     def search_dataset(self, dataset: str, output: str, k: int = 10, hybrid: bool = False, doc_type: str | None = None) -> None:
         """Search all questions of a data set file and write one results file. Without a
         ``doc_type`` the data set's name may tell it."""
@@ -129,12 +153,14 @@ class Engine:
         text = self._with_text(t["index"].chunks.join(few, "chunk_id", "left_semi"), t["files"])
         return A.generate_answers(A.prompts(questions, A.contexts(ranked, text)), self.generator)
 
+    @_freeing
     def answer(self, query: str, k: int = 5, hybrid: bool = False) -> str:
         if k <= 0 or not query.strip():
             return A.NO_CONTEXT
         q = self.spark.createDataFrame([("q", query)], "question_id string, question string")
         return self._answers(q, self.search_all(q, k, hybrid)).head()["answer"]
 
+    @_freeing
     def answer_dataset(self, results: str, output: str) -> None:
         """Answer the questions of a results file from its sources; the same file with answers."""
         _, t = self._tables()
@@ -146,6 +172,7 @@ class Engine:
         k = flat.agg(F.coalesce(F.max("rank"), F.lit(0))).head()[0]
         write_results(nested.join(self._answers(questions, ranked).select("question_id", "answer"), "question_id"), output, k)
 
+    @_freeing
     def evaluate(self, results: str, dataset: str, max_length: int = 2000) -> dict[str, float]:
         hits = E.hit_ranks(read_results(self.spark, results), E.truth(read_questions(self.spark, dataset)), max_length)
         return {f"Recall@{r['cut']}": r["recall"] for r in E.recall(hits).orderBy("cut").collect()}

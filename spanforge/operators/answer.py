@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.spans import assemble_context, prompt
+from spanforge.functions.spans import SYSTEM_PROMPT, assemble_context, prompt
 
 #: fixed values: answers given where there is nothing to answer from, or nothing left
 NO_CONTEXT = "No relevant context found in codebase to answer this question."
@@ -41,16 +42,26 @@ def clean_answer(raw: str | None) -> str:
     return " ".join(kept).strip()
 
 
-Generator = Callable[[list[tuple[str, str]]], list[str]]
+class Request(NamedTuple):
+    """What a generator gets of one question: the two parts of its chat, and what the user part
+    is made of."""
 
+    system: str
+    prompt: str
+    context: str
+    question: str
 
-def extractive_generator(batch: list[tuple[str, str]]) -> list[str]:
+
+Generator = Callable[[list[Request]], list[str]]
+
+
+def extractive_generator(batch: list[Request]) -> list[str]:
     """Stand-in for a language model, which cannot be loaded here: the sentence of the context
     that shares most words with the question, the first of equals."""
     out = []
-    for context, question in batch:
-        asked = set(re.findall(r"\w+", question.lower()))
-        sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", context) if s.strip()]
+    for r in batch:
+        asked = set(re.findall(r"\w+", r.question.lower()))
+        sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", r.context) if s.strip()]
         out.append(max(sentences, key=lambda s: len(asked & set(re.findall(r"\w+", s.lower()))), default=""))
     return out
 
@@ -70,19 +81,21 @@ def prompts(questions: DataFrame, context: DataFrame) -> DataFrame:
     return rows.withColumn("prompt", prompt(F.col("context"), F.coalesce("question", F.lit(""))))
 
 
-def generate_answers(asked: DataFrame, generator: Callable[[], Generator] = lambda: extractive_generator) -> DataFrame:
-    """question_id, question, answer. ``asked`` has question_id, question, context; the
-    generator is made once per worker task and gets batches of (context, question). Without
-    context, or with nothing left after cleaning, the answer is a fixed sentence."""
+def generate_answers(asked: DataFrame, generator: Callable[[], Generator] = lambda: extractive_generator, system: str = SYSTEM_PROMPT, batch_size: int = 32) -> DataFrame:
+    """question_id, question, answer. ``asked`` has question_id, question, context, prompt; the
+    generator is made once per worker task and gets batches of up to ``batch_size`` requests.
+    Without context, or with nothing left after cleaning, the answer is a fixed sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = generator()
         for b in batches:
-            rows = list(zip(b.column("context").to_pylist(), b.column("question").to_pylist()))
-            todo = [i for i, (c, _) in enumerate(rows) if c]
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("prompt", "context", "question"))))
+            todo = [i for i, (_, c, _) in enumerate(rows) if c]
             answers = [NO_CONTEXT] * len(rows)
-            for i, raw in zip(todo, model([(rows[i][0], rows[i][1] or "") for i in todo]) if todo else []):
-                answers[i] = clean_answer(raw) or NO_ANSWER
+            for s in range(0, len(todo), batch_size):
+                part = todo[s : s + batch_size]
+                for i, raw in zip(part, model([Request(system, p, c, q or "") for p, c, q in (rows[i] for i in part)])):
+                    answers[i] = clean_answer(raw) or NO_ANSWER
             yield pa.RecordBatch.from_arrays([b.column("question_id"), b.column("question"), pa.array(answers, pa.string())], ["question_id", "question", "answer"])
 
-    return asked.select("question_id", "question", "context").mapInArrow(run, "question_id string, question string, answer string")
+    return asked.select("question_id", "question", "context", "prompt").mapInArrow(run, "question_id string, question string, answer string")

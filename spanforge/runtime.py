@@ -16,6 +16,12 @@ _written: list[tuple[SparkSession, str]] = []
 _scope = threading.local()
 
 
+def use_checkpoint_dir(spark: SparkSession, path: str) -> None:
+    """Name the shared folder where the cluster names none."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        spark.conf.set("spark.checkpoint.dir", path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share.
 

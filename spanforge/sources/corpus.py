@@ -8,8 +8,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from spanforge.runtime import cut
+
 SUFFIXES = (".py", ".md", ".txt")  # CMakeLists.txt ends in .txt
 SCHEMA = "file_path string, text string, mtime double, hash string"
 
@@ -48,10 +51,12 @@ class _CorpusReader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(partition.paths), 256):
-            rows = [_read(p) for p in partition.paths[i : i + 256]]
-            columns = [[r[c] for r in rows] for c in range(4)]
-            kinds = (pa.string(), pa.string(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file_path", "text", "mtime", "hash"])
+            yield _batch([_read(p) for p in partition.paths[i : i + 256]])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["file_path", "text", "mtime", "hash"])
 
 
 def _read(path: str) -> tuple[str, str, float, str]:
@@ -76,6 +81,49 @@ class CorpusSource(DataSource):
         return _CorpusReader(self.options)
 
 
-def read_corpus(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    spark.dataSource.register(CorpusSource)
-    return spark.read.format("corpus").options(**options).load(path)
+def _frontier(root: str, enough: int) -> tuple[list[str], list[str]]:
+    """Directories and files below ``root``, breadth first, until there are ``enough``
+    directories to be walked by tasks."""
+    todo, files = [root], []
+    while todo and len(todo) < enough:
+        below: list[str] = []
+        for at in todo:
+            for entry in os.scandir(at):
+                (below if entry.is_dir(follow_symlinks=False) else files).append(entry.path)
+        todo = below
+    return todo, files
+
+
+def list_corpus(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, walkers: int = 256) -> DataFrame:
+    """file_path, size of each file of the wanted suffixes. The driver looks at the upper levels
+    only; the directories below are walked by tasks, so listing is spread like reading. All
+    executors must see ``path``."""
+    if not os.path.isdir(path):
+        raise FileNotFoundError(path)
+    folders, files = _frontier(path, walkers)
+    rows = spark.createDataFrame([(x, True) for x in folders] + [(x, False) for x in files], "file_path string, folder boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, folder in zip(b.column("file_path").to_pylist(), b.column("folder").to_pylist()):
+                found = [os.path.join(d, n) for d, _, names in os.walk(at) for n in names] if folder else [at]
+                found = [f for f in found if os.path.splitext(f)[1] in suffixes and os.path.isfile(f)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(map(os.path.getsize, found), pa.int64())], ["file_path", "size"])
+
+    spread = rows.repartition(max(1, min(walkers, len(folders) + len(files) // 1000)))
+    return spread.mapInArrow(run, "file_path string, size long")
+
+
+def read_corpus(spark: SparkSession, path: str, partition_bytes: int = 32 << 20, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """file_path, text, mtime, hash of each file: listed by tasks, then dealt by a hash of the
+    path to tasks of about ``partition_bytes`` of files."""
+    listed = cut(list_corpus(spark, path, suffixes), "file-list")
+    total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column("file_path").to_pylist()
+            for i in range(0, len(paths), 256):
+                yield _batch([_read(p) for p in paths[i : i + 256]])
+
+    return listed.repartition(max(1, -(-total // partition_bytes)), "file_path").mapInArrow(run, SCHEMA)

@@ -8,8 +8,9 @@ import pytest
 from spanforge.__main__ import parser, run
 from spanforge.engine import Engine
 from spanforge.operators.cache import QueryCache
+from spanforge.runtime import shared_dir
 from spanforge.service import respond, server
-from spanforge.sources.corpus import read_corpus
+from spanforge.sources.corpus import CorpusSource, list_corpus, read_corpus
 from spanforge.sources.datasets import read_questions
 from spanforge.streaming.ingest import stream_postings, windowed_counts
 
@@ -35,7 +36,12 @@ def corpus(tmp_path):
 def test_corpus_source(spark, corpus):
     with open(f"{corpus}/bad.md", "wb") as f:
         f.write(b"a\xffb\r\nc\r")
-    rows = {os.path.relpath(r.file_path, corpus): r for r in read_corpus(spark, corpus, partitionBytes="10").collect()}
+    rows = {os.path.relpath(r.file_path, corpus): r for r in read_corpus(spark, corpus, partition_bytes=10).collect()}
+    spark.dataSource.register(CorpusSource)
+    other = spark.read.format("corpus").option("partitionBytes", "10").load(corpus).collect()
+    assert sorted(map(str, other)) == sorted(map(str, rows.values()))
+    walked = list_corpus(spark, corpus, walkers=2).collect()
+    assert sorted(r.file_path for r in walked) == sorted(r.file_path for r in other) and len({r.file_path for r in walked}) == len(walked)
     assert set(rows) == set(FILES) - {"skip.json"} | {"bad.md"}
     assert rows["bad.md"].text == "a�b\nc\n" and len(rows["bad.md"].hash) == 64
     with pytest.raises(Exception, match="nowhere"):
@@ -91,6 +97,15 @@ def test_index_search_update(spark, corpus, tmp_path):
     assert respond(engine, "POST", "/search", {"query": 1})[0] == 422 and respond(engine, "GET", "/x", {})[0] == 404
     assert respond(Engine(spark, f"file://{tmp_path}/none"), "GET", "/health", {})[0] == 500
 
+    kept = Engine(spark, engine.root, cache_path=f"{tmp_path}/cache.json")
+    assert kept.search("turbine", 1) == engine.search("turbine", 1)
+    again = Engine(spark, engine.root, cache_path=f"{tmp_path}/cache.json")
+    assert again.search("turbine", 1) == engine.search("turbine", 1) and again.cache.hits == 1
+    folder = shared_dir(spark).removeprefix("file://") + "/spanforge"
+    left = set(os.listdir(folder))
+    again.search("water", 2), again.answer("What moves water?")
+    assert set(os.listdir(folder)) == left  # nothing of a search stays behind
+
 
 def test_questions_file(spark, tmp_path):
     path = f"{tmp_path}/q.json"
