@@ -97,6 +97,20 @@ def trim_and_filter(spans: DataFrame, text: Column, least: int = LEAST_SECTION,
     return t.where(size.between(least, max_chunk)).withColumns({"first": F.col("_t.first"), "last": F.col("_t.last")}).drop("_t")
 
 
+def sections(files: DataFrame, key: str = "doc_id", least: int = LEAST_SECTION, max_chunk: int = MAX_CHUNK) -> DataFrame:
+    """key, first, last: what of a Markdown or plain text can be taken whole, trimmed and
+    distinct: the part before its first header, sections and sections with their subsections,
+    of ``least`` to ``max_chunk`` characters. Texts without headers have none."""
+    texts = files.where(F.col("text").isNotNull()).select(key, normal_newlines("text").alias("_text"))
+    heads = headers(files, key)
+    sizes = texts.select(key, F.length("_text").cast("long").alias("size"))
+    zero = F.lit(0).cast("long")
+    before = heads.groupBy(key).agg(F.min("offset").alias("last")).where("last > 0").select(key, zero.alias("first"), "last")
+    leaves = leaf_sections(heads, sizes, key).where(F.col("last") - F.col("first") <= max_chunk)
+    found = before.unionByName(leaves).unionByName(parent_sections(heads, sizes, key, max_chunk)).distinct()
+    return trim_and_filter(found.join(texts, key), F.col("_text"), least, max_chunk).select(key, "first", "last").distinct()
+
+
 # ---------------------------------------------------------------- chunkers of whole files
 
 

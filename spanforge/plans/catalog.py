@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spanforge.functions import spans as S
@@ -14,7 +16,9 @@ from spanforge.operators import index as X
 from spanforge.operators import retrieval as R
 from spanforge.operators.merkle import normal_hash, pending_files
 from spanforge.plans import duck as D
-from spanforge.runtime import cut, read_table, table_state
+from spanforge.runtime import cut, read_table, shared_dir, table_state
+from spanforge.sources import datasets as J
+from spanforge.sources.store import IndexStore
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,6 +34,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _scratch(spark, name):
+    return f"{shared_dir(spark)}/spanforge/{uuid.uuid4().hex}-{name}"
+
+
 def _documents(spark, sf_dir):
     return read_table(spark, sf_dir, "documents")
 
@@ -145,6 +153,43 @@ def chunk_texts(spark, sf_dir):
     return _chunks(spark, sf_dir)
 
 
+@query(
+    f"""
+    WITH h AS MATERIALIZED (SELECT * FROM {D.HEADERS}), d AS MATERIALIZED (SELECT doc_id, text FROM {D.DOCS} WHERE text IS NOT NULL),
+    leaf AS (SELECT doc_id, "offset" AS first, coalesce(lead("offset") OVER (PARTITION BY doc_id ORDER BY "offset"), length(text)) AS last FROM h JOIN d USING (doc_id)),
+    parent AS (SELECT a.doc_id, a."offset" AS first, coalesce(min(b."offset"), any_value(length(d.text))) AS last
+               FROM h a JOIN d USING (doc_id) LEFT JOIN h b ON b.doc_id = a.doc_id AND b."offset" > a."offset" AND b.level <= a.level GROUP BY a.doc_id, a."offset"),
+    s AS (SELECT doc_id, 0 AS first, min("offset") AS last FROM h GROUP BY doc_id HAVING min("offset") > 0
+          UNION ALL SELECT * FROM leaf WHERE last - first <= 2000 UNION ALL SELECT * FROM parent WHERE last - first <= 2000),
+    t AS (SELECT doc_id, first, substr(text, first + 1, last - first) AS part FROM s JOIN d USING (doc_id)),
+    u AS (SELECT doc_id, first + length(part) - length(ltrim(part, ' ' || chr(9) || chr(10) || chr(13))) AS first, length(trim(part, ' ' || chr(9) || chr(10) || chr(13))) AS size FROM t)
+    SELECT DISTINCT doc_id, first::BIGINT AS first, (first + size)::BIGINT AS last FROM u WHERE size BETWEEN 40 AND 2000
+    """
+)
+def markdown_sections(spark, sf_dir):
+    return C.sections(_documents(spark, sf_dir))
+
+
+@query(
+    f"""
+    SELECT doc_id, true AS inside, true AS bounded, true AS distinct_spans FROM {D.DOCS}
+    WHERE regexp_matches(file_path, '\\.(py|md|txt)$') AND text IS NOT NULL AND NOT regexp_full_match(text, '{T.BLANK_CHAR}*')
+    """
+)
+def chunk_bounds(spark, sf_dir):
+    """Of every indexed file that is not blank, whether its chunks lie within it, are at most
+    2,000 characters long and differ from each other."""
+    found = C.chunk_files(_documents(spark, sf_dir)).groupBy("doc_id").agg(
+        F.min("first_character_index").alias("a"), F.max("last_character_index").alias("b"), F.count("*").alias("n"),
+        F.max(F.col("last_character_index") - F.col("first_character_index")).alias("longest"),
+        F.min(F.col("last_character_index") - F.col("first_character_index")).alias("shortest"),
+        F.count_distinct("first_character_index", "last_character_index").alias("m"),
+    )
+    rows = found.join(_sizes(spark, sf_dir), "doc_id")
+    inside, bounded = (F.col("a") >= 0) & (F.col("b") <= F.col("size")), F.col("longest").between(1, 2000) & (F.col("shortest") > 0)
+    return rows.select("doc_id", inside.alias("inside"), bounded.alias("bounded"), (F.col("n") == F.col("m")).alias("distinct_spans"))
+
+
 @query()
 def chunk_files(spark, sf_dir):
     return C.chunk_files(_documents(spark, sf_dir))
@@ -259,11 +304,21 @@ def bm25_custom_k1b(spark, sf_dir):
     return _rounded(R.bm25_search(_index(spark, sf_dir), _questions(spark, sf_dir), 5, k1=0.9, b=0.4))
 
 
-def _vectors(spark, sf_dir):
-    """Usable vectors, one per vec_id, the latest by encoded_at, under the name chunk_id."""
+def _usable_vectors(spark, sf_dir):
     e = F.col("embedding")
     good = e.isNotNull() & (F.size(e) == 384) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = read_table(spark, sf_dir, "chunk_vectors").where(good & F.col("vec_id").isNotNull())
+    return read_table(spark, sf_dir, "chunk_vectors").where(good & F.col("vec_id").isNotNull())
+
+
+def _chunk_vectors(spark, sf_dir):
+    """The latest usable vector of each chunk."""
+    rows = _usable_vectors(spark, sf_dir).where("chunk_id is not null")
+    return rows.groupBy("chunk_id").agg(F.max_by("embedding", F.struct("encoded_at", "vec_id")).alias("embedding"))
+
+
+def _vectors(spark, sf_dir):
+    """Usable vectors, one per vec_id, the latest by encoded_at, under the name chunk_id."""
+    rows = _usable_vectors(spark, sf_dir)
     return rows.groupBy("vec_id").agg(F.max_by("embedding", "encoded_at").alias("embedding")).withColumnRenamed("vec_id", "chunk_id")
 
 
@@ -311,6 +366,32 @@ def rrf_hybrid(spark, sf_dir):
     return fused.select("question_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_STORED = f"""
+    WITH v AS MATERIALIZED (SELECT * FROM {D.CHUNK_VECTORS}),
+    q AS MATERIALIZED (SELECT question_id, e FROM (
+      SELECT question_id, min(chunk_id) AS chunk_id FROM {D.QUESTIONS} JOIN retrieval_scores USING (question_id) JOIN v USING (chunk_id) WHERE trim(question) <> '' GROUP BY ALL) JOIN v USING (chunk_id)),
+    s AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(list_dot_product(q.e, v.e), 6) DESC, chunk_id) AS r FROM q, v),
+    both_ AS (SELECT question_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part, rank AS lex, NULL AS sem FROM {D.bm25_top(30)} JOIN {D.QUESTIONS} USING (question_id) WHERE trim(question) <> ''
+              UNION ALL SELECT question_id, chunk_id, 0.8::DOUBLE / (60 + r), NULL, r FROM s WHERE r <= 30)
+    SELECT question_id, chunk_id, round(score, 9) AS score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, lex NULLS LAST, sem)::BIGINT AS rank FROM (
+        SELECT question_id, chunk_id, round(sum(part), 12) AS score, min(lex) AS lex, min(sem) AS sem FROM both_ GROUP BY ALL)) WHERE rank <= 10
+"""
+
+
+@query(_STORED)
+def hybrid_stored(spark, sf_dir):
+    """Hybrid search with stored vectors: a question is given the vector of the first of its
+    scored chunks that has one."""
+    vectors = cut(_chunk_vectors(spark, sf_dir), "vectors")
+    questions = _questions(spark, sf_dir)
+    scored = read_table(spark, sf_dir, "retrieval_scores").select("question_id", "chunk_id").join(vectors.select("chunk_id"), "chunk_id")
+    first = scored.join(questions.where(F.trim("question") != "").select("question_id"), "question_id", "left_semi").groupBy("question_id").agg(F.min("chunk_id").alias("chunk_id"))
+    query_vectors = vectors.join(first, "chunk_id").select("question_id", "embedding")
+    ranked = R.hybrid_search(_index(spark, sf_dir), vectors, questions, query_vectors, 10)
+    return ranked.select("question_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def hybrid_search(spark, sf_dir):
     """BM25 and stand-in vectors of all chunks, fused."""
@@ -362,24 +443,80 @@ def recall_at_k(spark, sf_dir):
     return E.recall(E.hit_ranks(results, E.truth(questions)))
 
 
-@query()
+_PASSAGES = f"""(
+  SELECT chunk_id::VARCHAR AS question_id, array_to_string(CASE WHEN len(w) >= 12 THEN list_slice(w, len(w) // 2 - 5, len(w) // 2 + 6) ELSE w END, ' ') AS question, file_path, first AS s0, last AS s1
+  FROM (SELECT *, regexp_extract_all(text, '[a-zA-Z0-9_]+') AS w FROM {D.CHUNKS} WHERE chunk_id % 20 = 0))"""
+
+
+@query(
+    f"""
+    WITH r AS (SELECT t.question_id, c.file_path, c.first, c.last, row_number() OVER (PARTITION BY t.question_id ORDER BY t.rank) AS rank
+               FROM {D.bm25_top(10, questions=_PASSAGES)} t JOIN {D.CHUNKS} c USING (chunk_id) WHERE c.last - c.first <= 2000),
+    t AS MATERIALIZED (SELECT * FROM {_PASSAGES}),
+    h AS (SELECT q.question_id, min(hit) AS hit FROM t q
+          LEFT JOIN (SELECT t.question_id, r.rank AS hit FROM t JOIN r USING (question_id, file_path) WHERE {_IOU} >= 0.05) x USING (question_id) GROUP BY ALL)
+    SELECT cut, count(*) FILTER (hit <= cut) AS hits, count(*) AS total, round_even(count(*) FILTER (hit <= cut) / count(*), 4) AS recall
+    FROM h, (SELECT unnest([1, 3, 5, 10]) AS cut) GROUP BY cut
+    """
+)
 def passage_recall(spark, sf_dir):
-    """Recall of each twentieth chunk by a passage of it: twelve words from its middle, as a
-    question set against all chunks."""
+    """Recall of each twentieth chunk by a passage of it, the twelve words in its middle or all
+    of a shorter one, as a question set against all chunks."""
     chunks, index = _chunks_and_index(spark, sf_dir)
-    asked = chunks.where("chunk_id % 20 = 0").withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 24)
-    question = F.concat_ws(" ", F.slice("w", (F.size("w") / 2).cast("int") - 5, F.lit(12)))
+    asked = chunks.where("chunk_id % 20 = 0").withColumn("w", T.words(F.col("text")))
+    middle = F.slice("w", F.greatest((F.size("w") / 2).cast("int") - 5, F.lit(1)), F.lit(12))
+    question = F.concat_ws(" ", F.when(F.size("w") >= 12, middle).otherwise(F.col("w")))
     name = F.col("chunk_id").cast("string").alias("question_id")
     questions = cut(asked.select(name, question.alias("question")), "passages")
     results = R.resolve(R.bm25_search(index, questions, 10), index.chunks)
     return E.recall(E.hit_ranks(results, asked.select(name, "file_path", "first", "last")))
 
 
+# ---------------------------------------------------------------- files written and read
+
+
+@query(
+    f"""
+    SELECT question_id, question, answer, coalesce(array_to_string([s.file_path || ':' || s.first_character_index || ':' || s.last_character_index FOR s IN sources], ' '), '') AS sources
+    FROM {D.QUESTIONS}
+    """
+)
+def questions_file(spark, sf_dir):
+    """The question set written as a JSON data set and read again."""
+    path = _scratch(spark, "questions.json")
+    J.write_questions(_questions(spark, sf_dir), path)
+    one = lambda s: F.concat_ws(":", s["file_path"], s["first_character_index"], s["last_character_index"])
+    return J.read_questions(spark, path).select("question_id", "question", "answer", F.coalesce(F.concat_ws(" ", F.transform("sources", one)), F.lit("")).alias("sources"))
+
+
+@query(f"SELECT question_id, rank::BIGINT AS rank, c.file_path, c.first, c.last FROM {D.bm25_top(10)} t JOIN {D.CHUNKS} c USING (chunk_id)")
+def results_file(spark, sf_dir):
+    """Search results written as a JSON results file and read again."""
+    path = _scratch(spark, "results.json")
+    index, questions = _index(spark, sf_dir), _questions(spark, sf_dir)
+    J.write_results(R.nested_results(R.resolve(R.bm25_search(index, questions, 10), index.chunks), questions), path, 10)
+    return J.read_results(spark, path).select("question_id", F.col("rank").cast("long").alias("rank"), "file_path", "first", "last")
+
+
+@query(
+    f"""
+    SELECT term, df, postings FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS postings FROM {D.COUNTS} GROUP BY term)
+    """
+)
+def index_store(spark, sf_dir):
+    """Index tables published in a store, and its postings and term table read again."""
+    store = IndexStore(spark, _scratch(spark, "index"))
+    store.write_index(_index(spark, sf_dir))
+    index = store.index()
+    sums = index.postings.groupBy("term").agg(F.sum("tf").alias("postings"))
+    return index.term_stats.select("term", "df").join(sums, "term")
+
+
 # ---------------------------------------------------------------- incremental
 
 _SEEN = """(SELECT file_path, mtime, h AS hash FROM (SELECT file_path, mtime, nullif(lower(trim(hash)), '') AS h, present,
   row_number() OVER (PARTITION BY file_path ORDER BY seen_at DESC, scan_id DESC, mtime DESC) AS rn FROM file_scans WHERE file_path IS NOT NULL) WHERE rn = 1 AND present)"""
-_SAVED = """(SELECT file_path, mtime, h AS hash FROM (SELECT r.file_path, r.mtime, nullif(lower(trim(r.hash)), '') AS h,
+_SAVED = """(SELECT file_path, mtime, h AS hash, raw, chunks FROM (SELECT r.file_path, r.mtime, nullif(lower(trim(r.hash)), '') AS h, r.hash AS raw, r.chunks,
   row_number() OVER (PARTITION BY r.file_path ORDER BY u.started_at DESC, r.run_id DESC, r.written_at DESC, r.mtime DESC) AS rn
   FROM registry r JOIN index_runs u USING (run_id) WHERE u.status = 'success' AND r.file_path IS NOT NULL) WHERE rn = 1)"""
 
@@ -438,6 +575,22 @@ def incremental_preserved(spark, sf_dir):
     return _chunks(spark, sf_dir).join(gone, "file_path", "left_anti").select("chunk_id", "file_path", "first", "last")
 
 
+@query(
+    f"""
+    WITH f AS MATERIALIZED (SELECT * FROM {_SEEN}), r AS MATERIALIZED (SELECT * FROM {_SAVED}),
+    n AS (SELECT file_path, count(*) AS n FROM {D.CHUNKS} GROUP BY file_path)
+    SELECT file_path, CASE WHEN r.file_path IS NULL OR f.mtime IS DISTINCT FROM r.mtime THEN f.mtime ELSE r.mtime END AS mtime,
+           CASE WHEN redone THEN f.hash ELSE r.raw END AS hash, CASE WHEN redone THEN coalesce(n.n, 0)::INT ELSE r.chunks END AS chunks
+    FROM (SELECT f.file_path, r.file_path IS NULL OR (f.mtime IS DISTINCT FROM r.mtime AND coalesce(f.hash <> r.hash, true)) AS redone FROM f LEFT JOIN r USING (file_path))
+    JOIN f USING (file_path) LEFT JOIN r USING (file_path) LEFT JOIN n USING (file_path)
+    """
+)
+def next_registry(spark, sf_dir):
+    """The registry after an update: changed files anew, touched ones with their new mtime."""
+    files, registry = cut(_seen(spark, sf_dir), "seen"), cut(_saved(spark, sf_dir), "saved")
+    return I.next_registry(files, registry, _chunks(spark, sf_dir), I.scan_changes(files, registry))
+
+
 @query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
 def sha256_docs(spark, sf_dir):
     return _documents(spark, sf_dir).where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))

@@ -90,18 +90,20 @@ COUNTS = f"""(
     UNION ALL SELECT * FROM {tokens(CHUNKS, 'chunk_id', 'file_path', 2, f"lower(w) NOT IN ({NOISE})")}
     UNION ALL SELECT * FROM {tokens(CONTEXT, 'chunk_id', 'context', 2)}) GROUP BY ALL)"""
 
-QUERY_TERMS = rf"""(
+def query_terms(questions: str = QUESTIONS) -> str:
+    """question_id, term, pos of the distinct terms of questions (question_id, question)."""
+    return rf"""(
   SELECT question_id, term, min(pos) AS pos FROM (
     SELECT question_id, term, row_number() OVER (PARTITION BY question_id ORDER BY wi, pi, si) - 1 AS pos FROM (
       SELECT question_id, wi, pi, unnest(CASE WHEN st <> sp THEN [sp, st] ELSE [sp] END) AS term, generate_subscripts(CASE WHEN st <> sp THEN [sp, st] ELSE [sp] END, 1) AS si FROM (
         SELECT *, {stem('sp')} AS st FROM (
           SELECT question_id, wi, unnest(ps) AS sp, generate_subscripts(ps, 1) AS pi FROM (
             SELECT question_id, wi, {parts('w')} AS ps FROM (
-              SELECT question_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS wi FROM (SELECT question_id, regexp_extract_all(coalesce(question, ''), '[a-zA-Z0-9_]+') AS ws FROM {QUESTIONS})) WHERE length(w) > 1))
+              SELECT question_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS wi FROM (SELECT question_id, regexp_extract_all(coalesce(question, ''), '[a-zA-Z0-9_]+') AS ws FROM {questions})) WHERE length(w) > 1))
         WHERE length(sp) > 1 AND sp NOT IN ({STOP})))) GROUP BY ALL)"""
 
 
-def bm25(k1: float = 1.2, b: float = 0.75, typed: str | None = None) -> str:
+def bm25(k1: float = 1.2, b: float = 0.75, typed: str | None = None, questions: str = QUESTIONS) -> str:
     """question_id, chunk_id, score, first_pos of every hit."""
     boost = "1.0"
     if typed == "docs":
@@ -114,7 +116,7 @@ def bm25(k1: float = 1.2, b: float = 0.75, typed: str | None = None) -> str:
       cs AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl),
       ts AS (SELECT term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT term, count(*) AS df FROM tc GROUP BY term), cs)
       SELECT question_id, chunk_id, round(sum(idf * (tf * ({k1}::DOUBLE + 1)) / (tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * (len / avgdl)))) * any_value({boost}::DOUBLE), 9) AS score, min(pos) AS first_pos
-      FROM {QUERY_TERMS} q JOIN ts USING (term) JOIN tc USING (term) JOIN dl USING (chunk_id) JOIN ch c USING (chunk_id), cs GROUP BY ALL)"""
+      FROM {query_terms(questions)} q JOIN ts USING (term) JOIN tc USING (term) JOIN dl USING (chunk_id) JOIN ch c USING (chunk_id), cs GROUP BY ALL)"""
 
 
 def bm25_top(k: int, **kw) -> str:
@@ -127,3 +129,10 @@ VECTORS = """(
     SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM (
       SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY encoded_at DESC) AS rn FROM (SELECT DISTINCT vec_id, embedding, encoded_at FROM chunk_vectors)
       WHERE embedding IS NOT NULL AND len(embedding) = 384 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0) WHERE rn = 1))"""
+
+#: the latest usable vector of each chunk
+CHUNK_VECTORS = """(
+  SELECT chunk_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS e FROM (
+    SELECT chunk_id, [x::DOUBLE FOR x IN embedding] AS e FROM (
+      SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY encoded_at DESC, vec_id DESC) AS rn FROM (SELECT DISTINCT vec_id, chunk_id, embedding, encoded_at FROM chunk_vectors)
+      WHERE chunk_id IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 384 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0) WHERE rn = 1))"""

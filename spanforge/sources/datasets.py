@@ -33,13 +33,34 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _write_envelope(rows: DataFrame, path: str, name: str, more: str = "") -> None:
+    """One JSON document {name: [row, ...], more} in the order of question_id. Such a file is one
+    document by definition, so the driver writes it, row by row as partitions arrive, to any
+    file system that Spark knows, under another name until it is whole. For large sets write
+    the table itself as Parquet."""
+    spark = rows.sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    final, new = fs.Path(path), fs.Path(f"{path}.new")
+    system = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(new, True)
+    buffer = ['{\n  "%s": [' % name]
+    for i, row in enumerate(rows.orderBy("question_id").toLocalIterator()):
+        buffer.append(("," if i else "") + "\n    " + json.dumps(row.asDict(True), ensure_ascii=False))
+        if len(buffer) >= 1000:
+            out.write(bytearray("".join(buffer).encode()))
+            buffer = []
+    out.write(bytearray("".join([*buffer, f"\n  ]{more}\n}}\n"]).encode()))
+    out.close()
+    system.delete(final, False)
+    if not system.rename(new, final):
+        raise OSError(f"cannot write {path}")
+
+
 def write_results(results: DataFrame, path: str, k: int) -> None:
-    """One JSON envelope {search_results, k} of nested results in the order of question_id.
-
-    A results file is one document by definition, so it is written by the driver, row by row
-    as partitions arrive; for large sets write the table itself as Parquet."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{\n  "search_results": [')
-        for i, row in enumerate(results.orderBy("question_id").toLocalIterator()):
-            f.write(("," if i else "") + "\n    " + json.dumps(row.asDict(True), ensure_ascii=False))
-        f.write(f'\n  ],\n  "k": {int(k)}\n}}\n')
+    """One JSON envelope {search_results, k} of nested results."""
+    _write_envelope(results, path, "search_results", f',\n  "k": {int(k)}')
+
+
+def write_questions(questions: DataFrame, path: str) -> None:
+    """One JSON envelope {rag_questions} of question_id, question, sources and answer."""
+    _write_envelope(questions.select("question_id", "question", "sources", "answer"), path, "rag_questions")
