@@ -123,3 +123,16 @@ def encode_documents(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabul
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, text of encoded documents (doc_id, ids): the inverse of encode_documents, but that
+    a null text comes back empty. Null ids give an empty text."""
+    model = encoded.sparkSession.sparkContext.broadcast(serialise(read_ranks(f"{tokenizers}/{vocabulary}")))
+
+    def run(batches):
+        encoder = Encoder(model.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([encoder.decode(x) if x else "" for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

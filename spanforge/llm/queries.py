@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from spanforge.runtime import read_table
 
 
@@ -49,6 +51,31 @@ def p6_rates(spark, sf_dir):
     return rates(verdicts(read_table(spark, sf_dir, "documents")))
 
 
+def p7_invariants(spark, sf_dir):
+    """Of each document that is cut: its length, whether its pieces are within the limit and
+    overlap by no more than is allowed, and the digest of its text put together from them."""
+    from spanforge.llm.pieces import LIMIT, OVERLAP, split_documents
+
+    pieces = split_documents(read_table(spark, sf_dir, "documents")).withColumn("flat", F.regexp_replace("piece", "\r\n", "\n"))
+    core = F.substring("flat", (F.col("core_first") - F.col("first") + 1).cast("int"), (F.col("last") - F.col("core_first")).cast("int"))
+    bounded = (F.length("flat") == F.col("last") - F.col("first")) & (F.length("flat") <= LIMIT)
+    overlaps = (F.col("core_first") - F.col("first")).between(0, OVERLAP)
+    one = pieces.groupBy("doc_id").agg(
+        F.max("last").alias("chars"), F.min(bounded).alias("bounded"), F.min(overlaps).alias("overlaps"), F.count("*").alias("_n"),
+        F.array_sort(F.collect_list(F.struct("piece_no", core.alias("core")))).alias("_cores"),
+    )
+    text = F.concat_ws("", F.transform("_cores", lambda c: c["core"]))
+    return one.where("_n > 1").select("doc_id", "chars", "bounded", "overlaps", F.sha2(text, 256).alias("hash"))
+
+
+def p8_decoded(spark, sf_dir):
+    """The digest of each text decoded from its ids."""
+    from spanforge.llm.encoding import decode_documents, encode_documents
+
+    decoded = decode_documents(encode_documents(read_table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
 def p7_found(spark, sf_dir):
     from spanforge.llm.pieces import split_documents
 
@@ -79,7 +106,7 @@ def p10_found(spark, sf_dir):
     return find_spam(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pairs, p4_found, p6_found, p6_rates, p7_found, p7_pieces, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pairs, p4_found, p6_found, p6_rates, p7_found, p7_invariants, p7_pieces, p8_ids, p8_decoded, p9_found, p10_found)}
 
 
 _P1 = """
@@ -121,4 +148,11 @@ _P4 = """
 
 _P7 = r"SELECT doc_id FROM documents WHERE length(replace(text, chr(13) || chr(10), chr(10))) > 2000"
 
-SQL = {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p7_found": _P7}
+_P7_INVARIANTS = """
+    SELECT doc_id, length(flat) AS chars, true AS bounded, true AS overlaps, sha256(flat) AS hash
+    FROM (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS flat FROM documents) WHERE length(flat) > 2000
+"""
+
+_P8_DECODED = "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents"
+
+SQL = {"p1_found": _P1, "p2_found": _P2, "p4_found": _P4, "p7_found": _P7, "p7_invariants": _P7_INVARIANTS, "p8_decoded": _P8_DECODED}

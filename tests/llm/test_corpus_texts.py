@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from spanforge.llm import leakage as L
 from spanforge.llm import spam as X
-from spanforge.llm.encoding import TOKENIZERS, VOCABULARY, Encoder, encode_documents, read_ranks, serialise
+from spanforge.llm.encoding import TOKENIZERS, VOCABULARY, Encoder, decode_documents, encode_documents, read_ranks, serialise
 
 DOCS = "doc_id long, file_path string, text string, source string, item_id long, ids string"
 
@@ -48,6 +48,8 @@ def test_encode_documents(spark):
     got = sorted((r.doc_id, r.ids) for r in encode_documents(documents(spark, rows)).collect())
     assert got == [(1, []), (2, []), (3, [31373, 995]), (3, [31373, 995])]
     assert encode_documents(documents(spark, rows).limit(0)).count() == 0
+    back = decode_documents(encode_documents(documents(spark, rows)))
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == [(1, ""), (2, ""), (3, "hello world"), (3, "hello world")]
 
 
 def sentence(rnd, n):
