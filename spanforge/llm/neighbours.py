@@ -36,7 +36,7 @@ SAMPLE = 16_384  # rows the axes and cuts are fitted on
 PROBES = 1_024  # of them, whose neighbours among all vectors set widths and threshold
 AXES = 32
 WITHIN = 0.9  # share of near pairs that one window holds
-LOSS = 0.002  # share of near pairs that collide less often than the threshold
+LOSS = 0.0  # share of the probes' near pairs that may collide less often than the threshold
 STRADDLE = 0.001  # share of near pairs farther apart across a plane than the span
 VOUCH = 0.98  # share of probes whose k-th neighbour is within the distance that windows vouch for
 CELL_ROWS = 8_192
