@@ -98,6 +98,18 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, limit: int = 200_000) -> DataFrame:
+    """``rows`` with the row of ``totals`` that has their ``key``; ``totals`` has one row a key and in
+    ``count`` how many rows have it. Keys of more than ``limit`` rows, of which there are at
+    most rows / limit, are broadcast, so their rows stay where they lie; the others are joined
+    by a shuffle, in which no key is large."""
+    heavy = totals.where(F.col(count) > limit)
+    if heavy.isEmpty():
+        return rows.join(totals, key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(light.join(totals.where(F.col(count) <= limit), key))
+
+
 class Pointer:
     """Names the version in force under ``root``. Each switch is a new file ``CURRENT-<n>``, moved
     into place whole; the highest number counts, so there is no moment without a version."""

@@ -25,12 +25,14 @@ class IndexStore:
         return self.pointer.read()
 
     def write(self, tables: dict[str, DataFrame], partitions: int | None = None) -> str:
-        """Publish tables as a new version. Postings are clustered and sorted by term, so a
-        search touches only the row groups of its terms."""
+        """Publish tables as a new version. Postings are laid out by ranges of term and chunk, so
+        a search touches only the row groups of its terms, and a term that very many chunks have
+        is spread over several tasks and files."""
         version = uuid.uuid4().hex
         for name, df in tables.items():
             if name == "postings":
-                df = (df.repartition(partitions, "term") if partitions else df.repartition("term")).sortWithinPartitions("term", "chunk_id")
+                order = ("term", "chunk_id")
+                df = (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)).sortWithinPartitions(*order)
             df.write.parquet(f"{self.root}/v={version}/{name}")
         self.pointer.write(version)
         return version
