@@ -20,7 +20,6 @@ MAX_CHUNK = 2000
 LEAST_SECTION = 40
 BLOCK_OVERLAP = 300
 HEADER = r"^(#{1,6})\s+([\s\S]*)$"
-JVM_HEADER = HEADER.replace(r"\s+", BLANK_CHAR + "+")
 
 
 # ---------------------------------------------------------------- windows and lines, native
@@ -47,26 +46,29 @@ def slice_windows(spans: DataFrame, first: str = "first", last: str = "last", ma
 
 
 def lines(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, lines, line_no from 0, line, line_start: the lines of each text with their number
-    and character offsets after newline normalisation. Lines end as Python's ``splitlines`` ends
-    them, each end being one character then; what follows the last end is a line too, even if
-    it is empty. A null text has no lines."""
-    cut = F.split(normal_newlines("text"), LINE_END)
-    split = files.where(F.col("text").isNotNull()).select(key, F.size(cut).alias("lines"), F.posexplode_outer(cut).alias("line_no", "line"))
+    """key, line_no from 0, line, line_start: the lines of each text with their number and
+    character offsets after newline normalisation. Lines end as Python's ``splitlines`` ends
+    them; what follows the last end is a line too, even if it is empty. A null text has no
+    lines. Nothing but the key is kept beside a line, so no text is repeated for each."""
+    cut = F.split(normal_newlines("text"), f"(?<={LINE_END})")
+    split = files.where(F.col("text").isNotNull()).select(key, F.posexplode_outer(cut).alias("line_no", "_line"))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return split.withColumn("line_start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long"))
+    start = F.coalesce(F.sum(F.length("_line")).over(w), F.lit(0)).cast("long")
+    return split.select(key, "line_no", F.regexp_replace("_line", f"{LINE_END}$", "").alias("line"), start.alias("line_start"))
 
 
 def headers(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, offset, level, title of each Markdown header line, fences regardless."""
-    ended = F.when(F.col("line_no") < F.col("lines") - 1, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
-    found = lines(files.where(F.col("text").contains("#")), key).where(F.col("line").startswith("#")).withColumn("line", ended).where(F.col("line").rlike(JVM_HEADER))
-    return found.select(
-        key,
-        F.col("line_start").alias("offset"),
-        F.length(F.regexp_extract("line", JVM_HEADER, 1)).alias("level"),
-        F.regexp_replace(F.regexp_extract("line", JVM_HEADER, 2), f"^{BLANK_CHAR}+|{BLANK_CHAR}+$", "").alias("title"),
-    )
+    """key, offset, level, title of each Markdown header line, fences regardless. Texts are cut
+    where a header line begins and nowhere else, and of each part only its length and first
+    line are kept."""
+    parts = F.split(normal_newlines("text"), f"(?<={LINE_END})(?=#{{1,6}}{BLANK_CHAR})")
+    one = files.where(F.col("text").contains("#")).select(key, F.posexplode(parts).alias("_no", "_part"))
+    first = F.regexp_extract("_part", f"^#{{1,6}}(?={BLANK_CHAR})", 0)
+    line = F.regexp_extract("_part", f"^#{{1,6}}([^{LINE_END[1:]}*)", 1)
+    head = one.select(key, "_no", F.length("_part").alias("_size"), F.length(first).alias("level"), F.regexp_replace(line, f"^{BLANK_CHAR}+|{BLANK_CHAR}+$", "").alias("title"))
+    w = Window.partitionBy(key).orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_size").over(w), F.lit(0)).cast("long")
+    return head.select(key, offset.alias("offset"), "level", "title").where("level > 0")
 
 
 def leaf_sections(heads: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from spanforge.functions import text as T
 from spanforge.functions.spans import cut_span, okapi_idf
 from spanforge.functions.text import normal_newlines
 from spanforge.operators.chunking import chunk_files, headers
-from spanforge.runtime import cut
+from spanforge.runtime import cut, tasks_for
 
 
 @dataclass
@@ -95,10 +95,9 @@ def exploded_terms(rows: DataFrame, key: str, *found: tuple[Column, int]) -> Dat
 def term_counts(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf: weighted occurrences of each term of each chunk (text, file_path and,
     if there, context). The texts are spread by chunk_id once, before they are exploded: they
-    are smaller than their terms, and the counting then needs no shuffle of its own. Adaptive
-    execution joins small partitions; it does not cut large ones, so at scale set
-    spark.sql.adaptive.coalescePartitions.initialPartitionNum to the text's size over 32 MB."""
-    chunks = chunks.repartition("chunk_id")
+    are smaller than their terms, and the counting then needs no shuffle of its own. The number
+    of tasks follows from the size of the files they are read from."""
+    chunks = chunks.repartition(tasks_for(chunks), "chunk_id")
     long = lambda c: F.filter(T.words(F.col(c)), lambda w: F.length(w) > 1)
     path = F.filter(T.words(F.col("file_path")), lambda w: ~F.lower(w).isin(*T.PATH_NOISE))
     found = [(long("text"), T.BODY_WEIGHT), (path, T.CONTEXT_WEIGHT)]

@@ -69,7 +69,7 @@ def build_folder_index(spark, sf_dir):
     return chunks, X.build_index(chunks, cut(X.term_counts(chunks), "counts")).written()
 
 
-def _chunks_and_index(spark, sf_dir):
+def folder_index(spark, sf_dir):
     """build_folder_index, once a session for each state of the folder's tables; searches share it."""
     key = (spark.sparkContext.applicationId, *(table_state(spark, sf_dir, t) for t in ("documents", "chunks")))
     if key not in _indexes:
@@ -78,7 +78,7 @@ def _chunks_and_index(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return _chunks_and_index(spark, sf_dir)[1]
+    return folder_index(spark, sf_dir)[1]
 
 
 # ---------------------------------------------------------------- chunking
@@ -395,7 +395,7 @@ def hybrid_stored(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """BM25 and stand-in vectors of all chunks, fused."""
-    chunks, index = _chunks_and_index(spark, sf_dir)
+    chunks, index = folder_index(spark, sf_dir)
     return R.hybrid_search(index, cut(R.embed_chunks(chunks), "vectors"), _questions(spark, sf_dir), k=10)
 
 
@@ -462,7 +462,7 @@ _PASSAGES = f"""(
 def passage_recall(spark, sf_dir):
     """Recall of each twentieth chunk by a passage of it, the twelve words in its middle or all
     of a shorter one, as a question set against all chunks."""
-    chunks, index = _chunks_and_index(spark, sf_dir)
+    chunks, index = folder_index(spark, sf_dir)
     asked = chunks.where("chunk_id % 20 = 0").withColumn("w", T.words(F.col("text")))
     middle = F.slice("w", F.greatest((F.size("w") / 2).cast("int") - 5, F.lit(1)), F.lit(12))
     question = F.concat_ws(" ", F.when(F.size("w") >= 12, middle).otherwise(F.col("w")))
@@ -632,7 +632,7 @@ _CONTEXTS = f"""(
 
 
 def _contexts(spark, sf_dir):
-    chunks, index = _chunks_and_index(spark, sf_dir)
+    chunks, index = folder_index(spark, sf_dir)
     questions = _questions(spark, sf_dir)
     return questions, A.contexts(R.bm25_search(index, questions, 3), chunks)
 

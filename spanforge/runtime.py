@@ -92,6 +92,15 @@ def table_state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     return tuple(sorted(out))
 
 
+def tasks_for(df: DataFrame, partition_bytes: int = 16 << 20) -> int:
+    """Tasks for work that is heavy for its input: one for each ``partition_bytes`` of the files
+    that ``df`` is read from, at least spark.sql.shuffle.partitions. Named explicitly, since
+    adaptive execution would join small partitions by their bytes and never cuts large ones."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // partition_bytes), 1 << 17))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within ``limit``; otherwise
     unchanged, so that the join shuffles."""
