@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.runtime import cut, join_totals
+
 
 def clean_postings(postings: DataFrame) -> DataFrame:
     """chunk_id, term, tf: one row per chunk and term, the term in lower case without outer
@@ -21,14 +23,14 @@ def residuals(postings: DataFrame) -> DataFrame:
     The weight is the adjusted residual of the chunk-term table, (o - e) / sqrt(e (1 - r)
     (1 - c)), with o the count, e = N r c its expectation and r, c the shares of the chunk and
     of the term in all counts. Terms of one chunk only are left out, but fill the margins.
-    Totals cover all rows. Hot terms aggregate map-side; their join back is split by adaptive
-    execution. Empty tables give no rows.
+    Totals cover all rows. Sums combine map-side; totals of terms or chunks with very many
+    rows are broadcast to these, so no task gets all rows of one. Empty tables give no rows.
     """
-    rows = clean_postings(postings)
-    terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_of_term"))
-    chunks = rows.groupBy("chunk_id").agg(F.sum("tf").alias("_of_chunk"))
-    total = rows.agg(F.sum("tf").alias("_n"))  # one row
-    joined = rows.join(chunks, "chunk_id").join(terms.where("df > 1"), "term").crossJoin(F.broadcast(total))
+    rows = cut(clean_postings(postings), "clean-postings")
+    terms = cut(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_of_term")), "term-totals")
+    chunks = cut(rows.groupBy("chunk_id").agg(F.count("*").alias("_terms"), F.sum("tf").alias("_of_chunk")), "chunk-totals")
+    total = chunks.agg(F.sum("_of_chunk").alias("_n"))  # one row
+    joined = join_totals(join_totals(rows, terms.where("df > 1"), "term", "df"), chunks, "chunk_id", "_terms").crossJoin(F.broadcast(total))
     e = F.col("_of_chunk") * F.col("_of_term") / F.col("_n")
     spare = (1 - F.col("_of_chunk") / F.col("_n")) * (1 - F.col("_of_term") / F.col("_n"))
     weight = (F.col("tf") - e) / F.sqrt(F.greatest(e * spare, F.lit(1e-12)))

@@ -5,6 +5,7 @@ import pytest
 
 from spanforge.llm import borda as B
 from spanforge.llm import distinctive as T
+from spanforge.runtime import join_totals
 
 S = "question_id string, scorer string, chunk_id long, score double, scored_at timestamp, points string, n int"
 
@@ -103,6 +104,14 @@ def test_residuals_against_brute_force(spark):
     assert T.residuals(postings(spark, rows).limit(0)).count() == 0
 
 
+def test_hot_terms_and_chunks_give_the_same(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(c, t, rnd.randint(1, 9)) for c in range(30) for t in ["self", *(f"t{rnd.randrange(40)}" for _ in range(20 if c == 3 else 4))]]
+    plain = {(r.chunk_id, r.term): r.weight for r in T.residuals(postings(spark, rows)).collect()}
+    monkeypatch.setattr(T, "join_totals", lambda a, b, k, n: join_totals(a, b, k, n, limit=5))
+    assert {(r.chunk_id, r.term): r.weight for r in T.residuals(postings(spark, rows)).collect()} == plain
+
+
 def test_latest_count_and_ties(spark):
     rows = [(1, "a", 9, "2025-01-01"), (1, "A", 1, "2025-01-02"), (1, "b", 1, "2025-01-01"), (2, "a", 1, "2025-01-01"), (2, "b", 1, "2025-01-01")]
     df = spark.createDataFrame(rows, "chunk_id long, term string, tf long, t string").selectExpr("chunk_id", "term", "tf", "cast(t as timestamp) indexed_at")
