@@ -109,18 +109,22 @@ class Engine:
 
     # ------------------------------------------------------------ retrieval
 
-    def search_all(self, questions: DataFrame, k: int = 10, hybrid: bool = False, doc_type: str | None = None) -> DataFrame:
+    def search_all(self, questions: DataFrame, k: int = 10, hybrid: bool = False, doc_type: str | None = None, few: bool | None = None) -> DataFrame:
         """question_id, chunk_id, score, rank, file_path, first, last for a whole set at once.
         Hybrid search uses no document type."""
         _, t = self._tables()
         asked = questions.where(F.trim("question") != "")
         if hybrid:
             encoded = R.embed(asked, "question_id", F.col("question"), self.encoder)
-            ranked = R.hybrid_search(t["index"], t["vectors"], asked, encoded, k)
+            ranked = R.hybrid_search(t["index"], t["vectors"], asked, encoded, k, few)
         else:
-            ranked = R.bm25_search(t["index"], asked, k, doc_type=F.lit(doc_type) if doc_type else None)
+            ranked = R.bm25_search(t["index"], asked, k, doc_type=F.lit(doc_type) if doc_type else None, few=few)
         return R.resolve(ranked, t["index"].chunks)
 
+    @staticmethod
+    def _few(query: str) -> bool | None:
+        return True if len(query) <= R.PUSHED_CHARS else None
+
     @_freeing
     def search(self, query: str, k: int = 10, hybrid: bool = False, doc_type: str | None = None) -> list[dict]:
         """Ranked sources of one query, cached per index version."""
@@ -131,7 +135,7 @@ class Engine:
         rows = self.cache.get(key)
         if rows is None:
             q = self.spark.createDataFrame([("q", query)], "question_id string, question string")
-            found = self.search_all(q, k, hybrid, doc_type).orderBy("rank").collect()
+            found = self.search_all(q, k, hybrid, doc_type, self._few(query)).orderBy("rank").collect()
             rows = [{"file_path": r["file_path"], "first_character_index": r["first"], "last_character_index": r["last"]} for r in found]
             self.cache.set(key, rows)
         return rows
@@ -158,7 +162,7 @@ class Engine:
         if k <= 0 or not query.strip():
             return A.NO_CONTEXT
         q = self.spark.createDataFrame([("q", query)], "question_id string, question string")
-        return self._answers(q, self.search_all(q, k, hybrid)).head()["answer"]
+        return self._answers(q, self.search_all(q, k, hybrid, few=self._few(query))).head()["answer"]
 
     @_freeing
     def answer_dataset(self, results: str, output: str) -> None:

@@ -121,16 +121,22 @@ def build_index(chunks: DataFrame, counts: DataFrame | None = None) -> LexicalIn
     return LexicalIndex(chunks.select("chunk_id", "file_path", "first", "last"), postings, doc_stats, term_stats, corpus)
 
 
-def query_terms(questions: DataFrame) -> DataFrame:
-    """question_id, term, pos: the distinct terms of each question with the place (word, part,
-    form) of their first occurrence. Blank and null questions have none."""
+def question_words(questions: DataFrame) -> DataFrame:
+    """question_id, term, pos of every term of each question, repeated ones too; pos grows with
+    its place (word, part, form)."""
     found = F.filter(T.words(F.col("question")), lambda w: F.length(w) > 1)
     one = questions.select("question_id", F.posexplode_outer(found).alias("_w", "word")).where("word is not null")
     part = one.select("question_id", "_w", F.posexplode_outer(T.split_identifier(F.col("word"))).alias("_p", "part")).where(T.is_term(F.col("part")))
     both = F.array_distinct(F.array(F.col("part"), T.stem(F.col("part"))))
     rows = part.select("question_id", "_w", "_p", F.posexplode_outer(both).alias("_f", "term"))
     place = F.col("_w").cast("long") * (1 << 31) + F.col("_p") * 2 + F.col("_f")  # one number: structs would be sorted, not hashed
-    return rows.groupBy("question_id", "term").agg(F.min(place).alias("pos"))
+    return rows.select("question_id", "term", place.alias("pos"))
+
+
+def query_terms(questions: DataFrame) -> DataFrame:
+    """question_id, term, pos: the distinct terms of each question with the place of their
+    first occurrence. Blank and null questions have none."""
+    return question_words(questions).groupBy("question_id", "term").agg(F.min("pos").alias("pos"))
 
 
 def latest_questions(questions: DataFrame) -> DataFrame:

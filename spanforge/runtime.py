@@ -97,7 +97,8 @@ def tasks_for(df: DataFrame, partition_bytes: int = 16 << 20) -> int:
     that ``df`` is read from, at least spark.sql.shuffle.partitions. Named explicitly, since
     adaptive execution would join small partitions by their bytes and never cuts large ones."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in leaves if x.nodeName().startswith("LogicalRelation"))  # of other leaves it is unknown
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // partition_bytes), 1 << 17))
 
 

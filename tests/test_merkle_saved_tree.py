@@ -58,3 +58,15 @@ def test_descent_in_one_array():
     swapped = old.copy()
     swapped[[8, 9]] = old[[9, 8]]
     assert M.descend(old, swapped, 16, 3).tolist() == [8, 9]
+
+
+def test_tasks_follow_the_files_and_not_unknown_sizes(spark, tmp_path):
+    from spanforge.runtime import tasks_for
+
+    rows = spark.range(20_000).selectExpr("id", "uuid() u")
+    rows.write.parquet(f"file://{tmp_path}/t")
+    read = spark.read.parquet(f"file://{tmp_path}/t")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(read) == least < 20 < tasks_for(read, 10_000) < 1000
+    assert tasks_for(spark.createDataFrame([(1,)], "id long")) == least == tasks_for(spark.createDataFrame(rows.limit(3).rdd, rows.schema))
+    assert tasks_for(read.join(read.withColumnRenamed("u", "v"), "id"), 10_000) <= 2 * tasks_for(read, 10_000)
