@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import os
 
 from pyspark.sql import functions as F
 
@@ -16,8 +16,9 @@ from spanforge.operators import index as X
 from spanforge.operators import retrieval as R
 from spanforge.operators.merkle import normal_hash, pending_files
 from spanforge.plans import duck as D
-from spanforge.runtime import cut, read_table, shared_dir, table_state
+from spanforge.runtime import cut, read_table, scratch, table_state
 from spanforge.sources import datasets as J
+from spanforge.sources.corpus import read_corpus
 from spanforge.sources.store import IndexStore
 
 QUERIES: dict = {}
@@ -34,10 +35,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _scratch(spark, name):
-    return f"{shared_dir(spark)}/spanforge/{uuid.uuid4().hex}-{name}"
-
-
 def _documents(spark, sf_dir):
     return read_table(spark, sf_dir, "documents")
 
@@ -475,6 +472,31 @@ def passage_recall(spark, sf_dir):
 # ---------------------------------------------------------------- files written and read
 
 
+@query(
+    f"""
+    SELECT file_path, sha256(text) AS hash, length({D.NORMAL}) AS chars FROM documents
+    WHERE regexp_matches(file_path, '\\.(py|md|txt)$') AND text IS NOT NULL
+    """
+)
+def corpus_files(spark, sf_dir):
+    """Every document written as a file of one folder, and the folder read as a corpus."""
+    root = scratch(spark, "corpus").removeprefix("file://")
+
+    def write(batches):
+        for b in batches:
+            for path, text in zip(b.column("file_path").to_pylist(), b.column("text").to_pylist()):
+                at = os.path.join(root, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield b
+
+    written = _documents(spark, sf_dir).select("file_path", "text").where("file_path is not null and text is not null")
+    written.mapInArrow(write, written.schema).write.format("noop").mode("overwrite").save()
+    found = read_corpus(spark, root)
+    return found.select(F.substring("file_path", len(root) + 2, 1 << 20).alias("file_path"), "hash", F.length("text").cast("long").alias("chars"))
+
+
 @query(
     f"""
     SELECT question_id, question, answer, coalesce(array_to_string([s.file_path || ':' || s.first_character_index || ':' || s.last_character_index FOR s IN sources], ' '), '') AS sources
@@ -483,7 +505,7 @@ def passage_recall(spark, sf_dir):
 )
 def questions_file(spark, sf_dir):
     """The question set written as a JSON data set and read again."""
-    path = _scratch(spark, "questions.json")
+    path = scratch(spark, "questions.json")
     J.write_questions(_questions(spark, sf_dir), path)
     one = lambda s: F.concat_ws(":", s["file_path"], s["first_character_index"], s["last_character_index"])
     return J.read_questions(spark, path).select("question_id", "question", "answer", F.coalesce(F.concat_ws(" ", F.transform("sources", one)), F.lit("")).alias("sources"))
@@ -492,7 +514,7 @@ def questions_file(spark, sf_dir):
 @query(f"SELECT question_id, rank::BIGINT AS rank, c.file_path, c.first, c.last FROM {D.bm25_top(10)} t JOIN {D.CHUNKS} c USING (chunk_id)")
 def results_file(spark, sf_dir):
     """Search results written as a JSON results file and read again."""
-    path = _scratch(spark, "results.json")
+    path = scratch(spark, "results.json")
     index, questions = _index(spark, sf_dir), _questions(spark, sf_dir)
     J.write_results(R.nested_results(R.resolve(R.bm25_search(index, questions, 10), index.chunks), questions), path, 10)
     return J.read_results(spark, path).select("question_id", F.col("rank").cast("long").alias("rank"), "file_path", "first", "last")
@@ -505,7 +527,7 @@ def results_file(spark, sf_dir):
 )
 def index_store(spark, sf_dir):
     """Index tables published in a store, and its postings and term table read again."""
-    store = IndexStore(spark, _scratch(spark, "index"))
+    store = IndexStore(spark, scratch(spark, "index"))
     store.write_index(_index(spark, sf_dir))
     index = store.index()
     sums = index.postings.groupBy("term").agg(F.sum("tf").alias("postings"))

@@ -37,17 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed like the tables of ``cut``."""
+    path = f"{shared_dir(spark)}/spanforge/{uuid.uuid4().hex}-{name}"
+    (getattr(_scope, "tables", None) or [_written])[-1].append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later stages neither
     recompute it nor depend on an executor that may be lost. Removed at the end of the ``freed``
     block it is written in, or when the driver exits."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanforge/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    (getattr(_scope, "tables", None) or [_written])[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
