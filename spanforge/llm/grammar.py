@@ -66,11 +66,31 @@ def rank_languages(text: str) -> list[str]:
 _MERGE = re.compile(r"^(?:<{7}|={7}|>{7})(?:[ \t]|$)", re.M)
 
 
+def ends_early(text: str, lang: str) -> bool:
+    """Whether the grammar that refuses the text does so at its end: more was to come."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            {"python": ast.parse, "json": json.loads, "toml": tomllib.loads}[lang](text)
+    except json.JSONDecodeError as e:
+        return e.pos >= len(text.rstrip()) or e.msg.startswith("Unterminated string")
+    except tomllib.TOMLDecodeError as e:
+        return "end of document" in str(e)
+    except SyntaxError as e:
+        last = len(text.rstrip().splitlines())
+        open_ = any(m in (e.msg or "") for m in ("was never closed", "unterminated triple-quoted", "unexpected EOF"))
+        return open_ or ((e.lineno or 0) >= last and (e.msg or "").startswith("expected an indented block"))
+    except (ValueError, RecursionError, MemoryError):
+        return False
+    return False
+
+
 def judge(text: str, declared: str) -> tuple[bool, list[str], list[str], str | None]:
     """Parses as declared, ranked languages, languages that accept it, cause of failure.
 
     Every grammar is tried in ranked order. A file that its own grammar refuses and another
-    accepts has the wrong extension; one that all refuse is corrupt, by conflict markers or else.
+    accepts has the wrong extension; one that all refuse is corrupt, by conflict markers, by
+    truncation, or else.
     """
     ranked = rank_languages(text)
     accepted = [lang for lang in ranked if PARSERS[lang](text)]
@@ -78,4 +98,4 @@ def judge(text: str, declared: str) -> tuple[bool, list[str], list[str], str | N
         return True, ranked, accepted, None
     if accepted:
         return False, ranked, accepted, f"wrong extension: {accepted[0]}"
-    return False, ranked, accepted, "conflict markers" if _MERGE.search(text) else "corrupt"
+    return False, ranked, accepted, "conflict markers" if _MERGE.search(text) else "truncated" if ends_early(text, declared) else "corrupt"

@@ -178,3 +178,15 @@ func broken() {
 """
     got = [(f.line, f.name, f.params[:1], f.doc, text[f.start : f.end][-3:]) for f in D.go_functions(text)]
     assert got == [(10, "Gate.Open", ["n"], "Open opens gates\nuntil all are open.", "l\n}"), (18, "Keys", ["m"], "Keys of the map, sorted.", "l\n}")]
+
+
+@pytest.mark.parametrize(
+    "text,lang,want",
+    [
+        ("def f(a,\n", "python", "truncated"), ('x = """abc\n', "python", "truncated"), ("def f():\n", "python", "truncated"), ("x = = 1\ny = 2\n", "python", "corrupt"),
+        ('{"a": [1, 2', "json", "truncated"), ('{"a": "b', "json", "truncated"), ('{"a": 1 "b": 2}', "json", "corrupt"), ("a = [1,\n", "toml", "truncated"), ("a = = 1\nb = 2\n", "toml", "corrupt"),
+        ("<<<<<<< ours\nx = (\n=======\n", "python", "conflict markers"),
+    ],
+)
+def test_causes(text, lang, want):
+    assert judge(text, lang)[3] == want
