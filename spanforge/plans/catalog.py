@@ -16,7 +16,7 @@ from spanforge.operators import index as X
 from spanforge.operators import retrieval as R
 from spanforge.operators.merkle import normal_hash, pending_files
 from spanforge.plans import duck as D
-from spanforge.runtime import cut, read_table, scratch, table_state
+from spanforge.runtime import cut, read_table, scratch, still_there, table_state
 from spanforge.sources import datasets as J
 from spanforge.sources.corpus import read_corpus
 from spanforge.sources.store import IndexStore
@@ -69,7 +69,8 @@ def build_folder_index(spark, sf_dir):
 def folder_index(spark, sf_dir):
     """build_folder_index, once a session for each state of the folder's tables; searches share it."""
     key = (spark.sparkContext.applicationId, *(table_state(spark, sf_dir, t) for t in ("documents", "chunks")))
-    if key not in _indexes:
+    found = _indexes.get(key)
+    if found is None or not all(map(still_there, (found[0], *vars(found[1]).values()))):
         _indexes[key] = build_folder_index(spark, sf_dir)
     return _indexes[key]
 

@@ -108,6 +108,17 @@ def tasks_for(df: DataFrame, partition_bytes: int = 16 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // partition_bytes), 1 << 17))
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether the files that a written table is read from are still there; the shared folder may
+    have been emptied meanwhile."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return False
+    return True
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within ``limit``; otherwise
     unchanged, so that the join shuffles."""
