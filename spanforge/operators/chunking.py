@@ -143,11 +143,12 @@ def block_spans(text: str, first: int, last: int, max_chunk: int = MAX_CHUNK, ov
     """Paragraphs of text[first:last] packed into spans of at most ``max_chunk``. A span begins
     with those paragraphs before it that lie within ``overlap`` of the last span's end; an
     oversized paragraph, or a text without blank lines, is cut into line windows."""
-    gaps = [m.span() for m in re.compile(r"\n\s*\n").finditer(text, first, last)]
+    gaps = [m.span() for m in re.compile(GAP).finditer(text, first, last)]
     if not gaps:
         return list(_line_windows(text, first, last, max_chunk, overlap))
     bounds = zip([first, *(end for _, end in gaps)], [*(start for start, _ in gaps), last])
-    starts, ends = map(list, zip(*(x for x in bounds if x[0] < x[1])))
+    blocks = [x for x in bounds if x[0] < x[1]]
+    starts, ends = [a for a, _ in blocks], [b for _, b in blocks]
     out: list[tuple[int, int]] = []
     at = 0
     while at < len(starts):
@@ -163,6 +164,29 @@ def block_spans(text: str, first: int, last: int, max_chunk: int = MAX_CHUNK, ov
     return out
 
 
+GAP = r"\n\s*\n"
+
+
+def block_files(files: DataFrame, max_chunk: int = MAX_CHUNK, overlap: int = BLOCK_OVERLAP, key: str = "doc_id") -> DataFrame:
+    """key, blocks, longest, first, last: the spans that block_spans packs each whole text into,
+    and of its paragraphs the number and the greatest length. Null texts give no rows."""
+    kind = files.schema[key].dataType.simpleString()
+    rows = files.where(F.col("text").isNotNull()).select(key, normal_newlines("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            take, out = [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                sizes = [len(x) for x in re.split(GAP, text) if x]
+                for span in block_spans(text, 0, len(text), max_chunk, overlap):
+                    take.append(i)
+                    out.append((len(sizes), max(sizes, default=0), *span))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)]
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(take, pa.int32())), *columns], [key, "blocks", "longest", "first", "last"])
+
+    return rows.mapInArrow(run, f"{key} {kind}, blocks long, longest long, first long, last long")
+
+
 def markdown_spans(text: str, max_chunk: int = MAX_CHUNK) -> list[tuple[int, int]]:
     """Spans of a Markdown or plain text: its sections, the sections with their subsections and
     admonitions, trimmed, of 40 to ``max_chunk`` characters, sorted and distinct. A text that

@@ -168,6 +168,33 @@ def markdown_sections(spark, sf_dir):
     return C.sections(_documents(spark, sf_dir))
 
 
+_GAP = rf"\n{T.BLANK_CHAR}*\n"
+
+
+@query(
+    f"""
+    WITH RECURSIVE d AS MATERIALIZED (
+      SELECT doc_id, string_split_regex(text, '{_GAP}') AS b, regexp_extract_all(text, '{_GAP}') AS g
+      FROM {D.DOCS} WHERE text IS NOT NULL AND (file_path LIKE '%.md' OR file_path LIKE '%.txt')),
+    p AS (SELECT doc_id, s, s + size AS e FROM (
+            SELECT doc_id, size, coalesce(sum(size + gap) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+            FROM (SELECT doc_id, length(unnest(b)) AS size, coalesce(length(unnest(list_concat(g, ['']))), 0) AS gap, generate_subscripts(b, 1) AS i FROM d)) WHERE size > 0),
+    bl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k, count(*) OVER (PARTITION BY doc_id) AS m, max(e - s) OVER (PARTITION BY doc_id) AS longest FROM p),
+    r AS MATERIALIZED (SELECT a.doc_id, a.k, a.s, a.m, max(b.k) AS reach, max(b.e) AS e FROM bl a JOIN bl b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.e - a.s <= 2000
+                       WHERE a.m > 1 AND a.longest <= 2000 GROUP BY ALL),
+    n AS MATERIALIZED (SELECT r.*, least(coalesce(min(c.k), r.reach + 1), r.reach + 1) AS then FROM r LEFT JOIN bl c ON c.doc_id = r.doc_id AND c.k > r.k AND c.s > r.e - 300 GROUP BY r.doc_id, r.k, r.s, r.m, r.reach, r.e),
+    w AS (SELECT doc_id, 1::BIGINT AS k FROM n WHERE k = 1 UNION ALL SELECT w.doc_id, n.then FROM w JOIN n USING (doc_id, k) WHERE n.reach < n.m)
+    SELECT doc_id, s::BIGINT AS first, e::BIGINT AS last FROM w JOIN n USING (doc_id, k)
+    """
+)
+def paragraph_blocks(spark, sf_dir):
+    """Paragraphs packed into spans, of the texts all of whose paragraphs fit into one; larger
+    ones are cut into windows of lines, which SQL cannot follow."""
+    marked = F.col("file_path").endswith(".md") | F.col("file_path").endswith(".txt")
+    rows = C.block_files(_documents(spark, sf_dir).where(marked))
+    return rows.where((F.col("blocks") > 1) & (F.col("longest") <= C.MAX_CHUNK)).select("doc_id", "first", "last")
+
+
 @query(
     f"""
     SELECT doc_id, true AS inside, true AS bounded, true AS distinct_spans FROM {D.DOCS}

@@ -161,6 +161,12 @@ def test_lines_and_headers_end_as_python_ends_them(spark, text):
     assert [r.line_start for r in C.lines(files).orderBy("line_no").collect()][: len(starts)] == starts
 
 
+def test_blank_paragraphs_have_no_blocks(spark):
+    assert C.block_spans("\n \n", 0, 3) == [] == C.block_spans("a\n\n\nb", 1, 4)
+    rows = spark.createDataFrame([(1, "\n\n"), (2, None), (3, ""), (4, "a\n\nb")], "doc_id long, text string")
+    assert [tuple(r) for r in C.block_files(rows).collect()] == [(4, 2, 1, 0, 4)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab \n", min_size=1, max_size=160), st.integers(8, 60), st.integers(1, 20))
 def test_blocks_follow_the_rule(text, size, overlap):
