@@ -1,7 +1,9 @@
-"""Identifier-aware tokenisation as Column expressions; nothing leaves the JVM."""
+"""Identifier-aware tokenisation as Column expressions, and for counting in batches as functions."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,41 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+find_words = re.compile(WORD).findall
+_PLAIN, _CAMEL, _STOP = re.compile("[A-Z]?[a-z]+"), re.compile(CAMEL, re.ASCII), frozenset(STOPWORDS)
+
+
+def stem_of(w: str) -> str:
+    """``stem`` of a word in lower case."""
+    restored = lambda base: base + "e" if base.endswith(("at", "iz")) else base
+    n, last = len(w), w[-1:]
+    if n <= 3 or last not in "sgdn":
+        return w
+    if w.endswith("ies") and n > 4:
+        return w[:-3] + "y"
+    if w.endswith("es") and w[-3] in "shxz":
+        return w[:-2]
+    if last == "s" and not w.endswith("ss"):
+        return w[:-1]
+    if w.endswith("ing") and n > 5:
+        return restored(w[:-3])
+    if w.endswith("ed") and n > 4:
+        return restored(w[:-2])
+    return w[:-4] + "te" if w.endswith("tion") and n > 5 else w
+
+
+def word_terms(word: str) -> tuple[str, ...]:
+    """The terms of a word that ``find_words`` found, as ``terms`` has them: of each part of
+    ``split_identifier`` that is a term itself and its stem, repeats kept."""
+    parts = [word.lower()]
+    if not _PLAIN.fullmatch(word):
+        parts += word.lower().split("_") if "_" in word else []
+        camel = _CAMEL.findall(word)
+        parts += [p.lower() for p in camel] if len(camel) > 1 else []
+    kept = [p for p in parts if len(p) > 1 and p not in _STOP]
+    return tuple(t for p in kept for t in dict.fromkeys((p, stem_of(p))))
+
+
 def _terms(found: Column, weight: int) -> Column:
     """Weighted terms of an array of words: each term, and its stem where that differs."""
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,17 +98,59 @@ def exploded_terms(rows: DataFrame, key: str, *found: tuple[Column, int]) -> Dat
 
 def term_counts(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf: weighted occurrences of each term of each chunk (text, file_path and,
-    if there, context). The texts are spread by chunk_id once, before they are exploded: they
-    are smaller than their terms, and the counting then needs no shuffle of its own. The number
-    of tasks follows from the size of the files they are read from."""
-    chunks = chunks.repartition(tasks_for(chunks), "chunk_id")
-    long = lambda c: F.filter(T.words(F.col(c)), lambda w: F.length(w) > 1)
-    path = F.filter(T.words(F.col("file_path")), lambda w: ~F.lower(w).isin(*T.PATH_NOISE))
-    found = [(long("text"), T.BODY_WEIGHT), (path, T.CONTEXT_WEIGHT)]
+    if there, context). The texts are spread by chunk_id once and counted in batches, each
+    distinct word of a chunk once: exploded, every occurrence of a word was a row. Rows of one
+    chunk_id are counted together. The number of tasks follows from the size of the files that
+    the texts are read from."""
+    found = [("text", T.BODY_WEIGHT), ("file_path", T.CONTEXT_WEIGHT)]
     if "context" in chunks.columns:
-        found.append((long("context"), T.CONTEXT_WEIGHT))
-    terms_ = exploded_terms(chunks, "chunk_id", *found)
-    return terms_.groupBy("chunk_id", "term").agg(F.sum("weight").alias("tf"))
+        found.append(("context", T.CONTEXT_WEIGHT))
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    rows = chunks.select("chunk_id", *[c for c, _ in found]).repartition(tasks_for(chunks), "chunk_id").sortWithinPartitions("chunk_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms_of: dict[str, tuple[str, ...]] = {}
+        ids, sizes, terms, counts = [], [], [], []
+        last, tf = None, {}
+
+        def close() -> None:
+            ids.append(last)
+            sizes.append(len(tf))
+            terms.extend(tf)
+            counts.extend(tf.values())
+
+        def batch(like: pa.RecordBatch) -> pa.RecordBatch:
+            key = pa.array(ids, like.schema.field(0).type).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))
+            return pa.RecordBatch.from_arrays([key, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["chunk_id", "term", "tf"])
+
+        b = None
+        for b in batches:
+            for key, *texts in zip(*(c.to_pylist() for c in b.columns)):
+                if tf and key != last:
+                    close()
+                    tf = {}
+                    if len(terms) > 100_000:
+                        yield batch(b)
+                        for x in (ids, sizes, terms, counts):
+                            x.clear()
+                last = key
+                for (column, weight), text in zip(found, texts):
+                    for word, n in Counter(T.find_words(text or "")).items():
+                        if column == "file_path" and word.lower() in T.PATH_NOISE:
+                            continue
+                        got = terms_of.get(word)
+                        if got is None:
+                            if len(terms_of) >= 200_000:
+                                terms_of.clear()
+                            got = terms_of[word] = T.word_terms(word)
+                        for t in got:
+                            tf[t] = tf.get(t, 0) + n * weight
+        if tf:
+            close()
+        if terms:
+            yield batch(b)
+
+    return rows.mapInArrow(run, f"chunk_id {kind}, term string, tf long")
 
 
 def build_index(chunks: DataFrame, counts: DataFrame | None = None) -> LexicalIndex:
