@@ -29,9 +29,10 @@ class LexicalIndex:
     term_stats: DataFrame
     corpus_stats: DataFrame
 
-    def written(self) -> LexicalIndex:
-        """The same index with every table written to the shared folder once."""
-        return LexicalIndex(**{t: cut(getattr(self, t), t) for t in self.TABLES})
+    def written(self, *there: str) -> LexicalIndex:
+        """The same index with every table written to the shared folder once, but for those that
+        are ``there`` already."""
+        return LexicalIndex(**{t: getattr(self, t) if t in there else cut(getattr(self, t), t) for t in self.TABLES})
 
     TABLES = ("chunks", "postings", "doc_stats", "term_stats", "corpus_stats")
 
@@ -96,32 +97,35 @@ def exploded_terms(rows: DataFrame, key: str, *found: tuple[Column, int]) -> Dat
     return part.select(key, F.explode_outer(both).alias("term"), "weight")
 
 
-def term_counts(chunks: DataFrame) -> DataFrame:
+def term_counts(chunks: DataFrame, lengths: bool = False) -> DataFrame:
     """chunk_id, term, tf: weighted occurrences of each term of each chunk (text, file_path and,
     if there, context). The texts are spread by chunk_id once and counted in batches, each
     distinct word of a chunk once: exploded, every occurrence of a word was a row. Rows of one
-    chunk_id are counted together. The number of tasks follows from the size of the files that
+    chunk_id are counted together. With ``lengths``, also doc_len, the chunk's sum of tf. The number of tasks follows from the size of the files that
     the texts are read from."""
     found = [("text", T.BODY_WEIGHT), ("file_path", T.CONTEXT_WEIGHT)]
     if "context" in chunks.columns:
         found.append(("context", T.CONTEXT_WEIGHT))
     kind = chunks.schema["chunk_id"].dataType.simpleString()
+    names = ["chunk_id", "term", "tf", *["doc_len"] * lengths]
     rows = chunks.select("chunk_id", *[c for c, _ in found]).repartition(tasks_for(chunks), "chunk_id").sortWithinPartitions("chunk_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms_of: dict[str, tuple[str, ...]] = {}
-        ids, sizes, terms, counts = [], [], [], []
+        ids, sizes, sums, terms, counts = [], [], [], [], []
         last, tf = None, {}
 
         def close() -> None:
             ids.append(last)
             sizes.append(len(tf))
+            sums.append(sum(tf.values()))
             terms.extend(tf)
             counts.extend(tf.values())
 
         def batch(like: pa.RecordBatch) -> pa.RecordBatch:
             key = pa.array(ids, like.schema.field(0).type).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))
-            return pa.RecordBatch.from_arrays([key, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["chunk_id", "term", "tf"])
+            more = [pa.array(np.repeat(np.array(sums, np.int64), sizes))] if lengths else []
+            return pa.RecordBatch.from_arrays([key, pa.array(terms, pa.string()), pa.array(counts, pa.int64()), *more], names)
 
         b = None
         for b in batches:
@@ -131,7 +135,7 @@ def term_counts(chunks: DataFrame) -> DataFrame:
                     tf = {}
                     if len(terms) > 100_000:
                         yield batch(b)
-                        for x in (ids, sizes, terms, counts):
+                        for x in (ids, sizes, sums, terms, counts):
                             x.clear()
                 last = key
                 for (column, weight), text in zip(found, texts):
@@ -150,20 +154,21 @@ def term_counts(chunks: DataFrame) -> DataFrame:
         if terms:
             yield batch(b)
 
-    return rows.mapInArrow(run, f"chunk_id {kind}, term string, tf long")
+    return rows.mapInArrow(run, f"chunk_id {kind}, term string, tf long" + ", doc_len long" * lengths)
 
 
 def build_index(chunks: DataFrame, counts: DataFrame | None = None) -> LexicalIndex:
     """All tables of the index. ``chunks`` has chunk_id, file_path, first, last, text and
-    optionally context; ``counts`` may hold ready-made term counts. Chunks without terms count
+    optionally context; ``counts`` may hold ready-made term counts, which need no join if they have doc_len. Chunks without terms count
     with length 0. An empty corpus gives empty tables and avgdl 0."""
-    counts = term_counts(chunks) if counts is None else counts
-    lengths = counts.groupBy("chunk_id").agg(F.sum("tf").alias("doc_len"))
+    counts = term_counts(chunks, lengths=True) if counts is None else counts
+    known = "doc_len" in counts.columns
+    lengths = counts.groupBy("chunk_id").agg((F.max("doc_len") if known else F.sum("tf")).alias("doc_len"))
     doc_stats = chunks.select("chunk_id").join(lengths, "chunk_id", "left").select("chunk_id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
     corpus = doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     term_stats = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", okapi_idf(F.col("n"), F.col("df")).alias("idf"))
-    postings = counts.join(lengths, "chunk_id").select("term", "chunk_id", "tf", "doc_len")
+    postings = (counts if known else counts.join(lengths, "chunk_id")).select("term", "chunk_id", "tf", "doc_len")
     return LexicalIndex(chunks.select("chunk_id", "file_path", "first", "last"), postings, doc_stats, term_stats, corpus)
 
 

@@ -27,3 +27,11 @@ def test_counts_are_those_of_exploded_terms(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert X.term_counts(chunks.drop("context")).where("chunk_id = 10").count() == 3
     assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_with_lengths_need_no_join(spark):
+    chunks = spark.createDataFrame([(1, "a.py", 0, 9, "one two twos"), (2, "b.py", 0, 9, ""), (3, "cc.py", 0, 9, "two")], "chunk_id long, file_path string, first long, last long, text string")
+    index, joined = X.build_index(chunks), X.build_index(chunks, X.term_counts(chunks))
+    for t in X.LexicalIndex.TABLES:
+        assert sorted(map(tuple, getattr(index, t).collect())) == sorted(map(tuple, getattr(joined, t).collect()))
+    assert "Join" not in index.postings._jdf.queryExecution().executedPlan().toString()
