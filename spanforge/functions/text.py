@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,13 +108,23 @@ def stem_of(w: str) -> str:
 def word_terms(word: str) -> tuple[str, ...]:
     """The terms of a word that ``find_words`` found, as ``terms`` has them: of each part of
     ``split_identifier`` that is a term itself and its stem, repeats kept."""
-    parts = [word.lower()]
-    if not _PLAIN.fullmatch(word):
-        parts += word.lower().split("_") if "_" in word else []
-        camel = _CAMEL.findall(word)
-        parts += [p.lower() for p in camel] if len(camel) > 1 else []
-    kept = [p for p in parts if len(p) > 1 and p not in _STOP]
-    return tuple(t for p in kept for t in dict.fromkeys((p, stem_of(p))))
+    low = word.lower()
+    if _PLAIN.fullmatch(word) or word.isdigit():
+        return _part_terms(low)
+    parts = low.split("_") if "_" in word else []
+    camel = _CAMEL.findall(word)
+    parts += [p.lower() for p in camel] if len(camel) > 1 else []
+    return (*_part_terms(low), *chain.from_iterable(map(_known_part, parts)))
+
+
+def _part_terms(p: str) -> tuple[str, ...]:
+    if len(p) < 2 or p in _STOP:
+        return ()
+    stem = stem_of(p)
+    return (p,) if stem == p else (p, stem)
+
+
+_known_part = lru_cache(1 << 16)(_part_terms)  # parts recur in many words
 
 
 def _terms(found: Column, weight: int) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,85 @@ def term_counts(chunks: DataFrame, lengths: bool = False) -> DataFrame:
     return rows.mapInArrow(run, f"chunk_id {kind}, term string, tf long" + ", doc_len long" * lengths)
 
 
+ASKED_ROWS = 2_048  # chunks whose words are counted at a time
+
+
+def asked_counts(chunks: DataFrame, asked: list[str]) -> DataFrame:
+    """chunk_id, file_path, doc_len, codes, tfs: of each row of ``chunks`` the length of its chunk_id as
+    ``term_counts`` has it, over all terms, and of the terms that are in ``asked`` their places there and their tf,
+    as two strings of 32-bit numbers in order of places. Rows of one chunk_id are counted together; the
+    first of them has their terms. What is not asked for is counted and left, and a chunk's terms are one row."""
+    found = [("text", T.BODY_WEIGHT), ("file_path", T.CONTEXT_WEIGHT)]
+    if "context" in chunks.columns:
+        found.append(("context", T.CONTEXT_WEIGHT))
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    rows = chunks.select("chunk_id", *[c for c, _ in found]).repartition(tasks_for(chunks), "chunk_id").sortWithinPartitions("chunk_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {t: i for i, t in enumerate(asked)}
+        known = defaultdict(count().__next__)  # the words met so far are numbered
+        none = np.zeros(0, np.int64)
+        n_terms, n_codes, code, first_code = none, none, none, none  # of each of them how many terms, how many of these asked for, and which
+
+        def counted(table: pa.Table) -> pa.RecordBatch:
+            nonlocal known, n_terms, n_codes, code, first_code
+            if len(known) > 200_000:
+                known, n_terms, n_codes, code = defaultdict(count().__next__), none, none, none
+            ids = table.column("chunk_id").to_pylist()
+            begins = np.array([i == 0 or x != ids[i - 1] for i, x in enumerate(ids)])
+            chunk = np.cumsum(begins) - 1
+            size = int(chunk[-1]) + 1
+            length, keys = np.zeros(size, np.int64), []
+            for column, weight in found:
+                words = [T.find_words(t or "") for t in table.column(column).to_pylist()]
+                if column == "file_path":
+                    words = [[w for w in ws if w.lower() not in T.PATH_NOISE] for ws in words]
+                at = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64)
+                if len(n_terms) < len(known):
+                    new = [T.word_terms(w) for w in islice(known, len(n_terms), None)]
+                    own = [[place[t] for t in got if t in place] for got in new]
+                    n_terms = np.concatenate([n_terms, [len(got) for got in new]])
+                    n_codes = np.concatenate([n_codes, [len(x) for x in own]])
+                    code = np.concatenate([code, np.fromiter(chain.from_iterable(own), np.int64)])
+                    first_code = np.cumsum(n_codes) - n_codes
+                if not len(at):
+                    continue
+                row = np.repeat(chunk, [len(ws) for ws in words])
+                length += weight * np.bincount(row, n_terms[at], size).astype(np.int64)
+                many = n_codes[at]
+                ends = np.cumsum(many)
+                each = np.repeat(first_code[at] - ends + many, many) + np.arange(ends[-1])
+                keys += [np.repeat(row, many) * len(asked) + code[each]] * weight
+            key = np.sort(np.concatenate(keys or [none]))
+            runs = np.flatnonzero(np.diff(key, prepend=-1))
+            row, term = np.divmod(key[runs], len(asked))
+            per_row = np.where(begins, np.bincount(row, minlength=size)[chunk], 0)
+            offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32) * 4
+
+            def strings(x: np.ndarray) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(x.astype(np.int32))])
+
+            out = [table.column("chunk_id").combine_chunks(), table.column("file_path").combine_chunks(), pa.array(length[chunk]), strings(term), strings(np.diff(runs, append=len(key)))]
+            return pa.RecordBatch.from_arrays(out, ["chunk_id", "file_path", "doc_len", "codes", "tfs"])
+
+        left = None
+        for b in batches:
+            for i in range(0, b.num_rows, ASKED_ROWS):
+                table = pa.Table.from_batches([b.slice(i, ASKED_ROWS)])
+                left = table if left is None else pa.concat_tables([left, table])
+                ids = left.column("chunk_id").to_pylist()
+                done = len(ids) - 1
+                while done and ids[done - 1] == ids[-1]:  # more rows of the last chunk_id may follow
+                    done -= 1
+                if done:
+                    yield counted(left.slice(0, done))
+                    left = left.slice(done)
+        if left is not None:
+            yield counted(left)
+
+    return rows.mapInArrow(run, f"chunk_id {kind}, file_path string, doc_len long, codes binary, tfs binary")
+
+
 def build_index(chunks: DataFrame, counts: DataFrame | None = None) -> LexicalIndex:
     """All tables of the index. ``chunks`` has chunk_id, file_path, first, last, text and
     optionally context; ``counts`` may hold ready-made term counts, which need no join if they have doc_len. Chunks without terms count
